@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
-def saved(df: DataFrame, name: str, keys: int = 0) -> DataFrame:
+def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
@@ -56,6 +56,14 @@ def saved(df: DataFrame, name: str, keys: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``saved`` made, once what was made from it is saved itself."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps now, not when the driver next collects garbage."""
     import gc

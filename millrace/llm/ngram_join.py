@@ -4,11 +4,15 @@
 2. The n-grams have one global order: those of common cells of a fixed-size count sketch last, then by hash. Of two sets
    that are similar enough, the first few n-grams in that order (the share that may differ, and one) have one in common.
    Each such n-gram that two classes share gives a group: the classes that have it, named by the smallest of them.
-3. A group's sets are put into a prefix tree, the group's most shared n-grams first. A set is looked up before it is put
+3. Within a group only sets that may have a similar one go on. Each set has a parity bitmap, which changes by at most a
+   bit for each n-gram that two sets don't share: bitmaps that differ by more than a similar pair's sets may rule it out.
+   What is left of a group falls into candidate families.
+4. A family's sets are put into a prefix tree, the group's most shared n-grams first. A set is looked up before it is put
    in: the walk carries the overlap so far, shared by all sets below a node, and leaves out what is below once the
    lengths that remain can't reach the needed overlap, or once all there is linked to the set already.
-4. Groups of over ``GROUP_GRAMS`` n-grams are dealt into blocks, each with the group's smallest set. What a block links to
-   that set is one component; only the rest, itself in parts, goes on to meet the other blocks.
+   At first each set goes to its first family only; then families that still hold several components are joined again,
+   with what is connected taken as known. A family of over ``GROUP_GRAMS`` n-grams is dealt into blocks, each with its
+   smallest set; in the second round those apart from its first component, in parts, meet every block.
 5. Links, a spanning few for each group, are joined to components.
 
 Hashes are 64 bits of a word n-gram; no text is compared by less than all its n-grams.
@@ -20,17 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, documents, i64, mixed, narrow, release, saved, steps, words_of
+from millrace.llm.common import LOWER, discard, documents, mixed, narrow, release, saved, steps, words_of
 from millrace.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
 #: Cells of the count sketch; a cell is common that has so many standard deviations, and so many counts, over the mean.
 CELL_BITS, SURE, LEAST_COMMON = 18, 6, 16
-#: N-grams that a block of a group holds, about.
-GROUP_GRAMS = 1 << 20
+#: N-grams that a block of a family holds, about, and bytes of bitmaps of a group up to which it is sifted.
+GROUP_GRAMS, SIFT_BYTES = 1 << 20, 16 << 20
 
 
 def gram_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -113,15 +117,15 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def tree_join(sets: list[np.ndarray], percent: int, fixed: np.ndarray | None = None) -> list[int]:
+def tree_join(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[int]:
     """For each set the first of those (by position) that similar ones connect it to within this group.
 
-    ``fixed`` marks sets that are known to be connected with one another, which aren't compared then.
+    Sets with the same ``known`` label are connected already and aren't compared.
     """
     forest = Forest(len(sets))
-    if fixed is not None and fixed.any():
-        for i in np.flatnonzero(fixed)[1:]:
-            forest.union(int(np.flatnonzero(fixed)[0]), int(i))
+    seen: dict[int, int] = {}
+    for i, label in enumerate(known or ()):
+        forest.union(seen.setdefault(label, i), i)
     sizes = [len(s) for s in sets]
     every = np.concatenate(sets)
     grams, codes, counts = np.unique(every, return_inverse=True, return_counts=True)
@@ -188,45 +192,115 @@ def _put(root: Node, x: np.ndarray, i: int, forest: Forest) -> None:
         node, at = child, at + same
 
 
-def _joined(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: grp, block, id, old (already connected with the group's first), grams; a row per id and block: id, root (its smallest link), first."""
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """Parities of a set's hashes over a power of two of at least 2n bits, as 64-bit words; halves xor to the next smaller one."""
+    bits = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    parity = np.bincount((mixed(grams) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def families(maps: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the smallest position in its family: sets that chains of bitmaps that could be of similar sets join."""
+    n = len(maps)
+    out = np.arange(n)
+    folded: dict[int, np.ndarray] = {}
+    width = np.array([len(m) for m in maps])
+    for w in sorted(set(width), reverse=True):  # each row at width w, for sets of that width and the next larger one
+        own = np.zeros((n, w), np.uint64)
+        for i in np.flatnonzero((width == w) | (width == 2 * w)):
+            own[i] = maps[i] if width[i] == w else maps[i][:w] ^ maps[i][w:]
+        folded[w] = own
+    apart = np.ones(n, bool)
+    for start in range(n):
+        if not apart[start]:
+            continue
+        apart[start], queue = False, [start]
+        while queue and apart.any():
+            i = queue.pop()
+            rest = np.flatnonzero(apart & (100 * sizes >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes))
+            for w in {width[i], width[i] // 2, width[i] * 2}:
+                there = rest[width[rest] == w]
+                if not len(there):
+                    continue
+                at = min(w, width[i])
+                differ = np.bitwise_count(folded[at][there] ^ folded[at][i]).sum(1)
+                # 100 * (s - d) / 2 >= percent * (s + d) / 2, with s the sum of the sizes and d what isn't shared
+                near = there[(100 + percent) * differ.astype(np.int64) <= (100 - percent) * (sizes[there] + sizes[i])]
+                apart[near] = False
+                out[near] = start
+                queue.extend(near.tolist())
+    return out
+
 
-    def flush(key: tuple[int, int], held: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
-        held = sorted({k: (k, old, g) for k, old, g in held}.values())
-        ids = [k for k, _, _ in held]
-        roots = tree_join([np.frombuffer(g, np.uint64) for _, _, g in held], percent, np.array([old for _, old, _ in held], bool)) if len(held) > 1 else [0]
-        first = ids.index(key[0]) if key[0] in ids else -1
-        joined = [first >= 0 and roots[i] == roots[first] for i in range(len(ids))]
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array([ids[r] for r in roots], pa.int64()), pa.array(joined, pa.bool_())], ["grp", "id", "root", "joined"])
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], values: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The rows of each run of equal keys, over the ends of batches."""
+    key, held = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in (*keys, *values)]
+        for row in zip(*columns):
+            if row[: len(keys)] != key:
+                if held:
+                    yield key, held
+                key, held = row[: len(keys)], []
+            held.append(row[len(keys) :])
+    if held:
+        yield key, held
+
+
+def _sifted(members: DataFrame, percent: int) -> DataFrame:
+    """members: grp, id, n, map; grp, fam and id of those that have a possible partner in their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
-            for g, b, i, old, grams in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "id", "old", "grams"))):
-                if (g, b) != key:
-                    if held:
-                        yield flush(key, held)
-                    key, held = (g, b), []
-                held.append((i, old, grams))
-        if held:
-            yield flush(key, held)
+        grp, fam, kept = [], [], []
+        for (g,), held in _runs(batches, ("grp",), ("id", "n", "map")):
+            held.sort()
+            if len(held) < 2:
+                continue
+            root = families([np.frombuffer(m, np.uint64) for _, _, m in held], np.array([n for _, n, _ in held], np.int64), percent)
+            many = np.bincount(root)[root] > 1
+            for i in np.flatnonzero(many):
+                grp.append(g)
+                fam.append(held[root[i]][0])
+                kept.append(held[i][0])
+            if len(kept) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (grp, fam, kept)], ["grp", "fam", "id"])
+                grp, fam, kept = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (grp, fam, kept)], ["grp", "fam", "id"])
 
-    return rows.mapInArrow(run, "grp long, id long, root long, joined boolean")
+    return members.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "grp long, fam long, id long")
 
 
-def _sets_of(rows: DataFrame, size: int) -> DataFrame:
-    """rows: id, text, grp, block, old ... with the set of each text once, however many groups it is in (``places``)."""
+def _links(places: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """places: grp, fam, block, id, known; links (a, b) that connect the similar sets of each place.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each text meets its places once; its set is made there and sent to each place.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            sets = [s.tobytes() for s in gram_sets(batch.column("text"), size)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("places"), pa.array(sets, pa.binary())], ["id", "places", "grams"])
+            made = [s.tobytes() for s in gram_sets(batch.column("text"), size)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("places"), pa.array(made, pa.binary())], ["id", "places", "grams"])
 
-    return rows.mapInArrow(run, "id long, places array<struct<grp:long,block:int,old:boolean>>, grams binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _runs(batches, ("grp", "fam", "block"), ("id", "known", "grams")):
+            held = sorted(set(held))
+            if len(held) < 2:
+                continue
+            ids = [i for i, _, _ in held]
+            roots = tree_join([np.frombuffer(g, np.uint64) for _, _, g in held], percent, [k for _, k, _ in held])
+            a, b = zip(*((ids[i], ids[r]) for i, r in enumerate(roots)))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    gathered = places.groupBy("id").agg(F.collect_list(F.struct("grp", "fam", "block", "known")).alias("places"))
+    with_sets = rows.join(gathered, "id").select("id", "text", "places").mapInArrow(sets, "id long, places array<struct<grp:long,fam:long,block:int,known:long>>, grams binary")
+    spread = with_sets.select("id", F.inline("places"), "grams").repartition("grp", "fam", "block").sortWithinPartitions("grp", "fam", "block")
+    out = saved(spread.mapInArrow(run, "a long, b long").where("a <> b").distinct(), "found")
+    release(rows.sparkSession)
+    return out
 
 
-def _together(df: DataFrame) -> DataFrame:
-    return df.repartition("grp", "block").sortWithinPartitions("grp", "block")
+def _spread(n: str, total: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(total) / F.lit(GROUP_GRAMS)).cast("int")).alias(n)
 
 
 def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -237,9 +311,9 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     repeat a key are one document with several texts: their links count for the key, n_shingles is each row's own. An
     empty table gives an empty one; only the two named columns are read.
     """
+    spark = df.sparkSession
     rows = narrow(df, id=key, text=text).withColumn("id", F.col("id").cast("long"))
-    common = common_cells(rows, size)
-    bits = np.packbits(common).tobytes()
+    bits = np.packbits(common_cells(rows, size)).tobytes()
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
@@ -249,50 +323,52 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
             heads = [in_order(s, late)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             head = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*heads, np.zeros(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), head], ["id", "n", "a", "b", "head"])
+            maps = pa.array([bitmap(s).tobytes() if len(s) else b"" for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), maps, head], ["id", "n", "a", "b", "map", "head"])
 
-    shaped = saved(rows.mapInArrow(shape, "id long, n long, a long, b long, head array<long>"), "shapes")
+    shaped = saved(rows.mapInArrow(shape, "id long, n long, a long, b long, map binary, head array<long>"), "shapes")
     full = shaped.where("id is not null and n > 0")
-    classes = saved(full.groupBy("a", "b", "n").agg(F.min("id").alias("rep")), "classes")
-    # a class's first row stands for it; a head is the same for the whole class
-    heads = saved(full.join(classes.select("a", "b", "n", F.col("rep").alias("id")), ["a", "b", "n", "id"]).select("id", "n", F.explode("head").alias("gram")), "heads")
+    classes = full.groupBy("a", "b", "n").agg(F.min("id").alias("rep"))
+    of = saved(shaped.select("id", "n", "a", "b").join(classes, ["a", "b", "n"], "left").select("id", "n", "rep"), "classes")
+    # a class's first row stands for it; head and bitmap are the same for the whole class
+    first = full.join(classes.withColumnRenamed("rep", "id"), ["a", "b", "n", "id"])
+    maps = saved(first.select("id", "n", "map").dropDuplicates(["id", "n", "map"]), "maps")
+    heads = saved(first.select("id", F.explode("head").alias("gram")), "heads")
+    discard(shaped)
+    release(spark)
     shared = heads.groupBy("gram").agg(F.min("id").alias("grp"), F.max("id").alias("top")).where("grp <> top").select("gram", "grp")
-    members = saved(heads.join(shared, "gram").groupBy("grp", "id").agg(F.first("n").alias("n")), "members")
-    release(df.sparkSession)
-    # the group's first set is in every block of it
-    groups = saved(members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(GROUP_GRAMS)).cast("int").alias("blocks")), "groups")
-    dealt = members.join(groups, "grp").withColumn("block", F.when(F.col("id") == F.col("grp"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("grp", "id"), F.col("blocks")).cast("int")))
-    placed = dealt.withColumn("block", F.explode(F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
-
-    def with_sets(places: DataFrame) -> DataFrame:
-        """Each id's text meets its places once; the set is made from it and sent to each place."""
-        gathered = places.groupBy("id").agg(F.collect_list(F.struct("grp", "block", "old")).alias("places"))
-        texts = rows.join(gathered, "id").select("id", "text", "places")
-        return _sets_of(texts, size).select("id", F.inline("places"), "grams")
-
-    once = saved(_joined(_together(with_sets(placed.withColumn("old", F.lit(False)))), percent), "joined")
-    links = once.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    large = groups.where("blocks > 1").select("grp", "blocks")
-    if large.limit(1).count():
-        # What isn't connected with the group's first is the rest, dealt into parts of about a block; each part meets each block.
-        # Each place then holds a part and a block at most, and the work is that of the rest times the group.
-        state = once.groupBy("grp", "id").agg(F.max("joined").alias("old")).join(large, "grp").join(members, ["grp", "id"])
-        parts = state.where("not old").groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(GROUP_GRAMS)).cast("int").alias("parts"))
-        state = state.join(parts, "grp").withColumns({"home": F.pmod(F.xxhash64("grp", "id"), F.col("blocks")).cast("int"), "part": F.pmod(F.xxhash64("id", "grp"), F.col("parts")).cast("int")})
-        every_part, every_block = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("blocks") - 1)
-        at_home = F.transform(every_part, lambda p: p * F.col("blocks") + F.col("home"))
-        as_part = F.transform(every_block, lambda b: F.col("part") * F.col("blocks") + b)
-        again = state.withColumn("block", F.explode(F.when(F.col("old"), at_home).otherwise(F.array_union(at_home, as_part))))
-        twice = saved(_joined(_together(with_sets(again.select("grp", "id", "block", "old"))), percent), "met")
-        links = links.unionAll(twice.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    roots = components(links)
-    of = shaped.select("id", "n", "a", "b").join(classes, ["a", "b", "n"], "left")
+    members = saved(heads.join(shared, "gram").select("grp", "id").distinct(), "members")
+    discard(heads)
+    release(spark)
+    mapped = members.join(maps, "id")
+    weight = mapped.groupBy("grp").agg(F.sum(F.length("map")).alias("bytes"))
+    large = saved(weight.where(F.col("bytes") > SIFT_BYTES).select("grp"), "large")
+    kept = _sifted(mapped.join(large, "grp", "left_anti"), percent).unionAll(members.join(large, "grp").select("grp", F.col("grp").alias("fam"), "id"))
+    kept = saved(kept.join(maps.groupBy("id").agg(F.max("n").alias("n")), "id").select("grp", "fam", "id", "n"), "families")
+    release(spark)
+
+    home = F.pmod(F.xxhash64("grp", "fam", "id"), F.col("blocks")).cast("int")
+    own = ["grp", "fam"]
+    # round 1: each set in the first of its families, a family's smallest set in each of its blocks
+    at_first = kept.groupBy("id").agg(F.min(F.struct("grp", "fam", "n")).alias("x")).select("x.grp", "x.fam", "id", "x.n")
+    at_first = at_first.unionByName(kept.where("id = fam")).distinct()
+    blocks = at_first.groupBy(own).agg(F.sum("n").alias("total")).select(*own, _spread("blocks", "total"))
+    placed = at_first.join(blocks, own).withColumn("block", F.explode(F.when(F.col("id") == F.col("fam"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))))
+    links = _links(placed.select(*own, "block", "id", F.col("id").alias("known")), rows, size, percent)
+    # round 2: families that hold several components; those apart from the family's first one, in parts, meet each block
+    state = kept.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("known", F.coalesce("component", "id"))
+    whole = state.groupBy(own).agg(F.min("known").alias("low"), F.max("known").alias("high"), F.sum("n").alias("total")).where("low <> high")
+    whole = saved(whole.select(*own, "low", _spread("blocks", "total")), "apart")
+    state = saved(state.join(whole, own).select(*own, "id", "n", "known", "blocks", (F.col("known") == F.col("low")).alias("old")), "again")
+    parts = state.where("not old").groupBy(own).agg(F.sum("n").alias("total")).select(*own, _spread("parts", "total"))
+    state = state.join(parts, own).withColumns({"home": home, "part": F.pmod(F.xxhash64("id", "fam"), F.col("parts")).cast("int")})
+    at_home = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p * F.col("blocks") + F.col("home"))
+    as_part = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.col("part") * F.col("blocks") + b)
+    again = state.withColumn("block", F.explode(F.when(F.col("old"), at_home).otherwise(F.array_union(at_home, as_part))))
+    links = links.unionAll(_links(again.select(*own, "block", "id", "known"), rows, size, percent))
     # rows that repeat a key with other texts tie their classes together
-    ties = classes.join(shaped.where("id is not null and n > 0").select("a", "b", "n", "id"), ["a", "b", "n"]).groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
-    if ties.limit(1).count():
-        every = classes.join(shaped.where("n > 0").select("a", "b", "n", "id"), ["a", "b", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        roots = components(links.unionAll(every))
-        of = of.withColumn("rep", F.col("id"))
+    tied = of.join(of.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("id"), "id", "left_semi").where("rep is not null").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    roots = components(links.unionAll(tied))
     out = of.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 

@@ -61,6 +61,7 @@ def test_equals_all_pairs(spark):
 def test_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(op, "GROUP_GRAMS", 150)
     for seed in range(3, 6):
+        monkeypatch.setattr(op, "SIFT_BYTES", 60 * (seed % 2))
         rows = made(seed)
         assert result(frame(spark, rows)) == brute(rows)
 
@@ -86,6 +87,19 @@ def test_tree_equals_all_pairs():
         assert got == [forest.find(i) for i in range(len(sets))]
 
 
+def test_families_keep_similar_pairs():
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 1 << 62, n, dtype=np.uint64) for n in (1, 5, 17, 30, 33, 64, 120)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) > 0.05], rng.integers(0, 1 << 62, rng.integers(0, 3), dtype=np.uint64)])) for b in base * 8]
+    sets = [s for s in sets if len(s)]
+    root = op.families([op.bitmap(s) for s in sets], np.array([len(s) for s in sets]), 85)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)):
+                assert root[i] == root[j] <= min(i, j)
+    assert len(set(root)) >= 5
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(60)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(500, 500), (1, 0), (None, 3)]
