@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from millrace.llm import html_extract, language_id, ngram_join, token_counts, warc
+from millrace.llm import html_extract, language_id, ngram_join, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op3_ngram_join": ngram_join.query,
+    "op5_substring_dedup": substring_dedup.query,
     "op6_language_id": language_id.query,
     "op9_html_extract": html_extract.query,
     "op10_warc": warc.query,
 }
 
 SQL = {
+    "op5_substring_dedup": substring_dedup.SQL,
     "op10_warc": warc.SQL,
 }
