@@ -292,7 +292,7 @@ def _links(places: DataFrame, rows: DataFrame, size: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     gathered = places.groupBy("id").agg(F.collect_list(F.struct("grp", "fam", "block", "known")).alias("places"))
-    with_sets = rows.join(gathered, "id").select("id", "text", "places").mapInArrow(sets, "id long, places array<struct<grp:long,fam:long,block:int,known:long>>, grams binary")
+    with_sets = rows.join(gathered.hint("merge"), "id").select("id", "text", "places").mapInArrow(sets, "id long, places array<struct<grp:long,fam:long,block:int,known:long>>, grams binary")
     spread = with_sets.select("id", F.inline("places"), "grams").repartition("grp", "fam", "block").sortWithinPartitions("grp", "fam", "block")
     out = saved(spread.mapInArrow(run, "a long, b long").where("a <> b").distinct(), "found")
     release(rows.sparkSession)
@@ -345,6 +345,8 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     large = saved(weight.where(F.col("bytes") > SIFT_BYTES).select("grp"), "large")
     kept = _sifted(mapped.join(large, "grp", "left_anti"), percent).unionAll(members.join(large, "grp").select("grp", F.col("grp").alias("fam"), "id"))
     kept = saved(kept.join(maps.groupBy("id").agg(F.max("n").alias("n")), "id").select("grp", "fam", "id", "n"), "families")
+    # the texts that go on are taken out once; merged at any size, so that what a small table needs tells what a large one will
+    candidates = saved(rows.join(kept.select("id").distinct().hint("merge"), "id"), "candidates")
     release(spark)
 
     home = F.pmod(F.xxhash64("grp", "fam", "id"), F.col("blocks")).cast("int")
@@ -354,7 +356,7 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     at_first = at_first.unionByName(kept.where("id = fam")).distinct()
     blocks = at_first.groupBy(own).agg(F.sum("n").alias("total")).select(*own, _spread("blocks", "total"))
     placed = at_first.join(blocks, own).withColumn("block", F.explode(F.when(F.col("id") == F.col("fam"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))))
-    links = _links(placed.select(*own, "block", "id", F.col("id").alias("known")), rows, size, percent)
+    links = _links(placed.select(*own, "block", "id", F.col("id").alias("known")), candidates, size, percent)
     # round 2: families that hold several components; those apart from the family's first one, in parts, meet each block
     state = kept.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("known", F.coalesce("component", "id"))
     whole = state.groupBy(own).agg(F.min("known").alias("low"), F.max("known").alias("high"), F.sum("n").alias("total")).where("low <> high")
@@ -365,7 +367,7 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     at_home = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p * F.col("blocks") + F.col("home"))
     as_part = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.col("part") * F.col("blocks") + b)
     again = state.withColumn("block", F.explode(F.when(F.col("old"), at_home).otherwise(F.array_union(at_home, as_part))))
-    links = links.unionAll(_links(again.select(*own, "block", "id", "known"), rows, size, percent))
+    links = links.unionAll(_links(again.select(*own, "block", "id", "known"), candidates, size, percent))
     # rows that repeat a key with other texts tie their classes together
     tied = of.join(of.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("id"), "id", "left_semi").where("rep is not null").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     roots = components(links.unionAll(tied))
