@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from millrace.llm import html_extract, language_id, ngram_join, substring_dedup, token_counts, warc
+from millrace.llm import decontaminate, fingerprints, html_extract, language_id, ngram_join, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op3_ngram_join": ngram_join.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_language_id": language_id.query,
+    "op7_decontaminate": decontaminate.query,
+    "op8_fingerprints": fingerprints.query,
     "op9_html_extract": html_extract.query,
     "op10_warc": warc.query,
 }
