@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, fingerprints, html_extract, language_id, ngram_join, substring_dedup, token_counts, warc
+from millrace.llm import decontaminate, fingerprints, html_extract, language_id, license_scan, mixing, ngram_join, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op2_mixing": mixing.query,
     "op3_ngram_join": ngram_join.query,
+    "op4_license_scan": license_scan.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_language_id": language_id.query,
     "op7_decontaminate": decontaminate.query,
