@@ -6,7 +6,9 @@ time, so that memory follows the block and the longest single text, never the pa
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -33,6 +35,20 @@ def narrow(df: DataFrame, **names: str) -> DataFrame:
     return held.select(*[F.col(f"_c{df.columns.index(old)}").alias(new) for new, old in names.items()])
 
 
+def kept_as(keep: tuple[str, ...]) -> dict[str, str]:
+    """Names inside an operator for the columns that it only passes on, for ``narrow``."""
+    return {f"kept{i}": name for i, name in enumerate(keep)}
+
+
+def kind_of(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def kinds_of(df: DataFrame, keep: tuple[str, ...]) -> str:
+    """The schema of passed-on columns, to follow others."""
+    return "".join(f", {k} {kind_of(df, k)}" for k in kept_as(keep))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -66,10 +82,10 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps now, not when the driver next collects garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)  # files go in the background
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

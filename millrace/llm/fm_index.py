@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_ONE = np.uint64(1)
+#: The lowest 0, 1, ... 63 bits.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class Wavelet:
@@ -32,7 +33,7 @@ class Wavelet:
         at = before
         for level, words, counts, zeros in self.levels:
             block = at >> 6
-            ones = counts[block] + np.bitwise_count(words[block] & ((_ONE << (at & 63).astype(np.uint64)) - _ONE)).astype(np.int32)
+            ones = counts[block] + np.bitwise_count(words[block] & _BELOW[at & 63])
             at = np.where((symbol >> level) & 1, zeros + ones, at - ones)
         return at - self.start[symbol]
 

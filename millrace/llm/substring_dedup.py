@@ -5,12 +5,12 @@ anchors, so anchors deal the work: consecutive windows with the same anchor occu
 goes to the shard of its anchor. Anchors of one document only can't repeat and go nowhere.
 
 In a shard the distinct segments are indexed (Burrows-Wheeler transform and wavelet matrix) with the least document that
-each comes from. Then every document's segments are streamed through it: backward search gives the interval of each
-window's occurrences, and the least document in the interval tells whether a smaller one has the same words.
+each comes from. Then the documents' segments are streamed through it, each distinct one once: backward search gives the
+interval of each window's occurrences, and the least document in the interval tells whether a smaller one has the same
+words. What a segment's windows give is joined back to all its occurrences, a join that can be split on a hot segment.
 
-An anchor of over ``HOT`` occurrences (a line or passage that very many documents share) would make a shard of its own
-size. Its windows are dealt by their own hash instead, equal ones are brought together with their least document before
-the shuffle, the index is over distinct windows, and what it finds is joined back to the occurrences.
+An anchor of over ``HOT`` occurrences (a line that very many documents have among other words) would make a shard of its
+own size, so its windows are segments of their own, dealt by their own hash.
 
 Words are told apart by 32 bits of hash where they stand beside an anchor that is equal in 64 bits.
 """
@@ -21,15 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Words, discard, documents, narrow, release, saved, steps, text_bytes, words_of
+from millrace.llm.common import Words, discard, documents, mixed, narrow, release, saved, steps, text_bytes, words_of
 from millrace.llm.fm_index import Index
 
 WINDOW, ANCHOR = 13, 5
 #: Occurrences from which an anchor's windows are dealt one by one, and words that a shard's index holds, about.
-HOT, SHARD_WORDS = 20_000, 1 << 20
+HOT, SHARD_WORDS = 100_000, 1 << 18
 
 
 def least_at(v: np.ndarray, width: int) -> np.ndarray:
@@ -72,127 +73,138 @@ def _anchored(rows: DataFrame, window: int, anchor: int, places: bool) -> DataFr
     return rows.mapInArrow(run, "anchor long, id long" + ", row long, at int" * places)
 
 
-def _pack(rows: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([4 * len(r) for r in rows])]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate([*rows, np.zeros(0, np.uint32)]).tobytes())])
+def _gathered(code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return code[at]
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and each row's number of them."""
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+
+
+_SEGMENTS = "shard long, seg long, id long, row long, start int, words binary"
 
 
 def _segments(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """rows: id, row, text, ats, hots (anchor places and whether each is hot). A row per segment, or per window of a hot anchor.
+    """rows: id, row, text, ats, hots (where shared anchors stand, and whether each is hot). A row per segment.
 
-    shard, hot, id, row, start (first word) and words (their codes).
+    shard, seg (a hash of its words), id, row, start (first word), and its words' codes: once for equal segments of a
+    step, where the id is the least, and null for the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             words = words_of(batch.column("text"))
             first, at, held = anchors(words, window, anchor)
-            code = (words.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-            whole = words.grams(window)
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
             state = np.zeros(len(words.hash), np.int8)  # by word: 1 where a shared anchor starts, 2 where a hot one does
-            for i, (ats, hots) in enumerate(zip(batch.column("ats").to_pylist(), batch.column("hots").to_pylist())):
-                state[words.first[i] + np.array(ats, np.int64)] = 1 + np.array(hots, np.int8)
+            ats, many = _flat(batch.column("ats"))
+            hots, _ = _flat(batch.column("hots"))
+            state[np.repeat(words.first[:-1], many) + ats] = 1 + hots.astype(np.int8)
             kind = state[at]
-            # segments: runs of windows with one anchor place
-            cold = np.flatnonzero(kind == 1)
-            begins = cold[np.concatenate([[True], at[cold[1:]] != at[cold[:-1]]])] if len(cold) else cold
-            ends = cold[np.concatenate([at[cold[1:]] != at[cold[:-1]], [True]])] if len(cold) else cold
-            hot = np.flatnonzero(kind == 2)
-            start = np.concatenate([first[begins], first[hot]])
-            stop = np.concatenate([first[ends], first[hot]]) + window
-            shard = np.concatenate([held[begins], whole[first[hot]]])
-            of = words.text_of()[start] if len(start) else start
-            for a in range(0, len(start), 50_000):
-                part = slice(a, a + 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard[part].view(np.int64)), pa.array(np.arange(len(start))[part] >= len(begins)), batch.column("id").take(pa.array(of[part])), batch.column("row").take(pa.array(of[part])),
-                     pa.array((start - words.first[of])[part].astype(np.int32)), _pack([code[s:e] for s, e in zip(start[part], stop[part])])],
-                    ["shard", "hot", "id", "row", "start", "words"],
-                )
-
-    return rows.mapInArrow(run, "shard long, hot boolean, id long, row long, start int, words binary")
-
-
-def _stream(segments: list[np.ndarray], ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index the distinct segments, stream all of them through; each window's segment, offset in it and least document."""
-    distinct: dict[bytes, int] = {}
-    which = np.array([distinct.setdefault(s.tobytes(), len(distinct)) for s in segments])
-    least = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, ids)
-    kept = [np.frombuffer(s, np.uint32) for s in distinct]
-    sizes = np.array([len(s) for s in kept])
-    text = np.zeros(int(sizes.sum()) + len(kept), np.uint32)
+            # segments: runs of windows with one anchor place; single windows of a hot one
+            use = np.flatnonzero(kind)
+            if not len(use):
+                continue
+            opens = np.concatenate([[True], at[use[1:]] != at[use[:-1]]]) | (kind[use] == 2)
+            start, stop = first[use[opens]], first[use[np.concatenate([opens[1:], [True]])]] + window
+            hot = kind[use[opens]] == 2
+            whole = words.grams(window)
+            shard = np.where(hot, whole[start], held[use[opens]])
+            # the windows' hashes, one after the other, make the segment's; the first and last window and the length would do as well
+            running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(whole))])
+            seg = mixed((running[stop - window + 1] - running[start]) ^ (whole[start] + shard))
+            of = words.text_of()[start]
+            order = np.lexsort((ids[of], seg))
+            lead = np.zeros(len(start), bool)
+            lead[order[np.concatenate([[True], seg[order[1:]] != seg[order[:-1]]])]] = True
+            code = (words.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            size = np.where(lead, stop - start, 0)
+            offsets = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
+            valid = pa.py_buffer(np.packbits(lead, bitorder="little").tobytes())
+            codes = pa.Array.from_buffers(pa.binary(), len(start), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_gathered(code, start, size).tobytes())])
+            rows_ = batch.column("row").take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(ids[of]), rows_, pa.array((start - words.first[of]).astype(np.int32)), codes], ["shard", "seg", "id", "row", "start", "words"])
+
+    return rows.mapInArrow(run, _SEGMENTS)
+
+
+def stream(codes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index segments (their words one after the other) and stream them through: each one's number of windows, and each window's least id."""
+    n = len(sizes)
+    text = np.zeros(int(sizes.sum()) + n, np.uint32)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    for s, a in zip(kept, starts):
-        text[a : a + len(s)] = s
+    text[np.arange(len(codes)) + np.repeat(np.arange(n), sizes)] = codes
     index = Index(text, window)
-    owner = np.repeat(np.arange(len(kept)), sizes + 1)
-    # a document's windows are those of its segments, equal segments are streamed once
     count = sizes - window + 1
-    seg = np.repeat(np.arange(len(kept)), count)
-    offset = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-    low, high = index.search(np.lib.stride_tricks.sliding_window_view(text, window)[starts[seg] + offset])
-    found = index.least(least[owner], low, high)
-    begin = np.cumsum(count) - count
-    many = count[which]
-    of = np.repeat(np.arange(len(segments)), many)
-    inner = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-    return of, inner, found[begin[which][of] + inner]
-
-
-def _repeats(segments: DataFrame, window: int) -> DataFrame:
-    """segments: shard, id, row, start, words; id, row, start and stop of each run of words that a smaller document has."""
-
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        ids, rows, starts = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2))
-        of, inner, least = _stream([np.frombuffer(h[3], np.uint32) for h in held], ids, window)
-        hit = least < ids[of]
-        of, inner = of[hit], inner[hit]
-        new = np.concatenate([[True], (of[1:] != of[:-1]) | (inner[1:] != inner[:-1] + 1)]) if len(of) else np.zeros(0, bool)
-        last = np.concatenate([new[1:], [True]]) if len(of) else new
-        a, b = starts[of[new]] + inner[new], starts[of[last]] + inner[last] + window
-        return pa.RecordBatch.from_arrays([pa.array(ids[of[new]]), pa.array(rows[of[new]]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["id", "row", "start", "stop"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words, shard = [], 0, None
-        for batch in batches:
-            for key, *rest in zip(*(batch.column(c).to_pylist() for c in ("shard", "id", "row", "start", "words"))):
-                if key != shard and words > SHARD_WORDS:
-                    yield flush(held)
-                    held, words = [], 0
-                shard = key
-                held.append(rest)
-                words += len(rest[3]) // 4
-        if held:
-            yield flush(held)
-
-    return segments.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "id long, row long, start int, stop int")
+    at = np.repeat(starts - np.cumsum(count) + count, count) + np.arange(count.sum())
+    low, high = index.search(np.lib.stride_tricks.sliding_window_view(text, window)[at])
+    return count, index.least(np.repeat(ids, sizes + 1), low, high)
 
 
-def _hot_repeats(windows: DataFrame, window: int) -> DataFrame:
-    """windows: shard (its hash), id, row, start, words; the same as ``_repeats``, with equal windows brought together first."""
+def _searched(contents: DataFrame, window: int) -> DataFrame:
+    """contents: shard, seg, id, words; shard, seg and the least id of each of its windows."""
 
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        keys, ids = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
-        _, _, least = _stream([np.frombuffer(h[2], np.uint32) for h in held], ids, window)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(least)], ["shard", "least"])
+    def flush(keys: np.ndarray, segs: np.ndarray, ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        # equal segments of other tasks come together here; the least id stands for all
+        order = np.lexsort((ids, segs, keys))
+        k, s = keys[order], segs[order]
+        keep = order[np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])]
+        starts = np.cumsum(sizes) - sizes
+        count, least = stream(_gathered(codes, starts[keep], sizes[keep]), sizes[keep], ids[keep], window)
+        offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(segs[keep]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(least))], ["shard", "seg", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words, shard = [], 0, None
+        held: list[list[np.ndarray]] = []
+        total = 0
         for batch in batches:
-            for key, i, code in zip(*(batch.column(c).to_pylist() for c in ("shard", "id", "words"))):
-                if key != shard and words > SHARD_WORDS:
-                    yield flush(held)
-                    held, words = [], 0
-                shard = key
-                held.append((key, i, code))
-                words += len(code) // 4
-        if held:
-            yield flush(held)
+            column = batch.column("words")
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            codes = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint32)
+            held.append([*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "seg", "id")), np.diff(offsets) // 4, codes])
+            total += len(codes)
+            if total > SHARD_WORDS:
+                keys, segs, ids, sizes, codes = (np.concatenate(x) for x in zip(*held))
+                ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1  # a shard is whole once the next one has begun
+                filled = np.cumsum(sizes)
+                a = 0
+                while len(ends):
+                    done = filled[a - 1] if a else 0
+                    after = ends[(ends > a) & (filled[ends - 1] - done >= SHARD_WORDS)]
+                    if not len(after):
+                        break
+                    b = int(after[0])
+                    yield flush(keys[a:b], segs[a:b], ids[a:b], sizes[a:b], codes[done : filled[b - 1]])
+                    a = b
+                done = filled[a - 1] if a else 0
+                held, total = [[keys[a:], segs[a:], ids[a:], sizes[a:], codes[done:]]], len(codes) - int(done)
+        if total:
+            yield flush(*(np.concatenate(x) for x in zip(*held)))
+
+    return contents.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, seg long, least array<long>")
+
+
+def _spans(found: DataFrame, window: int) -> DataFrame:
+    """found: id, row, start, least (of each window from start on); id, row, start and stop of each run of words that a smaller id has."""
 
-    distinct = windows.groupBy("shard", "words").agg(F.min("id").alias("id"))
-    found = distinct.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, least long").groupBy("shard").agg(F.min("least").alias("least"))
-    return windows.join(found, "shard").where("least < id").select("id", "row", "start", (F.col("start") + window).cast("int").alias("stop"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least, count = _flat(batch.column("least"))
+            ids, starts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "start"))
+            of = np.repeat(np.arange(len(ids)), count)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + starts[of]
+            hit = np.flatnonzero(least < ids[of])
+            if not len(hit):
+                continue
+            of, place = of[hit], place[hit]
+            new = np.concatenate([[True], (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1)])
+            last = np.concatenate([new[1:], [True]])
+            rows = batch.column("row").take(pa.array(of[new]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of[new]]), rows, pa.array(place[new].astype(np.int32)), pa.array((place[last] + window).astype(np.int32))], ["id", "row", "start", "stop"])
+
+    return found.mapInArrow(run, "id long, row long, start int, stop int")
 
 
 def repeated(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -206,18 +218,17 @@ def repeated(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     places = saved(places.groupBy("id", "row").agg(F.collect_list(F.struct("at", "hot")).alias("p")).select("id", "row", F.col("p.at").alias("ats"), F.col("p.hot").alias("hots")), "places")
     discard(shared)
     release(spark)
-    joined = there.join(places, ["id", "row"])
-    cold = saved(_repeats(_segments(joined, window, anchor).where("not hot").drop("hot"), window), "repeats")
+    segments = saved(_segments(there.join(places.hint("merge"), ["id", "row"]), window, anchor), "segments")
+    discard(places)
+    release(spark)
+    least = saved(_searched(segments.where("words is not null").select("shard", "seg", "id", "words"), window), "least")
+    release(spark)
+    found = segments.select("shard", "seg", "id", "row", "start").join(least.hint("merge"), ["shard", "seg"])
+    spans = saved(_spans(found.select("id", "row", "start", "least"), window), "spans")
+    discard(segments)
+    discard(least)
     release(spark)
-    with_hot = there.join(places.where(F.exists("hots", lambda h: h)), ["id", "row"])
-    only = with_hot.select("id", "row", "text", "ats", "hots")
-    windows = _segments(only, window, anchor).where("hot").drop("hot")
-    if places.where(F.exists("hots", lambda h: h)).limit(1).count():
-        windows = saved(windows, "windows")
-        cold = cold.unionAll(saved(_hot_repeats(windows, window), "hot"))
-        discard(windows)
-        release(spark)
-    return cold.groupBy("id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return spans.groupBy("id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -230,25 +241,33 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", window:
     """
     rows = narrow(df, id=key, text=text).withColumn("id", F.col("id").cast("long")).withColumn("row", F.xxhash64("text"))
     spans = repeated(rows, window, anchor)
-    joined = rows.join(spans, ["id", "row"], "left").select("id", "text", "spans")
+    joined = rows.join(spans.hint("merge"), ["id", "row"], "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             data, offsets = text_bytes(batch.column("text"))
             words = Words(data, offsets)
+            column = batch.column("spans")
+            inner = pc.list_flatten(column)
+            base = np.repeat(words.first[:-1], _flat(column)[1])
             gone = np.zeros(len(words.hash) + 1, np.int64)
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                for s in spans or ():
-                    gone[words.first[i] + s["start"]] += 1
-                    gone[words.first[i] + s["stop"]] -= 1
-            stay = np.cumsum(gone)[:-1] == 0
-            n, left = words.count, np.diff(np.concatenate([[0], np.cumsum(stay)])[words.first])
-            raw = data.tobytes()
-            kept = []
-            for a, b in zip(words.first, words.first[1:]):
-                own = np.flatnonzero(stay[a:b]) + a
-                kept.append(b" ".join([raw[s:e] for s, e in zip(words.start[own].tolist(), words.end[own].tolist())]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64)), pa.array((n - left).astype(np.int64)), batch.column("spans")], ["id", "kept", "n_words", "n_removed", "spans"])
+            np.add.at(gone, base + pc.struct_field(inner, "start").to_numpy(zero_copy_only=False), 1)
+            np.add.at(gone, base + pc.struct_field(inner, "stop").to_numpy(zero_copy_only=False), -1)
+            stay = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
+            left = np.diff(np.searchsorted(stay, words.first))
+            # the kept words' bytes, and of the space after each of them one byte, but for a text's last
+            last = np.zeros(len(stay), bool)
+            last[np.cumsum(left)[left > 0] - 1] = True
+            out = data.copy()
+            out[words.end[stay[~last]]] = 32
+            edge = np.zeros(len(data) + 2, np.int8)
+            edge[words.start[stay]] += 1
+            edge[words.end[stay] + ~last] -= 1
+            taken = np.cumsum(edge[:-1], dtype=np.int8)[: len(data)] > 0
+            before = np.concatenate([[0], np.cumsum(taken)])[offsets]
+            kept = pa.Array.from_buffers(pa.large_utf8(), batch.num_rows, [None, pa.py_buffer(before.astype(np.int64).tobytes()), pa.py_buffer(out[taken].tobytes())])
+            n = words.count
+            yield pa.RecordBatch.from_arrays([batch.column("id"), kept.cast(pa.string()), pa.array(n.astype(np.int64)), pa.array((n - left).astype(np.int64)), column], ["id", "kept", "n_words", "n_removed", "spans"])
 
     return joined.mapInArrow(run, "id long, kept string, n_words long, n_removed long, spans array<struct<start:int,stop:int>>").withColumnRenamed("id", key)
 
