@@ -21,10 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LETTERS, documents, narrow, saved, steps, text_bytes, words_of
+from millrace.llm.common import LETTERS, documents, kept_as, kind_of, kinds_of, narrow, saved, steps, text_bytes, words_of
 
 #: Labelled rows that are learned from, about; words of the vocabulary; documents of the sample that a word must be in.
-SAMPLE, VOCABULARY, LEAST_DOCS = 12_000, 20_000, 4
+SAMPLE, VOCABULARY, LEAST_DOCS = 6_000, 20_000, 4
 #: Rounds of gradient steps at most, the largest miss of a target (as a share of all targets) that ends them, the pull to the mean rate.
 ROUNDS, CLOSE, PULL = 40, 0.002, 1e-3
 
@@ -131,30 +131,28 @@ def fit(df: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             of, h = word_lists(batch.column("text"))
-            ends = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
-            x = facts(batch.column("text"))
-            width = np.arange(batch.num_rows + 1, dtype=np.int32) * x.shape[1]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array(width), pa.array(x.reshape(-1)))], ["label", "words", "facts"])
+            ends = np.searchsorted(of, np.arange(batch.num_rows + 1))
+            words = pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("label"), words, pa.array([x.tobytes() for x in facts(batch.column("text"))], pa.binary())], ["label", "words", "facts"])
 
-    got = sorted((r.label, r.facts, r.words) for r in rows.mapInArrow(run, "label string, words array<long>, facts array<double>").collect())
+    got = sorted((r.label, bytes(r.facts), bytes(r.words)) for r in rows.mapInArrow(run, "label string, words binary, facts binary").toLocalIterator())
     if not got:
         return None
-    return learn([np.array(w, np.int64).view(np.uint64) for _, _, w in got], np.array([x for _, x, _ in got]), [d for d, _, _ in got], domains)
+    return learn([np.frombuffer(w, np.uint64) for _, _, w in got], np.stack([np.frombuffer(x) for _, x, _ in got]), [d for d, _, _ in got], domains)
 
 
-def memberships(df: DataFrame, classifier: Classifier | None, domains: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, tokens (words of the whole text) and posteriors of every row; without a classifier all domains are as likely."""
-    rows = narrow(df, key=key, text=text)
+def memberships(df: DataFrame, classifier: Classifier | None, domains: list[str], key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, tokens (words of the whole text), posteriors and the ``keep`` columns of every row; without a classifier all domains are as likely."""
+    rows = narrow(df, key=key, text=text, **kept_as(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             column = pc.fill_null(batch.column("text"), "")
             p = classifier.posteriors(column) if classifier else np.full((batch.num_rows, len(domains)), 1 / len(domains))
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(domains))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(words_of(column).count.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(p.reshape(-1)))], ["key", "tokens", "posteriors"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(words_of(column).count.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(p.reshape(-1))), *(batch.column(k) for k in kept_as(keep))], ["key", "tokens", "posteriors", *kept_as(keep)])
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, tokens long, posteriors array<double>").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind_of(rows, 'key')}, tokens long, posteriors array<double>{kinds_of(rows, keep)}").toDF(key, "tokens", "posteriors", *keep)
 
 
 def rates(p: np.ndarray, history: list[np.ndarray], mean_rate: float, pull: float) -> np.ndarray:
@@ -222,8 +220,8 @@ def mixed_rates(members: DataFrame, history: list[np.ndarray], mean_rate: float,
     return members.mapInArrow(run, f"{kind}, domain string, rate double")
 
 
-def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET, key: str = "doc_id", text: str = "text", label: str = "domain") -> DataFrame:
-    """``key``, tokens, posteriors (in the order of ``targets``), domain (the likeliest) and rate of every row of ``df``.
+def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET, key: str = "doc_id", text: str = "text", label: str = "domain", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, tokens, posteriors (in the order of ``targets``), the ``keep`` columns, domain (the likeliest) and rate of every row of ``df``.
 
     ``labels`` has ``key`` and ``label``, a name of ``targets``; targets are shares of the token budget, which is ``budget``
     of all tokens. A null or empty text has no tokens and the posteriors of a text without words. Null keys get a rate like
@@ -232,7 +230,7 @@ def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """
     targets = targets or TARGETS
     domains = list(targets)
-    members = saved(memberships(df, fit(df, labels, domains, key, text, label), domains, key, text), "members")
+    members = saved(memberships(df, fit(df, labels, domains, key, text, label), domains, key, text, keep), "members")
     history, mean_rate = fitted(members, targets, budget)
     return mixed_rates(members, history, mean_rate, domains)
 
