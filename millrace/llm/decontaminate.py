@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LETTERS, documents, narrow, steps, words_of
+from millrace.llm.common import LETTERS, documents, kept_as, kind_of, kinds_of, narrow, steps, words_of
 
 SHINGLE, SIMILAR, RADIUS = 5, 0.8, 20
 #: Benchmark text that is sent to the tasks at once.
@@ -163,22 +163,22 @@ def _spread(items: DataFrame, size: int) -> DataFrame:
     return grams.groupBy("gram").agg(F.count("*").alias("n"), F.collect_set("slice").alias("slices")).where("n > 1")
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SHINGLE, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
-    """``key`` and matches (item_id, start, stop, similarity; words, the best window of each item) of every row of ``df``.
+def contamination(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SHINGLE, similar: float = SIMILAR, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key`` and matches (item_id, start, stop, similarity; words, the best window of each item) of every row of ``df``, then the columns named by ``keep``.
 
     Words are runs of letters, digits and anything beyond ASCII, A-Z lowered. Null or empty texts match nothing, items
     without words are matched by nothing, an item of under ``size`` words is one shingle, items with equal texts are all
     reported, items with a null id are left out. Keys may be null, repeated rows are judged alike, an empty table gives an
     empty one and an empty benchmark matches nothing. Other columns aren't read. No shuffle.
     """
-    rows = narrow(df, key=key, text=text)
+    rows = narrow(df, key=key, text=text, **kept_as(keep))
     items = narrow(benchmark, item=item, text=item_text).where("item is not null").withColumn("item", F.col("item").cast("long"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     slices = max(1, -(-total // SLICE_BYTES))
     items = items.withColumn("slice", F.pmod(F.xxhash64("item", "text"), F.lit(slices)))
     shared = _spread(items, size)
-    kind = rows.schema["key"].dataType.simpleString()
-    out = rows.select("key", F.lit(None).cast(MATCHES).alias("matches"), "text")
+    schema = f"key {kind_of(rows, 'key')}, matches {MATCHES}, text string{kinds_of(rows, keep)}"
+    out = rows.select("key", F.lit(None).cast(MATCHES).alias("matches"), "text", *kept_as(keep))
     for k in range(slices):
         held = sorted((r.item, r.text) for r in items.where(F.col("slice") == k).select("item", "text").collect() if r.text)
         many = {r.gram % 2**64: r.n for r in shared.where(F.array_contains("slices", F.lit(k).cast("long"))).select("gram", "n").collect()} if slices > 1 else {}
@@ -188,10 +188,10 @@ def contamination(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
             for batch in steps(batches):
                 before = batch.column("matches").to_pylist()
                 found = matches(batch.column("text"), bench, similar)
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([(b or []) + f for b, f in zip(before, found)], batch.schema.field("matches").type), batch.column("text")], ["key", "matches", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([(b or []) + f for b, f in zip(before, found)], batch.schema.field("matches").type), batch.column("text"), *(batch.column(x) for x in kept_as(keep))], ["key", "matches", "text", *kept_as(keep)])
 
-        out = out.mapInArrow(run, f"key {kind}, matches {MATCHES}, text string")
-    return out.select(F.col("key").alias(key), "matches")
+        out = out.mapInArrow(run, schema)
+    return out.select("key", "matches", *kept_as(keep)).toDF(key, "matches", *keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

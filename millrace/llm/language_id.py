@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, narrow, steps, text_bytes
+from millrace.llm.common import documents, kept_as, kind_of, kinds_of, narrow, steps, text_bytes
 
 UNKNOWN = "und"
 DIM_BITS = 12
@@ -175,14 +175,14 @@ def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_i
     return Model(np.stack([np.frombuffer(x, np.float16) for _, _, x in got]).astype(np.float32), np.array([v for v, _, _ in got], object))
 
 
-def predicted(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, lang_pred and score of every row, without a shuffle.
+def predicted(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, lang_pred and score of every row, without a shuffle, then the columns named by ``keep``.
 
     A null text, one without a letter, or no model at all gives ``und`` with score 0. Texts are read whole, only the two
     named columns are read (others can't clash), null keys stay null, repeated rows are predicted alike, an empty table
     gives an empty one.
     """
-    rows = narrow(df, key=key, text=text)
+    rows = narrow(df, key=key, text=text, **kept_as(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -193,10 +193,9 @@ def predicted(df: DataFrame, model: Model | None, key: str = "doc_id", text: str
                     known = np.flatnonzero(has_letter(part.column("text").to_pylist()))
                     if len(known):
                         lang[known], score[known] = model.predict(vectors(part.column("text").take(pa.array(known))))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(lang.tolist(), pa.string()), pa.array(score)], ["key", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(lang.tolist(), pa.string()), pa.array(score), *(part.column(k) for k in kept_as(keep))], ["key", "lang_pred", "score", *kept_as(keep)])
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind_of(rows, 'key')}, lang_pred string, score double{kinds_of(rows, keep)}").toDF(key, "lang_pred", "score", *keep)
 
 
 def held_out(key: Column) -> Column:

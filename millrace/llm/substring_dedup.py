@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Words, discard, documents, mixed, narrow, release, saved, steps, text_bytes, words_of
+from millrace.llm.common import Words, discard, documents, kept_as, kinds_of, mixed, narrow, release, saved, steps, text_bytes, words_of
 from millrace.llm.fm_index import Index
 
 WINDOW, ANCHOR = 13, 5
@@ -231,17 +231,17 @@ def repeated(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     return spans.groupBy("id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``key``, kept (the words that are left, joined by a space), n_words, n_removed and spans of every row.
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, kept (the words that are left, joined by a space), n_words, n_removed, spans and the ``keep`` columns of every row.
 
     A word goes if a window of ``window`` words that covers it also starts in a row with a smaller key; all windows are
     judged on the input. Rows with the same key are one document: they take nothing from each other. A null text has no
     words and a null key neither removes nor loses any. Texts of under ``window`` words stay. An empty table gives an
     empty one; only the two named columns are read.
     """
-    rows = narrow(df, id=key, text=text).withColumn("id", F.col("id").cast("long")).withColumn("row", F.xxhash64("text"))
-    spans = repeated(rows, window, anchor)
-    joined = rows.join(spans.hint("merge"), ["id", "row"], "left").select("id", "text", "spans")
+    rows = narrow(df, id=key, text=text, **kept_as(keep)).withColumn("id", F.col("id").cast("long")).withColumn("row", F.xxhash64("text"))
+    spans = repeated(rows.select("id", "row", "text"), window, anchor)
+    joined = rows.join(spans.hint("merge"), ["id", "row"], "left").select("id", "text", "spans", *kept_as(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -267,9 +267,10 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", window:
             before = np.concatenate([[0], np.cumsum(taken)])[offsets]
             kept = pa.Array.from_buffers(pa.large_utf8(), batch.num_rows, [None, pa.py_buffer(before.astype(np.int64).tobytes()), pa.py_buffer(out[taken].tobytes())])
             n = words.count
-            yield pa.RecordBatch.from_arrays([batch.column("id"), kept.cast(pa.string()), pa.array(n.astype(np.int64)), pa.array((n - left).astype(np.int64)), column], ["id", "kept", "n_words", "n_removed", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), kept.cast(pa.string()), pa.array(n.astype(np.int64)), pa.array((n - left).astype(np.int64)), column, *(batch.column(k) for k in kept_as(keep))], ["id", "kept", "n_words", "n_removed", "spans", *kept_as(keep)])
 
-    return joined.mapInArrow(run, "id long, kept string, n_words long, n_removed long, spans array<struct<start:int,stop:int>>").withColumnRenamed("id", key)
+    schema = f"id long, kept string, n_words long, n_removed long, spans array<struct<start:int,stop:int>>{kinds_of(rows, keep)}"
+    return joined.mapInArrow(run, schema).toDF(key, "kept", "n_words", "n_removed", "spans", *keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
