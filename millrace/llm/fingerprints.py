@@ -1,14 +1,14 @@
 """Operator 8, document fingerprints by invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text is a set of paragraph digests: of its lines and sentences, or, where it has few of them, of its pairs of
-neighbouring words. The digests of a version are dealt into blocks by hash, and each block is an invertible sketch of
-cells (count, xor of digests, xor of their checks) in which every digest is in three cells. Two versions are compared by
-subtracting cells: peeling takes out the digests of cells that hold just one until none is left, which recovers the digests in
-which the versions differ. Where peeling gets stuck, that block is tried again with more cells. The likeness is the Jaccard
-similarity that the recovered difference gives.
-
-Blocks hold a few digests each, so a sketch of any size is peeled in work in proportion to it, and no row holds more than a
-block. The fingerprint that is reported is the sketch folded to ``FOLDED`` cells, with a digest of the text.
+A text is a set of paragraph digests: of its lines, or, where it has few of them, its sentences, or else its pairs of
+neighbouring words. A version's sketch has cells (count, xor of digests, xor of their checks), and every digest is in three
+of them, one in each third. Two versions are compared by subtracting cells, which leaves the digests that only one has.
+Peeling goes by thirds: each cell of the third that holds a single digest gives it up and takes it out of its two other
+cells, so a digest is found once. Where cells are left after ``PASSES``, both sketches are made again with more cells.
+The likeness is the Jaccard similarity that the recovered difference gives.
+
+Cells are rows, grouped by document and cell; documents are dealt once and all groupings stay within that dealing, so
+peeling shuffles nothing. The fingerprint that is reported is the sketch folded to ``FOLDED`` cells, with a digest of the text.
 """
 
 from __future__ import annotations
@@ -16,94 +16,100 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, narrow, saved
-
-#: Digests of a version in a block, about; cells of a block at each try; cells of the reported sketch.
-PER_BLOCK, TRIES, FOLDED = 4, (15, 48, 192, 1536), 8
-#: Texts with fewer lines and sentences than this are read by pairs of words.
-FEW = 16
+from millrace.llm.common import documents, narrow, release, saved
 
+#: Cells of a third at least, how many times as many at each retry, the retries; passes of peeling; cells of the reported sketch.
+THIRD, GROWTH, RETRIES, PASSES, FOLDED = 32, 8, 4, 12, 8
+#: With fewer lines than this a text is read by its sentences, with fewer sentences by pairs of words.
+FEW = 8
 #: Rows of a bucket, about; quantiles at which ids are cut, and even parts between them at most.
 ROWS, CUTS, FINE = 2000, 64, 1024
 
-_BREAK = r"\n+|(?<=[.!?])[ \t]+"
+_SENTENCE = r"\n+|(?<=[.!?])[ \t]+"
 _SPACE = r"[ \t-\r]+"
 _CHECK = 0x5BD1E995
+_KEYS = ["bucket", "place"]
+
+
+def _digests(parts: Column, kind: str) -> Column:
+    return F.array_distinct(F.transform(F.filter(parts, lambda p: F.trim(p) != ""), lambda p: F.xxhash64(F.lit(kind), p)))
+
+
+def _lines(text: Column) -> Column:
+    return _digests(F.split(text, r"\n+"), "l")
 
 
 def _sentences(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(F.split(text, _BREAK), lambda p: F.trim(p) != ""), lambda p: F.xxhash64(F.lit("p"), p)))
+    return _digests(F.split(text, _SENTENCE), "s")
 
 
 def _pairs(text: Column) -> Column:
-    """One digest per word, of it and the next one; a text of one word has that one."""
+    """One digest per word, of it and the next one; the last word has none after it."""
     words = F.filter(F.split(text, _SPACE), lambda w: w != "")
     return F.array_distinct(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(F.lit("w"), a, F.coalesce(b, F.lit("")))))
 
 
-def _check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit(_CHECK))
-
+def _level(lines: Column, sentences: Column) -> Column:
+    """0: lines, 1: sentences, 2: pairs of words."""
+    return F.when(F.size(lines) >= FEW, 0).when(F.size(sentences) >= FEW, 1).otherwise(2)
 
-def _places(digest: Column, cells: int) -> list[Column]:
-    """A digest's three cells, one in each third."""
-    third = cells // 3
-    return [(F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(third)) + F.lit(k * third)).cast("int") for k in range(3)]
 
+def _at(level: str, text: str) -> Column:
+    return F.when(F.col(level) == 0, _lines(F.col(text))).when(F.col(level) == 1, _sentences(F.col(text))).otherwise(_pairs(F.col(text)))
 
-def _sketch(digests: Column, cells: int) -> Column:
-    """The cells of an array of distinct digests."""
-    third = cells // 3
-    placed = F.transform(digests, lambda d: F.struct(d.alias("d"), _check(d).alias("c"), F.array(*_places(d, cells)).alias("p")))
 
-    def cell(i: Column) -> Column:
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("c"))
-        add = lambda a, x: F.when(F.element_at(x.p, (F.floor(i / third) + 1).cast("int")) == i, F.struct((a.n + 1).alias("n"), a.d.bitwiseXOR(x.d).alias("d"), a.c.bitwiseXOR(x.c).alias("c"))).otherwise(a)
-        return F.aggregate(placed, start, add)
+def _check(digest: Column) -> Column:
+    return F.xxhash64(digest, F.lit(_CHECK))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell)
 
+def _place(digest: Column, third: Column, k: int) -> Column:
+    """A digest's cell in the ``k``-th third."""
+    return F.pmod(F.xxhash64(digest, F.lit(k)), third) + third * F.lit(k)
 
-def _minus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x.n - y.n).alias("n"), x.d.bitwiseXOR(y.d).alias("d"), x.c.bitwiseXOR(y.c).alias("c")))
 
+def _cell(cell: Column, n: Column, digest: Column, check: Column) -> Column:
+    return F.struct(cell.cast("long").alias("cell"), n.cast("long").alias("n"), digest.alias("d"), check.alias("c"))
 
-def _peeled(cells: Column, size: int) -> Column:
-    """How many digests the subtracted cells give up, null where some are left that can't be told.
 
-    A round takes out, of all cells that hold a single digest, its digest from its three cells. Each round but the last
-    takes one at least, so there are as many rounds as cells at most; nothing is done once no cell is single.
-    """
-    third = size // 3
-    single = lambda x: (F.abs(x.n) == 1) & (x.c == _check(x.d))
+def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells with the same place put together; those without anything go. Place -1 holds the count of what was found."""
+    out = rows.groupBy(*keys, "third", "cell").agg(F.sum("n").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("c").alias("c"))
+    return out.where("cell = -1 or n <> 0 or d <> 0 or c <> 0")
 
-    def round_(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(state.cells, single), lambda x: F.struct(x.n.alias("n"), x.d.alias("d"))))
-        keyed = F.transform(pure, lambda x: F.struct(x.n.alias("n"), x.d.alias("d"), _check(x.d).alias("c"), F.array(*_places(x.d, size)).alias("p")))
 
-        def without(taken: Column) -> Column:
-            less = lambda i: lambda a, x: F.when(F.element_at(x.p, (F.floor(i / third) + 1).cast("int")) == i, F.struct((a.n - x.n).alias("n"), a.d.bitwiseXOR(x.d).alias("d"), a.c.bitwiseXOR(x.c).alias("c"))).otherwise(a)
-            return F.transform(state.cells, lambda cell, i: F.aggregate(taken, cell, less(i)))
+def subtracted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows: keys, third, n (1: the first version's, -1: the second's), d (digest). The cells of the first sketch less the second."""
+    d, third = F.col("d"), F.col("third")
+    cells = F.array(*[_cell(_place(d, third, k), F.col("n"), d, _check(d)) for k in range(3)])
+    return _summed(rows.select(*keys, "third", F.inline(cells)), keys)
 
-        # the array of keys is made once: a one-element array stands for a binding
-        new = F.element_at(F.transform(F.array(keyed), lambda k: F.struct(without(k).alias("cells"), (state.got + F.size(k)).alias("got"), (F.size(k) == 0).alias("stuck"))), 1)
-        return F.when(state.stuck, state).otherwise(new)
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("got"), F.lit(False).alias("stuck"))
-    end = lambda s: F.when(F.forall(s.cells, lambda x: (x.n == 0) & (x.d == 0)), s.got)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(size)), start, round_, end)
+def peeled(cells: DataFrame, keys: list[str], passes: int = PASSES) -> DataFrame:
+    """keys, found (the digests that only one version has) and left (cells that couldn't be told) of subtracted cells."""
+    for step in range(passes):
+        k = step % 3
+        third, n, d, c = F.col("third"), F.col("n"), F.col("d"), F.col("c")
+        single = (F.col("cell") >= third * k) & (F.col("cell") < third * (k + 1)) & (F.abs(n) == 1) & (c == _check(d))
+        nothing = F.lit(0).cast("long")
+        out = F.array(_cell(F.lit(-1), F.lit(1), nothing, nothing), *[_cell(_place(d, third, j), -n, d, c) for j in range(3) if j != k])
+        cells = _summed(cells.select(*keys, "third", F.inline(F.when(single, out).otherwise(F.array(_cell(F.col("cell"), n, d, c))))), keys)
+    return cells.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("cell") < 0, F.col("n"))), F.lit(0)).alias("found"), F.count(F.when(F.col("cell") >= 0, 1)).alias("left"))
 
 
-def differing(a: Column, b: Column, tries: tuple[int, ...] = TRIES) -> Column:
-    """The number of digests that only one of two arrays of distinct digests has, by sketches of more and more cells; null if all tries fail."""
-    return F.coalesce(*[_peeled(_minus(_sketch(a, n), _sketch(b, n)), n) for n in tries])
+def differing(pairs: DataFrame, keys: list[str], growth: int = 1, passes: int = PASSES) -> DataFrame:
+    """pairs: keys, x and y (arrays of distinct digests), dealt by some of the keys. keys, found and left of each pair that differs."""
+    sign = lambda n: lambda d: F.struct(F.lit(n).alias("n"), d.alias("d"))
+    third = F.greatest(F.lit(THIRD), F.size("x") + F.size("y")).cast("long") * growth
+    rows = pairs.select(*keys, third.alias("third"), F.inline(F.concat(F.transform("x", sign(1)), F.transform("y", sign(-1)))))
+    return peeled(subtracted(rows, keys), keys, passes)
 
 
 def _folded(text: Column, digests: Column) -> Column:
-    """The reported fingerprint: a digest of the text, then the count and the xors of each cell, in hex."""
-    cell = lambda i: F.aggregate(F.filter(digests, lambda d: F.pmod(d, F.lit(FOLDED)) == i), F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d))
-    count = lambda i: F.size(F.filter(digests, lambda d: F.pmod(d, F.lit(FOLDED)) == i))
-    return F.concat_ws(":", F.lower(F.hex(F.xxhash64(text))), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda i: F.concat(F.lower(F.hex(count(i))), F.lit("-"), F.lower(F.hex(cell(i))))), ":"))
+    """The reported fingerprint: a digest of the text, then the count and the xor of each cell, in hex."""
+    inside = lambda i: F.filter(digests, lambda d: F.pmod(d, F.lit(FOLDED)) == i)
+    xor = lambda ds: F.aggregate(ds, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda i: F.concat(F.lower(F.hex(F.size(inside(i)))), F.lit("-"), F.lower(F.hex(xor(inside(i))))))
+    return F.concat_ws(":", F.lower(F.hex(F.xxhash64(text))), F.array_join(cells, ":"))
 
 
 def _buckets(rows: DataFrame) -> Column:
@@ -152,41 +158,44 @@ def edited(text: Column, after: Column) -> Column:
 def compared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
-    A null text is empty. Two empty texts are alike (1), an empty and another one aren't (0). Rows are in order of
-    descending key, null keys last, equal keys by a hash of their texts, so that of repeated rows one follows the other.
-    An empty table gives an empty one; only the two named columns are read.
+    A null text is empty. Two empty texts are alike (1), an empty and another one aren't (0). Versions are compared by what
+    the text itself is read by. Rows are in order of descending key, null keys last, equal keys by a hash of their texts,
+    so that of repeated rows one follows the other. An empty table gives an empty one; only the two named columns are read.
     """
+    spark = df.sparkSession
     rows = narrow(df, id=key, text=text).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    both = followed(rows)
+    both = followed(rows).select(*_KEYS, "id", "text", "after")
     both = both.withColumn("edited", edited(F.col("text"), F.col("after")))
-    both = both.withColumns({"st": _sentences(F.col("text")), "se": _sentences(F.col("edited"))})
-    own = lambda s, t: F.when(F.size(s) >= FEW, F.col(s)).otherwise(_pairs(F.col(t)))
-    fine = F.size("st") < FEW
-    both = both.withColumns({"a": own("st", "text"), "e": own("se", "edited"), "b": F.when(fine, _pairs(F.col("edited"))).otherwise(F.col("se")), "c": F.when(fine, _pairs(F.col("after"))).otherwise(_sentences(F.col("after")))})
-    meta = F.struct(F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), _folded(F.col("text"), F.col("a")).alias("fingerprint"), _folded(F.col("edited"), F.col("e")).alias("edited_fingerprint"), F.size("a").alias("na"), F.size("b").alias("nb"), F.size("c").alias("nc"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.size("a") / F.lit(PER_BLOCK))).cast("int")
-    keys = ["bucket", "place", "id"]
-    tag = lambda side: lambda d: F.struct(F.lit(side).alias("side"), d.alias("d"))
-    tagged = [F.transform(F.col(x), tag(i)) for i, x in enumerate("abc")]
-    flat = both.select(*keys, meta.alias("meta"), blocks.alias("blocks"), F.concat(*tagged).alias("all"))
-    # the row's own facts go with one extra element, so that they aren't repeated for each digest
-    head = F.array(F.struct(F.lit(-1).alias("side"), F.lit(0).cast("long").alias("d")))
-    spread = flat.select(*keys, "meta", "blocks", F.explode(F.concat(head, F.col("all"))).alias("x"))
-    spread = spread.select(*keys, F.when(F.col("x.side") < 0, F.lit(-1)).otherwise(F.pmod(F.col("x.d"), F.col("blocks")).cast("int")).alias("block"), F.when(F.col("x.side") < 0, F.col("meta")).alias("meta"), F.col("x.side").alias("side"), F.col("x.d").alias("d"))
-    side = lambda i: F.collect_list(F.when(F.col("side") == i, F.col("d")))
-    # grouped within the partitions that the buckets are in already
-    grouped = spread.groupBy(*keys, "block").agg(F.max("meta").alias("meta"), side(0).alias("a"), side(1).alias("b"), side(2).alias("c"))
-    told = grouped.select(*keys, "meta", F.when(F.col("block") >= 0, differing(F.col("a"), F.col("b"))).alias("de"), F.when(F.col("block") >= 0, differing(F.col("a"), F.col("c"))).alias("dn"), "block")
-    missed = lambda d: F.max(F.when((F.col("block") >= 0) & F.col(d).isNull(), True).otherwise(False))
-    out = told.groupBy(*keys).agg(F.max("meta").alias("m"), F.coalesce(F.sum("de"), F.lit(0)).alias("de"), F.coalesce(F.sum("dn"), F.lit(0)).alias("dn"), missed("de").alias("me"), missed("dn").alias("mn"))
-
-    def likeness(n: str, d: str, failed: str) -> Column:
-        total = F.col("m.na") + F.col(f"m.{n}")
-        value = F.when(total == 0, F.lit(1.0)).otherwise((total - F.col(d)) / (total + F.col(d)))
-        return F.when(F.col(failed), F.raise_error(F.lit("a block couldn't be peeled by any try"))).otherwise(value)
-
-    out = out.select("id", "m.n_chars", "m.edited_sha256", "m.fingerprint", "m.edited_fingerprint", likeness("nb", "de", "me").alias("near_edited"), likeness("nc", "dn", "mn").alias("near_next"))
-    return out.withColumnRenamed("id", key)
+    both = both.withColumns({"level": _level(_lines(F.col("text")), _sentences(F.col("text"))), "own": _level(_lines(F.col("edited")), _sentences(F.col("edited")))})
+    both = both.withColumns({"a": _at("level", "text"), "b": _at("level", "edited"), "c": _at("level", "after")}).withColumn("e", F.when(F.col("level") == F.col("own"), F.col("b")).otherwise(_at("own", "edited")))
+    made = saved(both.select(*_KEYS, "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), _folded(F.col("text"), F.col("a")).alias("fingerprint"), _folded(F.col("edited"), F.col("e")).alias("edited_fingerprint"), "a", "b", "c"), "digests")
+    release(spark)
+    keys = [*_KEYS, "pair"]
+    pair = lambda i, y: F.struct(F.lit(i).alias("pair"), F.col("a").alias("x"), F.col(y).alias("y"))
+    sides = made.select(*_KEYS, "a", "b", "c")
+    found, todo = None, None
+    for retry in range(RETRIES):
+        # dealt by the whole key; the groupings by key and cell that follow find their rows together
+        part = sides if todo is None else sides.join(todo.select(*_KEYS).distinct().hint("merge"), _KEYS)
+        pairs = part.repartition(*_KEYS).select(*_KEYS, F.inline(F.array(pair(0, "b"), pair(1, "c"))))
+        if todo is not None:
+            pairs = pairs.join(todo.select(*keys), keys, "left_semi")
+        got = saved(differing(pairs, keys, GROWTH**retry), "peeled")
+        whole = got.where("left = 0").select(*keys, "found")
+        found = whole if found is None else found.unionAll(whole)
+        todo = got.where("left > 0")
+        if not todo.limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"sketches of {GROWTH ** (RETRIES - 1)} times the cells that are needed couldn't be peeled")
+    counts = found.groupBy(*_KEYS).agg(F.sum(F.when(F.col("pair") == 0, F.col("found"))).alias("de"), F.sum(F.when(F.col("pair") == 1, F.col("found"))).alias("dn"))
+
+    def likeness(y: str, d: str) -> Column:
+        total, apart = F.size("a") + F.size(y), F.coalesce(F.col(d), F.lit(0))  # a pair without a row has no difference
+        return F.when(total == 0, F.lit(1.0)).otherwise((total - apart) / (total + apart))
+
+    out = made.join(counts, _KEYS, "left")
+    return out.select(F.col("id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("b", "de").alias("near_edited"), likeness("c", "dn").alias("near_next"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

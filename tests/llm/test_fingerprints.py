@@ -9,14 +9,13 @@ from millrace.llm import fingerprints as op
 SCHEMA = "doc_id long, text string, Text string, n_chars string"
 
 
-def units(t, few):
+def units(t, level=None):
+    lines = {p for p in re.split(r"\n+", t) if p.strip(" ")}
     sentences = {p for p in re.split(r"\n+|(?<=[.!?])[ \t]+", t) if p.strip(" ")}
-    if few is None:
-        few = len(sentences) < op.FEW
-    if not few:
-        return sentences, few
+    if level is None:
+        level = 0 if len(lines) >= op.FEW else 1 if len(sentences) >= op.FEW else 2
     w = [x for x in re.split(r"[ \t-\r]+", t) if x]
-    return set(zip(w, [*w[1:], ""])), few
+    return (lines, sentences, set(zip(w, [*w[1:], ""])))[level], level
 
 
 def likeness(a, b):
@@ -31,8 +30,8 @@ def brute(rows):
         after = rows[(i + 1) % len(rows)][1]
         half = len(t) // 2
         e = t[: len(t) - half] + after[:half]
-        a, few = units(t, None)
-        out.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), round(likeness(a, units(e, few)[0]), 9), round(likeness(a, units(after, few)[0]), 9)))
+        a, level = units(t)
+        out.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), round(likeness(a, units(e, level)[0]), 9), round(likeness(a, units(after, level)[0]), 9)))
     return out
 
 
@@ -76,16 +75,24 @@ def test_edges(spark):
     assert sorted((str(k), n) for k, n, *_ in got) == [("1", 3), ("1", 3), ("2", 3), ("None", 0), ("None", 3)]
 
 
-def test_peeling_and_retries(spark):
+def test_peeling_and_failure(spark):
     rng = random.Random(2)
     rows = []
-    for n in (0, 1, 3, 10, 40, 200):
+    for i, n in enumerate((1, 3, 10, 40, 200, 2000)):
         both = [rng.getrandbits(62) for _ in range(30)]
-        rows.append((both + [rng.getrandbits(62) for _ in range(n)], both + [rng.getrandbits(62) for _ in range(n // 2)], n + n // 2))
-    df = spark.createDataFrame(rows, "a array<long>, b array<long>, want long")
-    assert all(r.d == r.want for r in df.select("want", op.differing(F.col("a"), F.col("b")).alias("d")).collect())
-    one = df.where("want = 300").select(op.differing(F.col("a"), F.col("b"), (15,)).alias("d")).first()
-    assert one.d is None  # too few cells: told apart from a right answer
+        rows.append((i, both + [rng.getrandbits(62) for _ in range(n)], both + [rng.getrandbits(62) for _ in range(n // 2)], n + n // 2))
+    df = spark.createDataFrame(rows, "k long, x array<long>, y array<long>, want long")
+    got = {r.k: (r.found, r.left) for r in op.differing(df.select("k", "x", "y"), ["k"], 4, 18).collect()}
+    assert got == {i: (w, 0) for i, _, _, w in rows}
+    few = op.differing(df.where("k = 5").select("k", "x", "y"), ["k"], 4, 1).first()
+    assert few.left > 0 and few.found < 3000  # too few passes: told apart from a right answer
+
+
+def test_retries_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(op, "THIRD", 1)
+    monkeypatch.setattr(op, "PASSES", 6)
+    rows = made(4)
+    assert result(frame(spark, rows))[0] == sorted(brute(sorted(rows, key=lambda r: -r[0])), key=str)
 
 
 def test_no_python_in_the_plan(spark):
