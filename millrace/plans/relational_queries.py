@@ -70,7 +70,7 @@ _LIFT = f"""{_RUNS}, last AS (SELECT tier, task, rep, arm, arg_max(success, (pos
 pair AS (SELECT a.tier, count_if(NOT a.ok AND c.ok) AS rescued, count_if(a.ok AND NOT c.ok) AS damaged FROM last a JOIN last c ON a.tier = c.tier AND a.task = c.task AND a.rep = c.rep AND a.arm = 'A' AND c.arm = 'C' GROUP BY a.tier),
 t AS (SELECT tier, sum(success::INT) FILTER (arm = 'A') AS ra, count(*) FILTER (arm = 'A') AS na, sum(success::INT) FILTER (arm = 'C') AS rc, count(*) FILTER (arm = 'C') AS nc,
   sum(total_tokens) FILTER (arm = 'A') AS ta, sum(total_tokens) FILTER (arm = 'C') AS tc FROM runs GROUP BY tier HAVING count(*) FILTER (arm = 'A') > 0 AND count(*) FILTER (arm = 'C') > 0),
-lift AS (SELECT tier, ra / na AS acc_a, rc / nc AS acc_c, rc / nc - ra / na AS lift, coalesce(rescued, 0) AS rescued, coalesce(damaged, 0) AS damaged, ta / na AS tokens_a, tc / nc AS tokens_c FROM t LEFT JOIN pair USING (tier))"""
+lift AS (SELECT tier, ra / na AS acc_a, rc / nc AS acc_c, rc / nc - ra / na AS lift, coalesce(rescued, 0)::BIGINT AS rescued, coalesce(damaged, 0)::BIGINT AS damaged, ta / na AS tokens_a, tc / nc AS tokens_c FROM t LEFT JOIN pair USING (tier))"""
 
 
 @query("arm_lift", f"WITH {_LIFT} SELECT tier, round(acc_a, 6) AS acc_a, round(acc_c, 6) AS acc_c, round(lift, 6) AS lift, rescued, damaged, round(tokens_a, 4) AS tokens_a, round(tokens_c, 4) AS tokens_c FROM lift")

@@ -97,7 +97,7 @@ def minified_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags
 
 
-@query("generated_flag", "SELECT source, count_if(regexp_matches(lower(substring(text, 1, 1500)), 'license|licence|copyright|rights reserved')) AS marked, count(*) AS files FROM documents WHERE text IS NOT NULL GROUP BY source")
+@query("generated_flag", "SELECT source, count_if(regexp_matches(lower(substring(text, 1, 1500)), 'license|licence|copyright|rights reserved'))::BIGINT AS marked, count(*) AS files FROM documents WHERE text IS NOT NULL GROUP BY source")
 def generated_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = T.has_mark(F.col("text"), ("license", "licence", "copyright", "rights reserved"))
     return files(spark, sf_dir).groupBy("source").agg(F.count_if(marked).alias("marked"), F.count("*").alias("files"))

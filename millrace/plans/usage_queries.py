@@ -130,7 +130,7 @@ def efficiency_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs(spark, sf_dir).select("session_id", usage.rounded(score, 1).alias("score"), usage.grade(score).alias("grade"))
 
 
-@query("session_rollup", "SELECT user_id AS session_id, count(*) AS tool_calls, count_if(event_type = 'error') AS tool_errors, round_even(count_if(event_type = 'error')::DOUBLE / count(*), 4) AS denial_ratio, min(ts) AS started, max(ts) AS ended FROM events GROUP BY user_id")
+@query("session_rollup", "SELECT user_id AS session_id, count(*) AS tool_calls, count_if(event_type = 'error')::BIGINT AS tool_errors, round_even(count_if(event_type = 'error')::DOUBLE / count(*), 4) AS denial_ratio, min(ts) AS started, max(ts) AS ended FROM events GROUP BY user_id")
 def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     error = F.col("event_type") == "error"
     rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.count("*").alias("tool_calls"), F.count_if(error).alias("tool_errors"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
@@ -168,7 +168,7 @@ def first_last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.min_by("event_type", at).alias("first_type"), F.max_by("event_type", at).alias("last_type"), F.min(F.when(F.col("event_type") == "click", F.col("event_id"))).alias("first_click"))
 
 
-@query("big_values", "SELECT source, count_if(n_chars >= 5000) AS big_outputs, count(*) AS outputs FROM documents GROUP BY source")
+@query("big_values", "SELECT source, count_if(n_chars >= 5000)::BIGINT AS big_outputs, count(*) AS outputs FROM documents GROUP BY source")
 def big_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("n_chars") >= 5000).alias("big_outputs"), F.count("*").alias("outputs"))
 
