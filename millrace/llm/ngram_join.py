@@ -35,6 +35,8 @@ SHINGLE, PERCENT = 4, 85
 CELL_BITS, SURE, LEAST_COMMON = 18, 6, 16
 #: N-grams that a block of a family holds, about, and bytes of bitmaps of a group up to which it is sifted.
 GROUP_GRAMS, SIFT_BYTES = 1 << 20, 16 << 20
+#: Rows that are taken out of an Arrow batch at once.
+PART = 256
 
 
 def gram_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -203,13 +205,13 @@ def families(maps: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndar
     """For each set the smallest position in its family: sets that chains of bitmaps that could be of similar sets join."""
     n = len(maps)
     out = np.arange(n)
-    folded: dict[int, np.ndarray] = {}
+    folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     width = np.array([len(m) for m in maps])
-    for w in sorted(set(width), reverse=True):  # each row at width w, for sets of that width and the next larger one
-        own = np.zeros((n, w), np.uint64)
-        for i in np.flatnonzero((width == w) | (width == 2 * w)):
-            own[i] = maps[i] if width[i] == w else maps[i][:w] ^ maps[i][w:]
-        folded[w] = own
+    for w in set(width.tolist()):  # rows of that width and the next larger one, at width w, and where each row is
+        own = np.flatnonzero((width == w) | (width == 2 * w))
+        where = np.full(n, -1)
+        where[own] = np.arange(len(own))
+        folded[w] = np.stack([maps[i] if width[i] == w else maps[i][:w] ^ maps[i][w:] for i in own]), where
     apart = np.ones(n, bool)
     for start in range(n):
         if not apart[start]:
@@ -218,12 +220,12 @@ def families(maps: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndar
         while queue and apart.any():
             i = queue.pop()
             rest = np.flatnonzero(apart & (100 * sizes >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes))
-            for w in {width[i], width[i] // 2, width[i] * 2}:
+            for w in {int(width[i]), int(width[i]) // 2, int(width[i]) * 2}:
                 there = rest[width[rest] == w]
                 if not len(there):
                     continue
-                at = min(w, width[i])
-                differ = np.bitwise_count(folded[at][there] ^ folded[at][i]).sum(1)
+                rows, where = folded[min(w, width[i])]
+                differ = np.bitwise_count(rows[where[there]] ^ rows[where[i]]).sum(1)
                 # 100 * (s - d) / 2 >= percent * (s + d) / 2, with s the sum of the sizes and d what isn't shared
                 near = there[(100 + percent) * differ.astype(np.int64) <= (100 - percent) * (sizes[there] + sizes[i])]
                 apart[near] = False
@@ -236,13 +238,14 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], values: tupl
     """The rows of each run of equal keys, over the ends of batches."""
     key, held = None, []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in (*keys, *values)]
-        for row in zip(*columns):
-            if row[: len(keys)] != key:
-                if held:
-                    yield key, held
-                key, held = row[: len(keys)], []
-            held.append(row[len(keys) :])
+        for at in range(0, batch.num_rows, PART):  # few rows at once as Python objects: sets can be long
+            part = batch.slice(at, PART)
+            for row in zip(*(part.column(c).to_pylist() for c in (*keys, *values))):
+                if row[: len(keys)] != key:
+                    if held:
+                        yield key, held
+                    key, held = row[: len(keys)], []
+                held.append(row[len(keys) :])
     if held:
         yield key, held
 
@@ -377,3 +380,16 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(documents(spark, sf_dir))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     grams AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN ws ELSE ws[i:i + 3] END AS gram
+               FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 2))) AS i FROM w WHERE len(ws) > 0)),
+     sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+     shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+     links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
+     reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)
+"""

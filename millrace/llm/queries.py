@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_ngram_join": ngram_join.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
     "op10_warc": warc.SQL,
 }
