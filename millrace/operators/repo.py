@@ -32,16 +32,37 @@ def is_source() -> Column:
     return F.col("suffix").isin(T.SOURCE_SUFFIXES)
 
 
-def references(classed: DataFrame, more: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def is_target() -> Column:
+    return (F.col("class") == TARGET) & is_source()
+
+
+def features(files: DataFrame, ignore: list[str] | None = None) -> DataFrame:
+    """Everything that the operators below need of a file, made in one reading of its content, which goes.
+
+    norm: a digest of the normal form of larger source files; lines and dead_run of source files; runs: begins as a
+    script; refs and bare: the paths and file stems that it names.
+    """
+    held = classified(files, ignore)
+    content, source = F.col("content"), is_target()
+    tokens = T.tokens_of(content)
+    paths = F.filter(F.array_distinct(F.transform(F.array_union(T.imports_of(content), F.array_distinct(tokens)), T.normal_reference)), lambda x: x.isNotNull())
+    stems = F.filter(F.array_distinct(F.transform(F.array_distinct(tokens), T.bare_file_reference)), lambda x: x.isNotNull())
+    normal = T.normal_source(content)
+    made = {
+        "norm": F.when(source & (F.col("size") >= NEAR_COPY_BYTES) & (normal != ""), F.sha1(F.encode(normal, "utf-8"))),
+        "lines": F.when(source, T.line_count(content)), "dead_run": F.when(source, T.dead_code_run(content)), "runs": source & content.startswith("#!"),
+        "refs": F.when(F.col("class") >= GENERATED, paths), "bare": F.when(F.col("class") >= GENERATED, stems),
+    }
+    return held.withColumns(made).drop("content")
+
+
+def references(found: DataFrame, more: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(stem, norm) of paths that files refer to, and the stems that they name by file name. ``more``: further path tokens."""
-    text = classed.where(F.col("class") >= GENERATED).select("content")
-    tokens = F.array_union(F.array_distinct(T.imports_of(F.col("content"))), F.array_distinct(T.tokens_of(F.col("content"))))
-    found = text.select(F.explode(tokens).alias("token"))
+    norm = found.select(F.explode("refs").alias("norm"))
     if more:
-        found = found.unionAll(text.sparkSession.createDataFrame([(m,) for m in more], "token string"))
-    norm = found.select(T.normal_reference(F.col("token")).alias("norm")).where("norm is not null")
-    bare = text.select(F.explode(F.array_distinct(T.tokens_of(F.col("content")))).alias("token")).select(T.bare_file_reference(F.col("token")).alias("stem"))
-    return norm.select(F.substring_index("norm", "/", -1).alias("stem"), "norm").distinct(), bare.where("stem is not null").distinct()
+        norm = norm.unionAll(found.sparkSession.createDataFrame([(m,) for m in more], "token string").select(T.normal_reference(F.col("token"))))
+    norm = norm.where("norm is not null")
+    return norm.select(F.substring_index("norm", "/", -1).alias("stem"), "norm").distinct(), found.select(F.explode("bare").alias("stem")).distinct()
 
 
 def resolves(bare_path: Column, norm: Column) -> Column:
@@ -49,52 +70,50 @@ def resolves(bare_path: Column, norm: Column) -> Column:
     return (bare_path == norm) | bare_path.endswith(F.concat(F.lit("/"), norm)) | norm.endswith(F.concat(F.lit("/"), bare_path))
 
 
-def unreferenced(classed: DataFrame, refs: DataFrame, bare: DataFrame) -> DataFrame:
+def unreferenced(found: DataFrame, refs: DataFrame, bare: DataFrame) -> DataFrame:
     """path and whether it is a script, of source files that nothing refers to. Filters go first: what is run by name never meets the joins.
 
     The joins are anti joins on the stem, which keeps them hash or merge joins; whether a reference resolves is a residual.
     """
     path = F.col("path")
-    own = classed.where((F.col("class") == TARGET) & is_source()).where(~(T.is_test(path) | T.is_config(F.col("stem")) | F.col("content").startswith("#!") | F.col("is_changed")))
-    own = own.select("path", "stem", F.regexp_replace(path, r"(?<=.)\.[^./]*$", "").alias("bare"))
+    own = found.where(is_target()).where(~(T.is_test(path) | T.is_config(F.col("stem")) | F.col("runs") | F.col("is_changed")))
+    own = own.select("path", "stem", F.regexp_replace(path, r"(?<=.)\.[^./]*$", "").alias("whole"))
     left = own.alias("o").join(bare.alias("b"), F.col("o.stem") == F.col("b.stem"), "left_anti")
-    left = left.alias("o").join(refs.alias("r"), (F.col("o.stem") == F.col("r.stem")) & resolves(F.col("o.bare"), F.col("r.norm")), "left_anti")
+    left = left.alias("o").join(refs.alias("r"), (F.col("o.stem") == F.col("r.stem")) & resolves(F.col("o.whole"), F.col("r.norm")), "left_anti")
     return left.select("path", T.is_script_area(F.col("path")).alias("is_script"))
 
 
-def copies(classed: DataFrame, least: int = COPY_BYTES) -> DataFrame:
+def copies(found: DataFrame, least: int = COPY_BYTES) -> DataFrame:
     """digest, n, size, paths (in order) and whether the first is a document, of files with equal bytes."""
-    own = classed.where((F.col("class") == TARGET) & (F.col("size") >= least)).select("digest", "path", "size", "suffix")
+    own = found.where((F.col("class") == TARGET) & (F.col("size") >= least)).select("digest", "path", "size", "suffix")
     groups = own.groupBy("digest").agg(F.count("*").alias("n"), F.min_by("size", "path").alias("size"), F.min_by("suffix", "path").alias("suffix"), F.array_sort(F.collect_list("path")).alias("paths")).where("n > 1")
     return groups.withColumn("is_doc", F.col("suffix").isin(T.DOC_SUFFIXES)).drop("suffix")
 
 
-def near_copies(classed: DataFrame, exact: DataFrame, least: int = NEAR_COPY_BYTES) -> DataFrame:
+def near_copies(found: DataFrame, exact: DataFrame) -> DataFrame:
     """norm, n and paths of source files of one suffix with the same normal form, unless all of them are in groups of exact copies."""
-    own = classed.where((F.col("class") == TARGET) & is_source() & (F.col("size") >= least)).select("path", "digest", "suffix", T.normal_source(F.col("content")).alias("norm")).where("norm <> ''")
+    own = found.where("norm is not null").select("path", "digest", "suffix", "norm")
     marked = own.join(exact.select("digest", F.lit(True).alias("is_exact")), "digest", "left")
-    groups = marked.groupBy("suffix", F.sha1(F.encode("norm", "utf-8")).alias("norm")).agg(F.count("*").alias("n"), F.bool_and(F.coalesce("is_exact", F.lit(False))).alias("all_exact"), F.array_sort(F.collect_list("path")).alias("paths"))
+    groups = marked.groupBy("suffix", "norm").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("is_exact", F.lit(False))).alias("all_exact"), F.array_sort(F.collect_list("path")).alias("paths"))
     return groups.where("n > 1 and not all_exact").drop("all_exact")
 
 
-def scattered(classed: DataFrame, least: int = MANY_FOLDERS) -> DataFrame:
+def scattered(found: DataFrame, least: int = MANY_FOLDERS) -> DataFrame:
     """Stems of source files in ``least`` folders or more."""
-    own = classed.where((F.col("class") == TARGET) & is_source())
-    return own.groupBy("stem").agg(F.count_distinct("folder").alias("folders")).where(F.col("folders") >= least)
+    return found.where(is_target()).groupBy("stem").agg(F.count_distinct("folder").alias("folders")).where(F.col("folders") >= least)
 
 
-def measured(classed: DataFrame) -> DataFrame:
-    """path, lines and dead_run (the longest run of commented-out lines) of source files."""
-    own = classed.where((F.col("class") == TARGET) & is_source())
-    return own.select("path", T.line_count(F.col("content")).alias("lines"), T.dead_code_run(F.col("content")).alias("dead_run"))
+def notable(found: DataFrame) -> DataFrame:
+    """path, lines and dead_run of source files that are very long or have a long run of commented-out lines."""
+    return found.where(f"lines >= {MANY_LINES} or dead_run >= {MANY_COMMENTS}").select("path", "lines", "dead_run")
 
 
-def inventory(classed: DataFrame) -> DataFrame:
+def inventory(found: DataFrame) -> DataFrame:
     """One row: counts and bytes over all files."""
-    return classed.agg(
+    return found.agg(
         F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(F.col("class") == JUNK).alias("junk"),
         F.coalesce(F.sum(F.when(F.col("class") == JUNK, F.col("size"))), F.lit(0)).alias("junk_bytes"), F.count_if(F.col("class") == GENERATED).alias("excluded_generated"),
-        F.count_if((F.col("class") == TARGET) & is_source()).alias("scanned_source"), F.max("size").alias("largest_bytes"),
+        F.count_if(is_target()).alias("scanned_source"), F.max("size").alias("largest_bytes"),
     )
 
 

@@ -90,9 +90,8 @@ def file_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 AND NOT EXISTS (SELECT 1 FROM k r WHERE r.class >= 3 AND r.source = k.source AND r.doc_id + 2 = k.doc_id)""",
 )
 def unreferenced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classed = repo.classified(source_files(spark, sf_dir))
-    refs, bare = repo.references(classed)
-    found = repo.unreferenced(classed, refs, bare)
+    held = repo.features(source_files(spark, sf_dir))
+    found = repo.unreferenced(held, *repo.references(held))
     return found.select(F.substring_index("path", "/", 1).alias("source"), F.regexp_extract("path", r"/f(\d+)\.", 1).cast("bigint").alias("doc_id"))
 
 

@@ -19,19 +19,20 @@ from millrace.sources import files
 class Scan:
     """What the operators find in a tree, each a DataFrame."""
 
-    classed: DataFrame
+    files: DataFrame
     copies: DataFrame
     near: DataFrame
     orphans: DataFrame
-    measured: DataFrame
+    notable: DataFrame
     scattered: DataFrame
 
 
-def scan(spark: SparkSession, tree: DataFrame, ignore: list[str] | None = None, references: list[str] | None = None) -> Scan:
-    classed = R.classified(tree, ignore)
-    refs, bare = R.references(classed, references)
-    exact = R.copies(classed)
-    return Scan(classed, exact, R.near_copies(classed, exact), R.unreferenced(classed, refs, bare), R.measured(classed), R.scattered(classed))
+def scan(tree: DataFrame, ignore: list[str] | None = None, references: list[str] | None = None) -> Scan:
+    """The content is read once: what comes of it is held, in memory or on disk, for all that follows."""
+    found = R.features(tree, ignore).persist()
+    refs, bare = R.references(found, references)
+    exact = R.copies(found)
+    return Scan(found, exact, R.near_copies(found, exact), R.unreferenced(found, refs, bare), R.notable(found), R.scattered(found))
 
 
 def _paths(df: DataFrame) -> list[str]:
@@ -40,20 +41,23 @@ def _paths(df: DataFrame) -> list[str]:
 
 def report(spark: SparkSession, repo: str, top: int = 12) -> dict[str, Any]:
     """The report of a local tree. What comes to the driver are counts and what is found, not files."""
-    found = scan(spark, files.tree(spark, repo), files.ignore_list(repo), files.package_references(repo))
-    classed = found.classed.drop("content").cache()
+    found = scan(files.tree(spark, repo), files.ignore_list(repo), files.package_references(repo))
     try:
-        counts = R.inventory(classed).first().asDict()
-        largest = R.largest(classed).first()
-        areas = [{"label": r.area, "bytes": r.bytes} for r in R.size_by_area(classed, top).collect()]
-        junk = _paths(classed.where(F.col("class") == R.JUNK))
+        return _report(found, repo, top)
     finally:
-        classed.unpersist()
+        found.files.unpersist()
+
+
+def _report(found: Scan, repo: str, top: int) -> dict[str, Any]:
+    counts = R.inventory(found.files).first().asDict()
+    largest = R.largest(found.files).first()
+    areas = [{"label": r.area, "bytes": r.bytes} for r in R.size_by_area(found.files, top).collect()]
+    junk = _paths(found.files.where(F.col("class") == R.JUNK))
     groups = sorted((r.asDict() for r in found.copies.collect()), key=lambda g: g["paths"][0])
     code, docs = [g for g in groups if not g["is_doc"]], [g for g in groups if g["is_doc"]]
     near = sorted(r.paths for r in found.near.collect())
     orphans = sorted((r.path, r.is_script) for r in found.orphans.collect())
-    measured = found.measured.where(f"lines >= {R.MANY_LINES} or dead_run >= {R.MANY_COMMENTS}").orderBy("path").collect()
+    measured = found.notable.orderBy("path").collect()
     stems = sorted(r.stem for r in found.scattered.collect())
     library, scripts = [p for p, s in orphans if not s], [p for p, s in orphans if s]
     reclaimable = counts["junk_bytes"] + sum((g["n"] - 1) * g["size"] for g in groups)

@@ -15,7 +15,7 @@ from millrace.functions import text as T
 #: Files of this many bytes or more are sized but not read.
 MOST_BYTES = 400_000
 SCHEMA = "path string, size bigint, content string, digest string, is_changed boolean"
-#: Files that one read lists.
+#: Folders that one read lists.
 _AT_ONCE = 20_000
 
 
@@ -84,11 +84,13 @@ def tree(spark: SparkSession, repo: str, most: int = MOST_BYTES) -> DataFrame:
     uncommitted = sorted(changed(repo))
     known = spark.createDataFrame([(p, os.path.getsize(os.path.join(root, p))) for p in paths], "path string, size bigint")
     suffixes = tuple(T.SOURCE_SUFFIXES + T.DOC_SUFFIXES + T.DATA_SUFFIXES)
-    wanted = [os.path.join(root, p) for p in paths if p.lower().endswith(suffixes)]
+    # folders are listed, not files one by one; what is in them but isn't tracked falls out of the join
+    folders = sorted({os.path.dirname(os.path.join(root, p)) for p in paths if p.lower().endswith(suffixes)})
     read = None
-    for a in range(0, len(wanted), _AT_ONCE):
-        part = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", "file://" + w) for w in wanted[a : a + _AT_ONCE]])
-        part = part.where((F.col("length") < most) & (F.col("length") > 0))
+    for a in range(0, len(folders), _AT_ONCE):
+        escaped = [re.sub(r"([\\{}\[\]*?])", r"\\\1", "file://" + f) for f in folders[a : a + _AT_ONCE]]
+        part = spark.read.format("binaryFile").load(escaped)
+        part = part.where((F.col("length") < most) & (F.col("length") > 0) & F.lower("path").rlike(f"({T.any_of(list(suffixes))})$"))
         decoded = F.make_valid_utf8(F.col("content").cast("string"))
         part = part.select(F.regexp_replace("path", f"^file:/*{re.escape(root)}/", "").alias("path"), decoded.alias("content"), F.sha1("content").alias("digest"))
         read = part if read is None else read.unionAll(part)

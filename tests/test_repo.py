@@ -70,14 +70,14 @@ def test_uncommitted_work_is_no_orphan(spark, tmp_path):
     (tmp_path / "lib/orphan.ts").write_text("export const a = 2;\n")
     (tmp_path / "untracked.ts").write_text("export const c = 2;\n")
     assert files.tracked(root) == ["lib/orphan.ts", "lib/other.ts"] and files.changed(root) == {"lib/orphan.ts", "untracked.ts"}
-    found = report.scan(spark, files.tree(spark, root))
+    found = report.scan(files.tree(spark, root))
     assert [r.path for r in found.orphans.collect()] == ["lib/other.ts"]
 
 
 def test_orphans_keep_a_hash_anti_join(spark):
     df = spark.createDataFrame([("a/b.ts", 10, "x", "d", False)], files.SCHEMA)
-    refs, bare = R.references(R.classified(df))
-    plan = R.unreferenced(R.classified(df), refs, bare)._jdf.queryExecution().executedPlan().toString()
+    found = R.features(df)
+    plan = R.unreferenced(found, *R.references(found))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.count("LeftAnti") >= 2
 
 
