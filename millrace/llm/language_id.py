@@ -79,11 +79,10 @@ def has_letter(texts: list[str | None]) -> np.ndarray:
 
 
 def machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> np.ndarray:
-    """Weights (the last is the bias, the one after it the slope of a margin's log odds) of an L2 squared-hinge machine; y is -1 or 1.
+    """Weights of an L2 squared-hinge machine, then the slope of a margin's log odds. x: vectors with a last column of ones, for the bias; y is -1 or 1.
 
     Accelerated gradient descent on the class-balanced loss: its steps are fixed, so the same rows give the same machine.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w = look = np.zeros(x.shape[1], np.float32)
     step = 1 / (2 * 2 + penalty)  # rows have length sqrt(2) with the bias
@@ -106,6 +105,7 @@ class Model:
     """``families``: its languages, by family; ``top``: a machine per family; ``pairs``: by family a machine for each two of its languages."""
 
     def __init__(self, x: np.ndarray, langs: np.ndarray):
+        """x: vectors with a last column of ones."""
         self.families: dict[str, list[str]] = {}
         for lang in sorted(set(langs)):
             self.families.setdefault(FAMILY_OF.get(lang.split("-")[0].split("_")[0].lower(), lang), []).append(lang)
@@ -172,7 +172,12 @@ def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_i
     got = sorted((r.lang, r.pick, bytes(r.x)) for r in _vectors_of(sample, "lang", "string").collect())
     if not got:
         return None
-    return Model(np.stack([np.frombuffer(x, np.float16) for _, _, x in got]).astype(np.float32), np.array([v for v, _, _ in got], object))
+    x = np.ones((len(got), DIM + 1), np.float32)
+    for i, (_, _, vector) in enumerate(got):
+        x[i, :DIM] = np.frombuffer(vector, np.float16)
+    langs = np.array([v for v, _, _ in got], object)
+    del got
+    return Model(x, langs)
 
 
 def predicted(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
