@@ -13,14 +13,14 @@ ROUNDS = 40
 def _large(e: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the smallest of its neighbours and itself."""
     both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the smallest of them."""
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = saved(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     joined = down.join(least, "a")
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
@@ -29,12 +29,12 @@ def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node that links reach) of every node of ``links`` (a, b).
 
     Links may be repeated, run either way or join a node to itself; a link with a null end is none. Each round is written
-    to the shared folder. Partial minima go before each shuffle, and the joins on a hot node can be split.
+    to the shared folder. Partial minima go before each shuffle, and as they are saved, the joins on a hot node can be split.
     """
     e = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     for _ in range(ROUNDS):
-        e = saved(_small(_large(e)), "stars")
+        e = saved(_small(saved(_large(e), "wide")), "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

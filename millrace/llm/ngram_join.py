@@ -331,7 +331,8 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
 
     shaped = saved(rows.mapInArrow(shape, "id long, n long, a long, b long, map binary, head array<long>"), "shapes")
     full = shaped.where("id is not null and n > 0")
-    classes = full.groupBy("a", "b", "n").agg(F.min("id").alias("rep"))
+    # saved, so that each side of the joins on it is dealt by itself and a hot class or n-gram can be split
+    classes = saved(full.groupBy("a", "b", "n").agg(F.min("id").alias("rep")), "reps")
     of = saved(shaped.select("id", "n", "a", "b").join(classes, ["a", "b", "n"], "left").select("id", "n", "rep"), "classes")
     # a class's first row stands for it; head and bitmap are the same for the whole class
     first = full.join(classes.withColumnRenamed("rep", "id"), ["a", "b", "n", "id"])
@@ -339,7 +340,8 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     heads = saved(first.select("id", F.explode("head").alias("gram")), "heads")
     discard(shaped)
     release(spark)
-    shared = heads.groupBy("gram").agg(F.min("id").alias("grp"), F.max("id").alias("top")).where("grp <> top").select("gram", "grp")
+    shared = saved(heads.groupBy("gram").agg(F.min("id").alias("grp"), F.max("id").alias("top")).where("grp <> top").select("gram", "grp"), "shared")
+    release(spark)
     members = saved(heads.join(shared, "gram").select("grp", "id").distinct(), "members")
     discard(heads)
     release(spark)
