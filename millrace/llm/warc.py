@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import narrow, shared_dir
+from millrace.llm.common import narrow, saved, shared_dir
 
 #: Payloads under this many bytes are never stored as a revisit.
 LEAST_BYTES = 1000
@@ -38,7 +38,8 @@ def resolved(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     rows = narrow(pages, page_id="page_id", url="url", html="html")
     rows = rows.withColumn("html", F.coalesce("html", F.lit(""))).withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha1(F.encode("html", "utf-8"))})
     heads = rows.where(F.col("bytes") >= least).select("page_id", "digest")
-    originals = heads.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # saved, so that each side of the join is dealt by itself and a hot digest can be split
+    originals = saved(heads.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n"), "originals")
     revisits = heads.join(originals, "digest").where("original is not null and not (page_id <=> original)").select("page_id", "digest", "original").distinct()
     # by page_id and digest: the bodies are spread evenly whatever their payloads; null ids are few and join by null-safe equality
     marked = rows.alias("r").join(revisits.alias("v"), F.col("r.page_id").eqNullSafe(F.col("v.page_id")) & (F.col("r.digest") == F.col("v.digest")), "left")
