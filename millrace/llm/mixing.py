@@ -135,7 +135,7 @@ def fit(df: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id
             words = pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("label"), words, pa.array([x.tobytes() for x in facts(batch.column("text"))], pa.binary())], ["label", "words", "facts"])
 
-    got = sorted((r.label, bytes(r.facts), bytes(r.words)) for r in rows.mapInArrow(run, "label string, words binary, facts binary").toLocalIterator())
+    got = sorted((r.label, bytes(r.facts), bytes(r.words)) for r in rows.mapInArrow(run, "label string, words binary, facts binary").collect())
     if not got:
         return None
     return learn([np.frombuffer(w, np.uint64) for _, _, w in got], np.stack([np.frombuffer(x) for _, x, _ in got]), [d for d, _, _ in got], domains)
