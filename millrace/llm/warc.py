@@ -4,11 +4,13 @@ Headers (page id, address, length, SHA-1 digest) are shuffled by payload digest,
 shuffle, and joined back to find each digest's original; the bodies never take part in that. Records are then written
 through Spark's own text writer, so archives land on whatever store the shared folder is on and a lost task is run again
 under the commit protocol; every record ends with the blank lines that WARC asks for, which is the writer's line end.
+An archive is compressed as a whole, one gzip member a file; a file holds few records and is read by one task.
 Reading goes by Content-Length, so a payload may hold anything, record starts and blank lines included.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -80,7 +82,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, per_fi
     A null html is an empty payload, a null address or page id leaves its header out, repeated rows are repeated records,
     an empty table gives archives without records. Other columns aren't read.
     """
-    records(resolved(pages, least)).write.option("lineSep", _END).option("maxRecordsPerFile", per_file).text(path)
+    records(resolved(pages, least)).write.option("lineSep", _END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -112,7 +114,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows: dict[str, list] = {c.split()[0]: [] for c in _READ.split(", ")}
-                for head, body in parsed(content.as_py()):
+                for head, body in parsed(gzip.decompress(content.as_py())):
                     digest = head["warc-payload-digest"].removeprefix("sha1:")
                     if head["warc-type"] == "response" and (hashlib.sha1(body).hexdigest() != digest or len(body) != int(head["x-payload-length"])):
                         raise ValueError(f"payload of {head['warc-record-id']} is damaged")
@@ -122,7 +124,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
     return files.mapInArrow(run, _READ)
 
 
