@@ -46,10 +46,12 @@ GENERATED_MARKS = ("@generated", "do not edit", "auto-generated", "autogenerated
 HEAD_CHARS, SAMPLE_CHARS = 1500, 4000
 LONG_LINE, MEAN_LINE = 2000, 350
 
-_LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
-_CODE_COMMENT = r"^\s*(//|#)\s*[\w{}()\[\];=<>.\"'`]"
+_LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+_CODE_COMMENT = r"(?U)^\s*(//|#)\s*[\w{}()\[\];=<>.\"'`]"
 IMPORT = r"""(?:from\s+|require\(\s*|import\(\s*|import\s+)['"]([^'"]+)['"]"""
 TOKEN = r"[A-Za-z0-9_\-./@]+"
+#: A character of a token, and one other than a slash.
+_IN, _PLAIN = r"[A-Za-z0-9_\-./@]", r"[A-Za-z0-9_\-.@]"
 
 
 def any_of(parts: list[str]) -> str:
@@ -124,25 +126,33 @@ def has_mark(text: Column, marks: tuple[str, ...] = GENERATED_MARKS) -> Column:
     return F.lower(F.substring(text, 1, HEAD_CHARS)).rlike(any_of(list(marks)))
 
 
+def bound(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lines_of(text: Column) -> Column:
     """Lines as Python splits them, without an empty one at the end."""
-    parts = F.split(text, _LINE_ENDS)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(text, _LINE_ENDS), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def longest_line(text: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(lines_of(text), F.length)), F.lit(0))
 
 
+def _mean(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x)) / F.greatest(F.lit(1), F.size(lines))
+
+
 def mean_line(text: Column) -> Column:
     """Characters of the lines by their number; a text without lines counts as one line."""
-    lines = lines_of(text)
-    return F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x)) / F.greatest(F.lit(1), F.size(lines))
+    return bound(lines_of(text), _mean)
 
 
 def is_minified(text: Column) -> Column:
     head = F.substring(text, 1, SAMPLE_CHARS)
-    return (F.length(head) > 0) & ((longest_line(head) > LONG_LINE) | (mean_line(head) > MEAN_LINE))
+    long = bound(lines_of(head), lambda x: F.exists(x, lambda y: F.length(y) > LONG_LINE) | (_mean(x) > MEAN_LINE))
+    return (F.length(head) > 0) & long
 
 
 def line_count(text: Column) -> Column:
@@ -161,26 +171,32 @@ def longest_run(items: Column, inside) -> Column:  # noqa: ANN001
 
 
 def dead_code_run(text: Column) -> Column:
-    return longest_run(lines_of(text), lambda x: x.rlike(_CODE_COMMENT) & ~x.rlike(r"^\s*\*"))
+    return longest_run(lines_of(text), lambda x: x.rlike(_CODE_COMMENT) & ~x.rlike(r"(?U)^\s*\*"))
 
 
 def normal_source(text: Column) -> Column:
     """The lines that carry structure: no blanks, comments or imports; spaces collapsed, lower case, order kept."""
-    strip = F.transform(lines_of(text), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    strip = F.transform(lines_of(text), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
     kept = F.filter(strip, lambda x: (x != "") & ~x.rlike(r"^(//|#|\*|/\*|import |export \{|from )"))
-    return F.array_join(F.transform(kept, lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))), "\n")
+    return F.array_join(F.transform(kept, lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+", " "))), "\n")
 
 
 def normal_command(command: Column) -> Column:
-    return F.substring(F.trim(F.regexp_replace(command, r"\s+", " ")), 1, 160)
+    return F.substring(F.trim(F.regexp_replace(command, r"(?U)\s+", " ")), 1, 160)
 
 
 def imports_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(IMPORT), F.lit(1))
 
 
-def tokens_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+def path_tokens(text: Column) -> Column:
+    """The tokens that have a slash."""
+    return F.regexp_extract_all(text, F.lit(rf"(?<!{_IN}){_PLAIN}*+/{_IN}*"), F.lit(0))
+
+
+def file_stems(text: Column) -> Column:
+    """The stems of tokens without a slash that name a script file."""
+    return F.regexp_extract_all(text, F.lit(rf"(?<!{_IN})({_PLAIN}*)(?:{any_of(SCRIPT_SUFFIXES)})(?!{_IN})"), F.lit(1))
 
 
 def normal_reference(token: Column) -> Column:
@@ -189,10 +205,4 @@ def normal_reference(token: Column) -> Column:
     bare = F.regexp_replace(token, r"^(?:\./|\.\./)+", "")
     bare = F.regexp_replace(F.regexp_replace(bare, "^@+", ""), "^/+", "")
     bare = F.regexp_replace(bare, rf"(?:{any_of(REFERENCE_SUFFIXES)})$", "")
-    return F.when(F.instr(token, "/") > 0, F.nullif(bare, F.lit("")))
-
-
-def bare_file_reference(token: Column) -> Column:
-    """The stem that a token without a slash names by file name; null for others."""
-    stem = F.regexp_extract(token, rf"^(.*)(?:{any_of(SCRIPT_SUFFIXES)})$", 1)
-    return F.when((F.instr(token, "/") == 0) & token.rlike(rf"(?:{any_of(SCRIPT_SUFFIXES)})$"), stem)
+    return F.when(F.instr(token, "/") > 0, bound(bare, lambda x: F.when(x != "", x)))

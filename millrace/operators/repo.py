@@ -44,12 +44,12 @@ def features(files: DataFrame, ignore: list[str] | None = None) -> DataFrame:
     """
     held = classified(files, ignore)
     content, source = F.col("content"), is_target()
-    tokens = T.tokens_of(content)
-    paths = F.filter(F.array_distinct(F.transform(F.array_union(T.imports_of(content), F.array_distinct(tokens)), T.normal_reference)), lambda x: x.isNotNull())
-    stems = F.filter(F.array_distinct(F.transform(F.array_distinct(tokens), T.bare_file_reference)), lambda x: x.isNotNull())
+    named = F.array_distinct(F.concat(F.filter(T.imports_of(content), lambda x: F.instr(x, "/") > 0), T.path_tokens(content)))
+    paths = F.filter(F.array_distinct(F.transform(named, T.normal_reference)), lambda x: x.isNotNull())
+    stems = F.array_distinct(T.file_stems(content))
     normal = T.normal_source(content)
     made = {
-        "norm": F.when(source & (F.col("size") >= NEAR_COPY_BYTES) & (normal != ""), F.sha1(F.encode(normal, "utf-8"))),
+        "norm": F.when(source & (F.col("size") >= NEAR_COPY_BYTES), T.bound(normal, lambda x: F.when(x != "", F.sha1(F.encode(x, "utf-8"))))),
         "lines": F.when(source, T.line_count(content)), "dead_run": F.when(source, T.dead_code_run(content)), "runs": source & content.startswith("#!"),
         "refs": F.when(F.col("class") >= GENERATED, paths), "bare": F.when(F.col("class") >= GENERATED, stems),
     }

@@ -114,7 +114,7 @@ LINES = st.lists(st.sampled_from(["", "  ", "// x = 1", "# call()", "#", "* doc"
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.lists(LINES, min_size=1, max_size=6), st.sampled_from(["\n", "\r\n", "\x0b", " "]))
+@given(st.lists(LINES, min_size=1, max_size=6), st.sampled_from(["\n", "\r\n", "\x0b", "\u2028", " "]))
 def test_line_rules_equal_plain_statements(spark, groups, end):
     texts = [end.join(g) for g in groups]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
