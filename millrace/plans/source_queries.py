@@ -68,14 +68,14 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(s) for s in _SUFFIXES])
     suffix = F.element_at(names, (F.col("doc_id") % len(_SUFFIXES) + 1).cast("int"))
     head = F.when(F.col("doc_id") % 5 == 0, "// @generated\n").otherwise("")
-    text = F.concat(head, F.lit("import '../"), F.col("source"), F.lit("/f"), F.col("doc_id") + 2, F.lit("'\n"), F.regexp_replace("text", r"[\w/.@-]+\.(ts|js)x?|/", ""))
+    text = F.concat(head, F.lit("import '../"), F.col("source"), F.lit("/f"), F.col("doc_id") + 2, F.lit("'\n"), F.translate("text", "/", ""))
     rows = table(spark, sf_dir, "documents").where("text is not null and source is not null")
     return rows.select(F.concat(F.col("source"), F.lit("/f"), F.col("doc_id"), suffix).alias("path"), F.col("n_chars").alias("size"), text.alias("content"), F.sha1(F.encode("text", "utf-8")).alias("digest"), (F.col("doc_id") % 11 == 0).alias("is_changed"), "doc_id", "source")
 
 
 _MINIFIED = """m AS (SELECT doc_id, list_max(list_transform(l, lambda x: length(x))) > 2000 OR list_sum(list_transform(l, lambda x: length(x)))::DOUBLE / greatest(1, len(l)) > 350 AS minified FROM (
   SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, string_split(substring(c, 1, 4000), chr(10)) AS l FROM (
-  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '// @generated' || chr(10) ELSE '' END || 'import ''../' || source || '/f' || (doc_id + 2) || '''' || chr(10) || regexp_replace(text, '[A-Za-z0-9_/.@-]+\\.(ts|js)x?|/', '', 'g') AS c FROM documents WHERE text IS NOT NULL AND source IS NOT NULL))))"""
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '// @generated' || chr(10) ELSE '' END || 'import ''../' || source || '/f' || (doc_id + 2) || '''' || chr(10) || replace(text, '/', '') AS c FROM documents WHERE text IS NOT NULL AND source IS NOT NULL))))"""
 _CLASSES = f"""{_MINIFIED}, k AS (SELECT d.doc_id, d.source, CASE d.doc_id % 8 WHEN 4 THEN 0 WHEN 3 THEN 1 WHEN 5 THEN 1 ELSE CASE WHEN d.doc_id % 5 = 0 OR minified THEN 3 ELSE 5 END END AS class FROM documents d JOIN m USING (doc_id))"""
 
 
