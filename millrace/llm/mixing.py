@@ -3,11 +3,13 @@
 A multinomial logistic classifier, learned from a labelled table, gives every document the posterior of each domain.
 Nonnegative document rates are then fitted so that the expected tokens of each domain, the sum over documents of rate,
 tokens and posterior, meet their targets: least squares by accelerated projected gradient, with a small pull of each rate
-to the budget's mean rate, which makes the answer unique and spreads it over alike documents.
+to the budget's mean rate, which makes the answer unique and spreads it over alike documents. Documents whose likeliest
+domain has a target of zero are held at zero, however few tokens they have.
 
 A step needs of all documents just the expected totals, one number per domain, so each round is one narrow pass that
 sums (tokens, posteriors) and shuffles a row per task. A document's rate follows from the residuals of the rounds so far,
-so no rates are kept between rounds. The classifier is fitted on a bounded sample of labelled rows; everything else
+so no rates are kept between rounds. At the optimum it follows from one dual number per domain; the rounds end near it, and
+Newton steps on these numbers, a pass each as well, go on until the optimum's conditions hold. The classifier is fitted on a bounded sample of labelled rows; everything else
 covers all documents.
 """
 
@@ -27,6 +29,8 @@ from millrace.llm.common import LETTERS, documents, kept_as, kind_of, kinds_of,
 SAMPLE, VOCABULARY, LEAST_DOCS = 6_000, 20_000, 4
 #: Rounds of gradient steps at most, the largest miss of a target (as a share of all targets) that ends them, the pull to the mean rate.
 ROUNDS, CLOSE, PULL = 40, 0.002, 1e-3
+#: What a domain's condition may be off at the end, as a share of the domain's own tokens, and of all tokens for rounding; shares of a Newton step that are tried at once.
+SETTLED, ROUNDING, STEPS = 1e-6, 1e-12, tuple(0.5**i for i in range(12))
 
 #: Shares of the token budget by domain: documents of good and of poor quality, and toxic ones. The budget is a share of all tokens.
 TARGETS = {"good": 0.75, "poor": 0.25, "toxic": 0.0}
@@ -207,15 +211,78 @@ def fitted(members: DataFrame, targets: dict[str, float], budget: float = BUDGET
     return history, budget
 
 
-def mixed_rates(members: DataFrame, history: list[np.ndarray], mean_rate: float, domains: list[str], pull: float = PULL) -> DataFrame:
-    """``members`` with the fitted rate and the likeliest domain of every row."""
+def held_at_zero(p: np.ndarray, unwanted: np.ndarray) -> np.ndarray:
+    """Rows that are likelier of a domain with a target of zero (``unwanted``) than of any other."""
+    if not unwanted.any() or unwanted.all():
+        return np.full(len(p), bool(unwanted.any()))
+    return p[:, unwanted].max(1) > p[:, ~unwanted].max(1)
+
+
+def settled(members: DataFrame, targets: dict[str, float], history: list[np.ndarray], budget: float = BUDGET, pull: float = PULL) -> list[np.ndarray]:
+    """The optimum to which the rounds of ``fitted`` (``history``) tend, as the history of a single round that leads to it.
+
+    There a rate is max(0, mean rate - posteriors @ dual) and the residual of each domain is ``pull`` times its dual number.
+    The dual function is convex with piecewise linear gradient, so Newton steps end at its minimum after a few; a step is
+    shortened where the function doesn't fall. It ends by the conditions alone, or where rounding leaves nothing to gain.
+    """
+    want = np.array(list(targets.values()), float)
+    unwanted = want == 0
+    want = want / want.sum() * budget
+    k = len(want)
+    size = 1 + 2 * k + k * k
+    total = members.agg(F.sum("tokens")).first()[0] or 0
+    if not total:
+        return history
+
+    def tried(duals: np.ndarray) -> np.ndarray:
+        """Of each row of duals: half the mean square of rates, the domains' totals, their own tokens, and the second derivatives."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((len(duals), size))
+            for batch in batches:
+                n = batch.column("tokens").to_numpy(zero_copy_only=False).astype(float)
+                p = pc.list_flatten(batch.column("posteriors")).to_numpy(zero_copy_only=False).reshape(-1, k)
+                free = ~held_at_zero(p, unwanted)
+                for row, dual in zip(out, duals):
+                    r = np.maximum(0, budget - p @ dual) * free
+                    row[0] += n @ (r * r) / 2
+                    row[1 : 1 + k] += (n * r) @ p
+                    row[1 + k : 1 + 2 * k] += n @ p
+                    row[1 + 2 * k :] += ((p * (n * (r > 0))[:, None]).T @ p).reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array([*range(out.size)], pa.int32()), pa.array(out.reshape(-1))], ["i", "x"])
+
+        sums = np.zeros(len(duals) * size)
+        for row in members.select("tokens", "posteriors").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            sums[row.i] = row.x
+        return sums.reshape(-1, size) / total
+
+    duals, last = np.stack([np.zeros(k), *(h / pull for h in history[-1:])]), np.inf
+    while True:
+        sums = tried(duals)
+        value = sums[:, 0] + pull * (duals * duals).sum(1) / 2 + duals @ want
+        at = int(value.argmin())
+        if value[at] >= last:
+            break
+        best, last = duals[at], value[at]
+        slope = want + pull * best - sums[at, 1 : 1 + k]
+        if (np.abs(slope) <= SETTLED * sums[at, 1 + k : 1 + 2 * k] + ROUNDING).all():
+            break
+        step = np.linalg.solve(sums[at, 1 + 2 * k :].reshape(k, k) + pull * np.eye(k), -slope)
+        duals = np.stack([best + x * step for x in STEPS])
+    return [best * (1 + pull)]
+
+
+def mixed_rates(members: DataFrame, history: list[np.ndarray], mean_rate: float, domains: list[str], pull: float = PULL, unwanted: tuple[str, ...] = ()) -> DataFrame:
+    """``members`` with the fitted rate and the likeliest domain of every row; what is likeliest of an ``unwanted`` domain has none."""
+    never = np.array([d in unwanted for d in domains])
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in members.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = pc.list_flatten(batch.column("posteriors")).to_numpy(zero_copy_only=False).reshape(-1, len(domains))
             best = pa.array([domains[i] for i in p.argmax(1)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, best, pa.array(rates(p, history, mean_rate, pull))], [*batch.schema.names, "domain", "rate"])
+            rate = np.where(held_at_zero(p, never), 0.0, rates(p, history, mean_rate, pull))
+            yield pa.RecordBatch.from_arrays([*batch.columns, best, pa.array(rate)], [*batch.schema.names, "domain", "rate"])
 
     return members.mapInArrow(run, f"{kind}, domain string, rate double")
 
@@ -232,7 +299,8 @@ def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     domains = list(targets)
     members = saved(memberships(df, fit(df, labels, domains, key, text, label), domains, key, text, keep), "members")
     history, mean_rate = fitted(members, targets, budget)
-    return mixed_rates(members, history, mean_rate, domains)
+    history = settled(members, targets, history, budget)
+    return mixed_rates(members, history, mean_rate, domains, unwanted=tuple(d for d in domains if not targets[d]))
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

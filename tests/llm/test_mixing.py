@@ -1,8 +1,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pytest
 
+import corpus_pipeline
 from millrace.llm import mixing as op
 
 SCHEMA = "doc_id long, text string, Text string, rate string, domain string"
@@ -100,3 +103,35 @@ def test_toxic_documents_are_found(spark):
     hit = [(got[i].domain == "toxic") == (t == 1) for i, t in toxic.items()]
     assert np.mean(hit) > 0.97
     assert np.mean([got[i].rate for i, t in toxic.items() if t == 1]) < 0.1 < np.mean([got[i].rate for i, t in toxic.items() if t == 0])
+
+
+@pytest.mark.parametrize("n_toxic", [4, 20, 80])
+def test_few_toxic_documents_leave_the_pipeline(spark, tmp_path, n_toxic):
+    rng = random.Random(n_toxic)
+    word = lambda: "".join(rng.choice(["an", "er", "th", "ou", "st", "en"]) for _ in range(rng.randrange(1, 5)))
+    docs, labels = [], []
+    for i in range(4000):
+        kind = "toxic" if i < n_toxic else "good" if i % 10 < 6 else "poor"
+        mark = {"good": "plain clear", "poor": "fancy buy", "toxic": "nasty awful"}[kind]
+        docs.append((i, " ".join([*(word() for _ in range(30)), *mark.split() * 3]), "en", "s", 9))
+        labels.append((i, int(kind == "good"), int(kind == "toxic")))
+    pd.DataFrame(labels, columns=["doc_id", "quality", "toxic"]).to_parquet(tmp_path / "labels.parquet")
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.mix(spark, df, str(tmp_path)).collect()}
+    assert not [i for i in got if i < n_toxic] and len(got) > 0.95 * (4000 - n_toxic)
+    tokens = sum(36 * r.rate for r in got.values()) / (36 * 4000)
+    assert abs(tokens - op.BUDGET) < 0.005
+
+
+def test_settled_rates_are_the_optimum(spark):
+    rows = some(6, 200)
+    n, p = np.array([x for x, _ in rows], float), np.array([x for _, x in rows])
+    targets = {"a": 5, "b": 3, "c": 0}
+    want = np.array([5, 3, 0]) / 8 * 0.4
+    held = members(spark, rows)
+    history, mean = op.fitted(held, targets, 0.4)
+    got = {x.doc_id: x.rate for x in op.mixed_rates(held, op.settled(held, targets, history, 0.4), mean, list(targets), unwanted=("c",)).collect()}
+    r = np.array([got[i] for i in range(len(n))])
+    gradient = p @ ((n * r) @ p / n.sum() - want) + op.PULL * (r - 0.4)
+    free = p.argmax(1) < 2
+    assert (r[~free] == 0).all() and np.abs(np.where(r > 0, gradient, np.minimum(gradient, 0)))[free].max() < 1e-6
