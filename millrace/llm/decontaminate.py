@@ -3,8 +3,9 @@
 Each benchmark item has a 64-bit SimHash of its word shingles. Every window of an item's length in a document gets one as
 well; a multi-index over eight 8-bit blocks of the items' fingerprints finds all items within ``RADIUS`` bits (of two
 fingerprints that close, one block at least differs by no more than an eighth of that), and what it finds is verified by
-the exact weighted Jaccard similarity of the two shingle multisets. A shingle weighs one over the number of items that
-have it, so boilerplate that many items share counts little.
+the exact weighted Jaccard similarity of the two shingle multisets. A shingle weighs one over the number of different item
+texts that have it, so boilerplate that many items share counts little and repeated rows change nothing. A shingle that
+isn't in the item weighs no more than the item's own do on average.
 
 A window that shares no shingle with any item of its length can't be verified, so no fingerprint is made of it. The
 benchmark is sent to the tasks in slices of at most ``SLICE_BYTES`` of text, one pass over the documents each.
@@ -12,6 +13,7 @@ benchmark is sent to the tasks in slices of at most ``SLICE_BYTES`` of text, one
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -69,9 +71,11 @@ class Benchmark:
     """The items of a benchmark by their number of words; equal texts with other ids are items of their own."""
 
     def __init__(self, items: list[tuple[int, str | None]], size: int = SHINGLE, radius: int = RADIUS, elsewhere: dict[int, int] | None = None):
-        """``elsewhere``: in how many items of the whole benchmark a shingle is, where these are a slice of it."""
+        """``elsewhere``: in how many different texts of the whole benchmark a shingle is, where these are a slice of it."""
         words = words_of(pa.array([t for _, t in items], pa.string()), LETTERS)
         self.items: list[tuple[int, Counter]] = []
+        #: the items by a digest of their words
+        self.distinct: dict[int, Counter] = {}
         by: dict[int, list[tuple[int, np.ndarray]]] = {}
         grams = {g: words.grams(g) for g in range(1, size + 1)}
         for (key, _), a, b in zip(items, words.first.tolist(), words.first[1:].tolist()):
@@ -80,8 +84,10 @@ class Benchmark:
                 own = grams[g][a : b - g + 1]
                 by.setdefault(b - a, []).append((len(self.items), own))
                 self.items.append((key, Counter(own.tolist())))
-        seen = Counter(s for _, held in self.items for s in held)
+                self.distinct[int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)] = self.items[-1][1]
+        seen = Counter(s for held in self.distinct.values() for s in held)
         self.weight = {s: 1 / max(n, (elsewhere or {}).get(s, 0)) for s, n in seen.items()}
+        self.mean = [sum(self.weight[s] * n for s, n in held.items()) / held.total() for _, held in self.items]
         #: by length: shingle size, all shingles sorted, the multi-index and the items in it
         self.groups = []
         for length, own in sorted(by.items()):
@@ -90,9 +96,9 @@ class Benchmark:
         self.every = {g: np.unique(np.concatenate([s for _, k, s, _, _ in self.groups if k == g])) for g in {k for _, k, _, _, _ in self.groups}}
 
     def similarity(self, item: int, features: list[int]) -> float:
-        a, b = self.items[item][1], Counter(features)
+        a, b, own = self.items[item][1], Counter(features), self.mean[item]
         both = sum(self.weight[s] * min(n, b[s]) for s, n in a.items() if s in b)
-        every = sum(self.weight[s] * max(n, b.get(s, 0)) for s, n in a.items()) + sum(self.weight.get(s, 1.0) * n for s, n in b.items() if s not in a)
+        every = sum(self.weight[s] * max(n, b.get(s, 0)) for s, n in a.items()) + sum(min(own, self.weight.get(s, own)) * n for s, n in b.items() if s not in a)
         return both / every
 
 
@@ -151,16 +157,16 @@ def matches(texts: pa.Array, bench: Benchmark, similar: float = SIMILAR) -> list
 
 
 def _spread(items: DataFrame, size: int) -> DataFrame:
-    """gram and n of the shingles that several items have, and slice (their items' slices)."""
+    """gram and n of the shingles that several different texts have, and slice (their items' slices)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, part in zip(batch.column("text").to_pylist(), batch.column("slice").to_pylist()):
-                own = [s for _, held in Benchmark([(0, text)], size).items for s in held]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.uint64).view(np.int64)), pa.array([part] * len(own), pa.int64())], ["gram", "slice"])
+                for digest, held in Benchmark([(0, text)], size).distinct.items():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(list(held), np.uint64).view(np.int64)), pa.array([part] * len(held), pa.int64()), pa.array([digest] * len(held), pa.int64())], ["gram", "slice", "digest"])
 
-    grams = items.mapInArrow(run, "gram long, slice long")
-    return grams.groupBy("gram").agg(F.count("*").alias("n"), F.collect_set("slice").alias("slices")).where("n > 1")
+    grams = items.mapInArrow(run, "gram long, slice long, digest long")
+    return grams.groupBy("gram").agg(F.count_distinct("digest").alias("n"), F.collect_set("slice").alias("slices")).where("n > 1")
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SHINGLE, similar: float = SIMILAR, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -85,3 +85,15 @@ def test_empty_tables(spark):
     docs, items = made(1)
     assert run(spark, docs[:3], []) == [] and run(spark, [], items) == []
     assert op.matches(pa.array([], pa.string()), op.Benchmark(items[:3])) == []
+
+
+def test_repeated_benchmark_rows_change_nothing(spark, monkeypatch):
+    text = [f"w{i}" for i in range(60)]
+    doc = " ".join(["before", *text[:30], "other", *text[31:], "after"])
+    once = run(spark, [(1, doc)], [(0, " ".join(text))])
+    assert len(once) == 1
+    items = [(i, (" ", ", ", "\n", " - ", ". ")[i].join(text)) for i in range(5)]
+    for held in (1 << 24, 300):
+        monkeypatch.setattr(op, "SLICE_BYTES", held)
+        got = run(spark, [(1, doc)], items + items[:2])
+        assert {(d, i) for d, i, _ in got} == {(1, i) for i in range(5)} and {x for *_, x in got} == {once[0][2]}
