@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -19,17 +21,62 @@ BLOCKS = frozenset(
 )
 #: A start tag ends an open element of these, as HTML's optional end tags have it.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: What a head may hold; anything else ends it.
+_HEAD = frozenset("html head base link meta title style script noscript template basefont bgsound noframes".split())
+#: Hidden elements that only their end tag ends; script and style are read as text by the parser, and a head ends by itself.
+_ENDED = HIDDEN - {"head", "script", "style"}
+_ENDED_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_ENDED))})(?![^\s/>])", re.I)
 _SCOPES = frozenset("ul ol dl table tr article section main aside nav div body".split())
 
 PATH_DIM, WORD_DIM, FACTS = 48, 24, 8
 INPUT = PATH_DIM + WORD_DIM + FACTS
 
 
-class Blocks(HTMLParser):
-    """Collects ``found``: (path, text, characters in links, characters emphasised) of each block, in page order."""
+class Unended(HTMLParser):
+    """Collects the hidden elements that have no end tag, by their number among the start tags of hidden elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.starts: list[tuple[str, int]] = []
+        self.n = 0
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in _ENDED:
+            self.starts.append((tag, self.n))
+            self.n += 1
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        pass
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in _ENDED:
+            for at in range(len(self.starts) - 1, -1, -1):
+                if self.starts[at][0] == tag:
+                    del self.starts[at]
+                    return
+
+
+def unended(html: str) -> frozenset[int]:
+    """Numbers of the hidden elements without an end tag; pages in which as many tags start as end are not parsed for it."""
+    tally = Counter((tag.lower(), bool(end)) for end, tag in _ENDED_TAG.findall(html))
+    if all(tally[tag, False] == tally[tag, True] for tag, _ in list(tally)):
+        return frozenset()
+    page = Unended()
+    page.feed(html)
+    page.close()
+    return frozenset(n for _, n in page.starts)
+
+
+class Blocks(HTMLParser):
+    """Collects ``found``: (path, text, characters in links, characters emphasised) of each block, in page order.
+
+    ``unended``: numbers of hidden elements without an end tag; these end with their parent or at the next block.
+    """
+
+    def __init__(self, unended: frozenset[int] = frozenset()) -> None:
+        super().__init__(convert_charrefs=True)
+        self.unended, self.n = unended, 0
+        self.loose: list[bool] = []  # of the open hidden elements, whether they have no end tag
         self.found: list[tuple[tuple[str, ...], str, int]] = []
         self.open: list[tuple[str, str]] = []
         self.parts: list[str] = []
@@ -46,9 +93,24 @@ class Blocks(HTMLParser):
             self.flush()
         for tag, _ in self.open[at:]:
             self.links -= tag == "a"
-            self.hidden -= tag in HIDDEN
+            if tag in HIDDEN:
+                self.hidden -= 1
+                self.loose.pop()
         del self.open[at:]
 
+    def _end_head(self, tag: str) -> None:
+        """A head ends at a body, and at anything in it that a head can't hold."""
+        if tag == "body":
+            at = next((i for i, (t, _) in enumerate(self.open) if t == "head"), None)
+            if at is not None:
+                self._pop(at)
+        elif tag not in _HEAD and self.open and self.open[-1][0] == "head":
+            self._pop(len(self.open) - 1)
+
+    def _end_loose(self) -> None:
+        while self.loose and self.loose[-1]:
+            self._pop(next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in HIDDEN))
+
     def _close(self, tags: tuple[str, ...]) -> None:
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] in tags:
@@ -57,6 +119,10 @@ class Blocks(HTMLParser):
                 return None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.hidden:
+            if tag in BLOCKS and tag != "option":
+                self._end_loose()
+            self._end_head(tag)
         if tag in VOID:
             self.parts.append(" ")
             if tag == "hr":
@@ -69,7 +135,10 @@ class Blocks(HTMLParser):
         label = " ".join([tag, *f"{held.get('class') or ''} {held.get('id') or ''} {held.get('role') or ''}".lower().replace("-", " ").replace("_", " ").split()[:8]])
         self.open.append((tag, label))
         self.links += tag == "a"
-        self.hidden += tag in HIDDEN
+        if tag in HIDDEN:
+            self.hidden += 1
+            self.loose.append(tag in _ENDED and self.n in self.unended)
+            self.n += tag in _ENDED
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -82,6 +151,8 @@ class Blocks(HTMLParser):
         return None
 
     def handle_data(self, data: str) -> None:
+        if self.hidden and self.open[-1][0] == "head" and data.strip():
+            self._end_head("")
         if not self.hidden:
             self.parts.append(data)
             if self.links:
@@ -89,7 +160,7 @@ class Blocks(HTMLParser):
 
 
 def blocks_of(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    page = Blocks()
+    page = Blocks(unended(html))
     page.feed(html)
     page.close()
     page.flush()

@@ -55,3 +55,18 @@ def test_edges(spark):
     got = op.extracted(df).collect()
     assert len(got) == 6 and sum(r.n_chars for r in got) == len("Thand er ing. " * 20_000) - 1
     assert op.extracted(df.limit(0)).collect() == []
+
+
+def test_open_hidden_elements_end():
+    texts = lambda page: [t for _, t, _ in blocks_of(page)]
+    for start in ("<body>", "", "<body class=x><hr>"):
+        assert texts(f"<html><head><meta charset=x><title>no</title><style>p {{}}</style>{start}<article><p>one<p>two</article>") == ["one", "two"]
+    assert texts("<head><title>no</title><link href=x>plain <p>one") == ["plain", "one"]
+    assert texts("<head><title>no</title><img src=x>plain") == texts("<head><title>no</title><span>plain</span>") == ["plain"]
+    assert texts("<head><noscript><link href=x><body><p>one") == texts("<head><title>no<body><p>one") == ["one"]
+    for tag in ("noscript", "iframe", "object", "svg", "canvas", "select", "math", "datalist", "textarea", "template"):
+        assert texts(f"<p>one</p><{tag}>no<p>two</p><{tag}>no<p>no</p></{tag}><p>three</p>") == ["one", "two", "three"], tag
+        assert texts(f"<p>one <b><{tag}>no</b> two</p><{tag}/><p>three") == ["one two", "three"], tag
+        assert texts(f"<{tag}>no<p>no<div>no</div></{tag}><p>one") == ["one"], tag
+    assert texts("<object>no<svg><p>no</p></svg><p>one</p>") == ["one"]
+    assert texts("<select><option>no<option>no<p>one</p>") == ["one"]
