@@ -5,7 +5,7 @@ well; a multi-index over eight 8-bit blocks of the items' fingerprints finds all
 fingerprints that close, one block at least differs by no more than an eighth of that), and what it finds is verified by
 the exact weighted Jaccard similarity of the two shingle multisets. A shingle weighs one over the number of different item
 texts that have it, so boilerplate that many items share counts little and repeated rows change nothing. A shingle that
-isn't in the item weighs no more than the item's own do on average.
+isn't in the item weighs what the item's own do on average, in whichever slice of the benchmark the item is.
 
 A window that shares no shingle with any item of its length can't be verified, so no fingerprint is made of it. The
 benchmark is sent to the tasks in slices of at most ``SLICE_BYTES`` of text, one pass over the documents each.
@@ -98,7 +98,7 @@ class Benchmark:
     def similarity(self, item: int, features: list[int]) -> float:
         a, b, own = self.items[item][1], Counter(features), self.mean[item]
         both = sum(self.weight[s] * min(n, b[s]) for s, n in a.items() if s in b)
-        every = sum(self.weight[s] * max(n, b.get(s, 0)) for s, n in a.items()) + sum(min(own, self.weight.get(s, own)) * n for s, n in b.items() if s not in a)
+        every = sum(self.weight[s] * max(n, b.get(s, 0)) for s, n in a.items()) + sum(own * n for s, n in b.items() if s not in a)
         return both / every
 
 

@@ -97,3 +97,13 @@ def test_repeated_benchmark_rows_change_nothing(spark, monkeypatch):
         monkeypatch.setattr(op, "SLICE_BYTES", held)
         got = run(spark, [(1, doc)], items + items[:2])
         assert {(d, i) for d, i, _ in got} == {(1, i) for i in range(5)} and {x for *_, x in got} == {once[0][2]}
+
+
+def test_slices_change_nothing_beside_shared_shingles(spark, monkeypatch):
+    line = [f"common{i}" for i in range(12)]
+    items = [(i, " ".join([*(f"w{i}x{j}" for j in range(60)), *(line if i else [])])) for i in range(9)]
+    docs = [(1, " ".join([*items[0][1].split()[:54], *line])), (2, " ".join([*line, *items[0][1].split()[6:]])), (3, " ".join([*items[1][1].split()[:66], *line]))]
+    whole = run(spark, docs, items)
+    assert {d for d, *_ in whole} == {1, 2, 3}
+    monkeypatch.setattr(op, "SLICE_BYTES", 200)  # an item or two a slice
+    assert run(spark, docs, items) == whole
