@@ -5,14 +5,15 @@ anchors, so anchors deal the work: consecutive windows with the same anchor occu
 goes to the shard of its anchor. Anchors of one document only can't repeat and go nowhere.
 
 In a shard the distinct segments are indexed (Burrows-Wheeler transform and wavelet matrix) with the least document that
-each comes from. Then the documents' segments are streamed through it, each distinct one once: backward search gives the
-interval of each window's occurrences, and the least document in the interval tells whether a smaller one has the same
-words. What a segment's windows give is joined back to all its occurrences, a join that can be split on a hot segment.
+each comes from. Then they are streamed through it, each distinct one once: backward search keeps, word by word, the
+interval of what matches the next ``WINDOW`` words, and the least document that the interval leads to tells whether a
+smaller one has the same words. What a segment's windows give is joined back to all its occurrences, a join that can be
+split on a hot segment; runs of windows that a smaller document has are the intervals reported.
 
 An anchor of over ``HOT`` occurrences (a line that very many documents have among other words) would make a shard of its
 own size, so its windows are segments of their own, dealt by their own hash.
 
-Words are told apart by 32 bits of hash where they stand beside an anchor that is equal in 64 bits.
+Words are told apart by the 64 bits of their hash, each word of a window by itself.
 """
 
 from __future__ import annotations
@@ -31,6 +32,22 @@ from millrace.llm.fm_index import Index
 WINDOW, ANCHOR = 13, 5
 #: Occurrences from which an anchor's windows are dealt one by one, and words that a shard's index holds, about.
 HOT, SHARD_WORDS = 100_000, 1 << 18
+#: Segments whose words a task remembers to have sent.
+SENT = 1 << 18
+
+
+class Sent:
+    """The least document with which a segment's words were sent, for as many segments as there are slots; one that falls out is sent again."""
+
+    def __init__(self, slots: int = SENT):
+        self.slots, self.seg, self.least = slots, np.zeros(slots, np.uint64), np.full(slots, np.iinfo(np.int64).max)
+
+    def fresh(self, seg: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which of these segments (each once) aren't known with an id as small; they are from now on."""
+        at = (seg % np.uint64(self.slots)).astype(np.int64)
+        out = (self.seg[at] != seg) | (self.least[at] > ids)
+        self.seg[at[out]], self.least[at[out]] = seg[out], ids[out]
+        return out
 
 
 def least_at(v: np.ndarray, width: int) -> np.ndarray:
@@ -90,10 +107,11 @@ def _segments(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     """rows: id, row, text, ats, hots (where shared anchors stand, and whether each is hot). A row per segment.
 
     shard, seg (a hash of its words), id, row, start (first word), and its words' codes: once for equal segments of a
-    step, where the id is the least, and null for the others.
+    task, as far as it remembers them, where the id is the least so far, and null for the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = Sent()
         for batch in steps(batches):
             words = words_of(batch.column("text"))
             first, at, held = anchors(words, window, anchor)
@@ -117,11 +135,12 @@ def _segments(rows: DataFrame, window: int, anchor: int) -> DataFrame:
             seg = mixed((running[stop - window + 1] - running[start]) ^ (whole[start] + shard))
             of = words.text_of()[start]
             order = np.lexsort((ids[of], seg))
+            least = order[np.concatenate([[True], seg[order[1:]] != seg[order[:-1]]])]
             lead = np.zeros(len(start), bool)
-            lead[order[np.concatenate([[True], seg[order[1:]] != seg[order[:-1]]])]] = True
-            code = (words.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            lead[least[sent.fresh(seg[least], ids[of[least]])]] = True
+            code = np.maximum(words.hash, np.uint64(1))  # 0 ends a segment in the index
             size = np.where(lead, stop - start, 0)
-            offsets = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int32)
             valid = pa.py_buffer(np.packbits(lead, bitorder="little").tobytes())
             codes = pa.Array.from_buffers(pa.binary(), len(start), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_gathered(code, start, size).tobytes())])
             rows_ = batch.column("row").take(pa.array(of))
@@ -133,14 +152,12 @@ def _segments(rows: DataFrame, window: int, anchor: int) -> DataFrame:
 def stream(codes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Index segments (their words one after the other) and stream them through: each one's number of windows, and each window's least id."""
     n = len(sizes)
-    text = np.zeros(int(sizes.sum()) + n, np.uint32)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    text = np.zeros(int(sizes.sum()) + n, np.uint64)
+    starts = np.cumsum(sizes + 1) - (sizes + 1)
     text[np.arange(len(codes)) + np.repeat(np.arange(n), sizes)] = codes
     index = Index(text, window)
-    count = sizes - window + 1
-    at = np.repeat(starts - np.cumsum(count) + count, count) + np.arange(count.sum())
-    low, high = index.search(np.lib.stride_tricks.sliding_window_view(text, window)[at])
-    return count, index.least(np.repeat(ids, sizes + 1), low, high)
+    low, high = index.matching(index.codes(text), starts, starts + sizes)
+    return sizes - window + 1, index.least(np.repeat(ids, sizes + 1), low, high)
 
 
 def _searched(contents: DataFrame, window: int) -> DataFrame:
@@ -162,8 +179,8 @@ def _searched(contents: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             column = batch.column("words")
             offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            codes = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint32)
-            held.append([*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "seg", "id")), np.diff(offsets) // 4, codes])
+            codes = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
+            held.append([*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "seg", "id")), np.diff(offsets) // 8, codes])
             total += len(codes)
             if total > SHARD_WORDS:
                 keys, segs, ids, sizes, codes = (np.concatenate(x) for x in zip(*held))

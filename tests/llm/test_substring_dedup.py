@@ -5,6 +5,7 @@ import re
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from millrace.llm import substring_dedup as op
 from millrace.llm.fm_index import Index
@@ -86,3 +87,33 @@ def test_query_equals_sql(spark, tmp_path):
     got = sorted(tuple(r) for r in op.query(spark, str(tmp_path / "sf")).collect())
     assert got == sorted(con.sql(op.SQL).fetchall())
     assert [g[3] for g in got] == [hashlib.sha256(k.encode()).hexdigest() for _, _, _, k in brute(rows)]
+
+
+def test_words_with_equal_parts_of_their_hash_are_told_apart(spark):
+    """Of 400,000 words some share 31 bits of their hash; windows that differ in such words aren't equal."""
+    words = op.Words(*op.text_bytes(pa.array([" ".join(f"w{i}" for i in range(400_000))])))
+    top = words.hash >> np.uint64(33)
+    order = np.argsort(top, kind="stable")
+    twins = [(f"w{a}", f"w{b}") for a, b in zip(order, order[1:]) if top[a] == top[b]]
+    assert len(twins) > 10
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(2 * i + j, f"{line} {w}") for i, pair in enumerate(twins[:10]) for j, w in enumerate(pair)]
+    assert result(frame(spark, rows)) == brute(rows) == [(i, 13, 0, t) for i, t in rows]
+
+
+def test_matches_of_foreign_streams():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        text = np.concatenate([np.append(rng.integers(1, 4, rng.integers(1, 20)), 0) for _ in range(10)]).astype(np.uint64)
+        index, asked = Index(text, 4), rng.integers(1, 5, 40).astype(np.uint64)
+        low, high = index.matching(index.codes(asked), np.array([0, 25, 30]), np.array([25, 30, 32]))
+        got = [sorted(index.order[a:b].tolist()) for a, b in zip(low, high)]
+        want = [[p for p in range(len(text) - 3) if (text[p : p + 4] == asked[i : i + 4]).all()] for a, b in ((0, 25), (25, 30), (30, 32)) for i in range(a, b - 3)]
+        assert got == want
+
+
+def test_words_are_sent_once_a_task_unless_a_smaller_document_has_them():
+    sent = op.Sent(4)
+    fresh = lambda segs, ids: sent.fresh(np.array(segs, np.uint64), np.array(ids, np.int64)).tolist()
+    assert fresh([1, 2], [5, 5]) == [True, True] and fresh([1, 2], [5, 4]) == [False, True]
+    assert fresh([6], [1]) == [True] and fresh([2], [4]) == [True]  # 6 took the slot of 2
