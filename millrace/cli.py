@@ -8,7 +8,7 @@ import os
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.usage import Price
@@ -35,45 +35,71 @@ def session() -> SparkSession:
 
 def _emit(args: argparse.Namespace, bundle: dict) -> None:
     if args.format == "json":
-        print(json.dumps(bundle, indent=2))
+        print(json.dumps(bundle, indent=2, default=str))
     elif args.format == "markdown":
         print(render.markdown(bundle))
     else:
         print(render.terminal(bundle, render.Style({"always": True, "never": False}.get(args.color))))
 
 
+def _token_side(args: argparse.Namespace) -> tuple[dict, DataFrame | None]:
+    """The token report, and the sessions that it is of."""
+    root = args.projects_root or transcripts.default_root()
+    if not transcripts.has_logs(root):
+        return tokens.empty_report(), None
+    price = Price(*(getattr(args, f"price_{x}") for x in ("input", "output", "cache_read", "cache_write")))
+    metrics = tokens.load(session(), root, args.repo if args.scope_repo else None, args.max_sessions, args.since, price)
+    return tokens.report(metrics, args.top, price), metrics
+
+
+def _bundle(reports: dict[str, dict]) -> dict:
+    if len(reports) == 2:
+        return B.combined_bundle(reports["tokens"], reports["repo"])
+    return B.token_bundle(reports["tokens"]) if "tokens" in reports else B.repo_bundle(reports["repo"])
+
+
+def _write(out: Path, reports: dict[str, dict], metrics: DataFrame | None, bundle: dict, budget: Budget) -> None:
+    """The artifacts; their names are fixed. The sessions go into the token report one by one."""
+    out.mkdir(parents=True, exist_ok=True)
+    for side, held in reports.items():
+        with open(out / ("token_report.json" if side == "tokens" else "repo_report.json"), "w", encoding="utf-8") as f:
+            text = json.dumps(held, indent=2, default=str)
+            if side == "tokens":
+                f.write(text[: text.rindex("}")].rstrip() + ',\n  "per_session": [')
+                for n, s in enumerate(tokens.every_session(metrics) if metrics is not None else ()):
+                    f.write(("," if n else "") + "\n    " + json.dumps(s, default=str))
+                text = "\n  ]\n}"
+            f.write(text)
+    (out / "bundle.json").write_text(json.dumps(bundle, indent=2, default=str))
+    (out / "report.md").write_text(render.markdown(bundle))
+    render.write_digest(out, bundle, reports.get("tokens"), reports.get("repo"), budget)
+    (out / "budget.json").write_text(json.dumps(budget.to_dict(), indent=2))
+
+
 def analyze(args: argparse.Namespace) -> int:
-    spark = session()
-    price = Price(args.price_input, args.price_output, args.price_cache_read, args.price_cache_write)
-    token_report = repo_report = None
-    if args.mode in ("tokens", "both"):
-        root = args.projects_root or transcripts.default_root()
-        if transcripts.has_logs(root):
-            metrics = tokens.load(spark, root, args.repo if args.scope_repo else None, args.max_sessions, args.since, price)
-            token_report = tokens.report(metrics, args.top, price)
-        else:
-            token_report = tokens.empty_report()
-    if args.mode in ("repo", "both"):
-        repo_report = repo.report(spark, args.repo, args.top)
-    bundle = B.token_bundle(token_report) if args.mode == "tokens" else B.repo_bundle(repo_report) if args.mode == "repo" else B.combined_bundle(token_report, repo_report)
+    reports: dict[str, dict] = {}
+    metrics = None
+    if args.mode != "repo":
+        reports["tokens"], metrics = _token_side(args)
+    if args.mode != "tokens":
+        reports["repo"] = repo.report(session(), args.repo, args.top)
+    bundle = _bundle(reports)
     if args.out:
-        out = Path(args.out)
-        out.mkdir(parents=True, exist_ok=True)
-        for name, held in (("token_report.json", token_report), ("repo_report.json", repo_report), ("bundle.json", bundle)):
-            if held:
-                (out / name).write_text(json.dumps(held, indent=2, default=str))
-        (out / "report.md").write_text(render.markdown(bundle))
-        budget = Budget(cap_for(args.mode, args.budget))
-        render.write_digest(out, bundle, token_report, repo_report, budget)
-        (out / "budget.json").write_text(json.dumps(budget.to_dict(), indent=2))
+        _write(Path(args.out), reports, metrics, bundle, Budget(cap_for(args.mode, args.budget)))
     _emit(args, bundle)
-    if missed := B.gate(bundle["verdict"]["grade"], args.fail_under):
-        print(f"grade {bundle['verdict']['grade']} is under {args.fail_under.upper()}", file=sys.stderr)
+    got = bundle["verdict"]["grade"]
+    missed = B.gate(got, args.fail_under)
+    if missed:
+        print(f"grade {got} is under {args.fail_under.upper()}", file=sys.stderr)
     return missed
 
 
+#: Where ``extract`` writes if it isn't told.
+RUN_FOLDER = ".millrace/run"
+
+
 def extract(args: argparse.Namespace) -> int:
-    args.out = args.out or ".sa/run"
+    args.out = args.out or RUN_FOLDER
     args.format = "markdown" if args.format == "markdown" else "terminal"
     code = analyze(args)
     print(f"artifacts are in {args.out}", file=sys.stderr)
@@ -100,10 +126,10 @@ def doctor(args: argparse.Namespace) -> int:
     root = args.projects_root or transcripts.default_root()
     found = transcripts.has_logs(root)
     print(f"projects root: {root}\nexists: {'://' in root or os.path.isdir(root)}")
-    counts = transcripts.listing(session(), root).groupBy("project").agg(F.count("*").alias("n")) if found else None
-    print(f"transcripts: {(counts.agg(F.sum('n')).first()[0] or 0) if found else 0}")
-    for r in counts.orderBy("project").limit(20).collect() if found else ():
-        print(f"  {r.project} ({r.n})")
+    logs = transcripts.listing(session(), root).select("project") if found else None
+    print(f"transcripts: {logs.count() if found else 0}")
+    for r in transcripts.by_project(logs).collect() if found else ():
+        print(f"  {r.project} ({r.transcripts})")
     if not found:
         print("none found: set CLAUDE_CONFIG_DIR or --projects-root")
     return 0
@@ -139,11 +165,12 @@ def bench(args: argparse.Namespace) -> int:
         tables = [experiments.arm_totals(rows).orderBy("arm", "rep")]
     for t in tables:
         for r in t.collect():
-            print(json.dumps(r.asDict()))
+            print(json.dumps(r.asDict(recursive=True)))
     return 0
 
 
 def parser() -> argparse.ArgumentParser:
+    """The names of commands and options, their choices and defaults."""
     top = argparse.ArgumentParser(prog="millrace", description="Session logs, source trees and experiments")
     top.add_argument("--version", action="version", version=f"millrace {VERSION}")
     sub = top.add_subparsers(dest="command", required=True)

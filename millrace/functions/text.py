@@ -47,11 +47,12 @@ HEAD_CHARS, SAMPLE_CHARS = 1500, 4000
 LONG_LINE, MEAN_LINE = 2000, 350
 
 _LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+#: A commented-out line of code, an import, a token.
 _CODE_COMMENT = r"(?U)^\s*(//|#)\s*[\w{}()\[\];=<>.\"'`]"
 IMPORT = r"""(?:from\s+|require\(\s*|import\(\s*|import\s+)['"]([^'"]+)['"]"""
 TOKEN = r"[A-Za-z0-9_\-./@]+"
-#: A character of a token, and one other than a slash.
-_IN, _PLAIN = r"[A-Za-z0-9_\-./@]", r"[A-Za-z0-9_\-.@]"
+#: A character that is in no token.
+_OUT = r"[^A-Za-z0-9_\-./@]"
 
 
 def any_of(parts: list[str]) -> str:
@@ -155,6 +156,11 @@ def is_minified(text: Column) -> Column:
     return (F.length(head) > 0) & long
 
 
+def digest_of(content: Column) -> Column:
+    """The digest of a file's bytes; of a text, those of its UTF-8."""
+    return F.sha1(content)
+
+
 def line_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
@@ -189,14 +195,21 @@ def imports_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(IMPORT), F.lit(1))
 
 
-def path_tokens(text: Column) -> Column:
+def naming_tokens(text: Column) -> Column:
+    """The tokens of those lines that name a path or a script file; the others, which are most, aren't taken apart."""
+    lines = F.filter(F.split(text, "\n"), lambda x: (F.instr(x, "/") > 0) | ((F.instr(x, ".") > 0) & x.rlike(any_of(SCRIPT_SUFFIXES))))
+    return F.split(F.array_join(lines, "\n"), rf"{_OUT}+")
+
+
+def path_tokens(tokens: Column) -> Column:
     """The tokens that have a slash."""
-    return F.regexp_extract_all(text, F.lit(rf"(?<!{_IN}){_PLAIN}*+/{_IN}*"), F.lit(0))
+    return F.filter(tokens, lambda t: F.instr(t, "/") > 0)
 
 
-def file_stems(text: Column) -> Column:
+def file_stems(tokens: Column) -> Column:
     """The stems of tokens without a slash that name a script file."""
-    return F.regexp_extract_all(text, F.lit(rf"(?<!{_IN})({_PLAIN}*)(?:{any_of(SCRIPT_SUFFIXES)})(?!{_IN})"), F.lit(1))
+    named = F.filter(tokens, lambda t: (F.instr(t, ".") > 0) & (F.instr(t, "/") == 0) & t.rlike(rf"(?:{any_of(SCRIPT_SUFFIXES)})$"))
+    return F.transform(named, lambda t: F.regexp_replace(t, rf"(?:{any_of(SCRIPT_SUFFIXES)})$", ""))
 
 
 def normal_reference(token: Column) -> Column:

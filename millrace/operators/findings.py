@@ -20,7 +20,7 @@ def coerced(findings: DataFrame) -> DataFrame:
 
 
 def ranked(findings: DataFrame, *then: Column) -> DataFrame:
-    """With ``rank`` from 1: severity, then what is given (impact if nothing is), then id."""
+    """With ``rank`` from 1: severity, then what is given (impact if nothing is), then id. One order, so one task: for lists of findings."""
     order = Window.orderBy(severity_rank(F.col("severity")).desc(), *(then or (F.coalesce("impact_usd", F.lit(0.0)).desc(),)), F.col("id"))
     return findings.withColumn("rank", F.row_number().over(order))
 
@@ -48,11 +48,25 @@ def within_budget(rows: DataFrame, cost: str, order: list[Column], allowance: in
     return rows.withColumn("spent", F.sum(cost).over(window)).where(F.col("spent") <= allowance)
 
 
+def within_one_budget(lists: list[DataFrame], cost: str, order: list[Column], allowance: int) -> DataFrame:
+    """As ``within_budget`` of several ranked lists, with ``list``, the number of each: one goes on from what those before it spent."""
+    out, before = None, None
+    for n, rows in enumerate(lists):
+        window = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = rows.withColumn("spent", F.sum(cost).over(window))
+        if before is not None:
+            own = own.crossJoin(F.broadcast(before)).withColumn("spent", F.col("spent") + F.col("_before")).drop("_before")
+        own = own.where(F.col("spent") <= allowance).withColumn("list", F.lit(n))
+        out = own if out is None else out.unionByName(own)
+        before = out.agg(F.coalesce(F.max("spent"), F.lit(0)).alias("_before"))
+    return out
+
+
 def prefix_sums(rows: DataFrame, cost: str, key: str, buckets: int = 256) -> DataFrame:
     """rows with ``spent``, the sum of ``cost`` up to each in the order of an integer ``key``, without one task for all.
 
-    Keys are cut into ranges; each range is summed by itself and starts from what those before it cost, which is one
-    number a range.
+    Keys are cut into even ranges; each range is summed by itself and starts from what those before it cost, which is one
+    number a range. Rows without a key have no place in the order and go; keys that bunch up make uneven ranges.
     """
     span = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"))
     dealt = rows.crossJoin(F.broadcast(span)).withColumn("_b", F.floor((F.col(key) - F.col("low")) * buckets / (F.col("high") - F.col("low") + 1))).drop("low", "high")

@@ -43,24 +43,25 @@ def with_costs(rows: DataFrame, price: usage.Price = usage.Price()) -> DataFrame
 
 
 def session_metrics(turns: DataFrame, attributes: DataFrame, price: usage.Price = usage.Price()) -> DataFrame:
-    """A row per session that has turns. turns and attributes: as ``sources.transcripts`` gives them."""
+    """A row per session that has turns. turns and attributes: as ``sources.transcripts`` gives them, both by path or both by session_id."""
+    key = "path" if "path" in turns.columns else "session_id"
     big = F.filter("tool_result_chars", lambda x: x >= usage.BIG_OUTPUT_CHARS)
-    sums = turns.groupBy("session_id").agg(
+    sums = turns.groupBy(key).agg(
         F.count("*").alias("turns"), F.count_if(F.col("role") == "assistant").alias("assistant_turns"),
         *[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "tool_errors")],
         F.sum(F.size("tool_calls")).alias("tool_calls"), F.count_if("is_compaction").alias("compactions"), F.sum(F.size(big)).alias("big_outputs"),
     )
-    calls = turns.select("session_id", F.inline("tool_calls"))
-    reads = calls.where("name = 'Read'").select("session_id", "file_path")
-    commands = calls.where("name = 'Bash' and command is not null").select("session_id", normal_command(F.col("command")).alias("command"))
+    calls = turns.select(key, F.inline("tool_calls"))
+    reads = calls.where("name = 'Read'").select(key, "file_path")
+    commands = calls.where("name = 'Bash' and command is not null").select(key, normal_command(F.col("command")).alias("command"))
     out = sums
     for part in (
-        counted(repeats(reads, ["session_id"], "file_path", usage.REREAD_COUNT), "session_id", "file_path", "reread_files", True),
-        counted(repeats(commands, ["session_id"], "command", usage.REPEATED_COMMANDS), "session_id", "command", "repeated_cmds", True),
-        counted(repeats(calls, ["session_id"], "name", 1), "session_id", "name", "tool_histogram"),
+        counted(repeats(reads, [key], "file_path", usage.REREAD_COUNT), key, "file_path", "reread_files", True),
+        counted(repeats(commands, [key], "command", usage.REPEATED_COMMANDS), key, "command", "repeated_cmds", True),
+        counted(repeats(calls, [key], "name", 1), key, "name", "tool_histogram"),
         attributes,
     ):
-        out = out.join(part, "session_id", "left")
+        out = out.join(part, key, "left")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     out = with_costs(out, price).withColumns(
         {
@@ -93,7 +94,11 @@ def worst(metrics: DataFrame, n: int, tie: list[Column] | None = None) -> DataFr
     return metrics.orderBy(F.col("waste_score").desc(), *(tie or [F.col("session_id")])).limit(n)
 
 
-def savings(metrics: DataFrame, low: float = 0.41, high: float = 0.47) -> DataFrame:
+#: The share of context that a map saves, from and to.
+SAVED_LOW, SAVED_HIGH = 0.41, 0.47
+
+
+def savings(metrics: DataFrame, low: float = SAVED_LOW, high: float = SAVED_HIGH) -> DataFrame:
     """What a map of the tree would save: a band of rates on sessions that read files again, as a share of all context."""
     context = usage.context_tokens(F.col("input_tokens"), F.col("cache_read_tokens"), F.col("cache_creation_tokens"))
     again = F.size("reread_files") > 0

@@ -132,13 +132,6 @@ def max_modules_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.capped(rows, [F.col("p_size"), F.col("p_name"), F.col("p_partkey")], 40).drop("p_size")
 
 
-@query("doctor_counts", "SELECT n_name AS project, count(*) AS transcripts FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY n_name LIMIT 20")
-def doctor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("transcripts"))
-    named = counts.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return named.groupBy(F.col("n_name").alias("project")).agg(F.sum("transcripts").alias("transcripts")).orderBy("project").limit(20)
-
-
 @query("brand_sets", "SELECT p_brand FROM part WHERE p_size < 5 INTERSECT SELECT p_brand FROM part WHERE p_size > 45")
 def brand_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")

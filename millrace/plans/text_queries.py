@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import findings
+from millrace.operators import findings, repo, rules
 from millrace.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -22,48 +22,56 @@ def query(name: str, sql: str):  # noqa: ANN201
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null").withColumns({"digest": F.sha1(F.encode("text", "utf-8")), "size": F.octet_length("text").cast("bigint")})
+    return table(spark, sf_dir, "documents").where("text is not null").withColumns({"digest": T.digest_of(F.encode("text", "utf-8")), "size": F.octet_length("text").cast("bigint")})
 
 
-_FILES = "files AS (SELECT *, sha1(text) AS digest, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL)"
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Python files, whole, in the shape that ``operators.repo`` takes."""
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".py"))
+    return files(spark, sf_dir).select(path.alias("path"), "size", F.col("text").alias("content"), "digest", F.lit(False).alias("is_changed"))
 
 
-def exact(spark: SparkSession, sf_dir: str, least: int = 0) -> DataFrame:
-    own = files(spark, sf_dir).where(F.col("size") >= least)
-    return own.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("size").alias("size")).where("n > 1")
+def held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repo.features(sources(spark, sf_dir)).select("path", "size", "digest", "class", "suffix", "stem", "folder", "area", "norm", "lines").persist()
 
 
-@query("exact_dup_groups", f"WITH {_FILES} SELECT digest, count(*) AS n, min(doc_id) AS first, min(size) AS size FROM files WHERE size >= 200 GROUP BY digest HAVING count(*) > 1")
+_MARKED = " OR ".join(f"contains(lower(substring(text, 1, {T.HEAD_CHARS})), '{m}')" for m in T.GENERATED_MARKS)
+_FILES = "files AS (SELECT *, sha1(text) AS digest, octet_length(encode(text)) AS size, coalesce(source, 'none') || '/d' || doc_id || '.py' AS path FROM documents WHERE text IS NOT NULL)"
+_TARGETS = f"""{_FILES}, heads AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, string_split(substring(text, 1, 4000), chr(10)) AS l FROM files)),
+minified AS (SELECT doc_id, list_max(list_transform(l, lambda x: length(x))) > 2000 OR list_sum(list_transform(l, lambda x: length(x)))::DOUBLE / greatest(1, len(l)) > 350 AS minified FROM heads),
+targets AS (SELECT f.* FROM files f JOIN minified USING (doc_id) WHERE length(text) > 0 AND NOT coalesce(minified, false) AND NOT ({_MARKED}))"""
+_EXACT = "exact AS (SELECT digest, count(*) AS n, min(size)::BIGINT AS size, min(path) AS first FROM targets WHERE size >= 200 GROUP BY digest HAVING count(*) > 1)"
+
+
+@query("exact_dup_groups", f"WITH {_TARGETS}, {_EXACT} SELECT digest, n, size, first, false AS is_doc FROM exact")
 def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact(spark, sf_dir, 200)
+    return repo.copies(held(spark, sf_dir))
 
 
-@query("dup_reclaimable", f"WITH {_FILES} SELECT count(*) AS groups, coalesce(sum((n - 1) * size), 0)::BIGINT AS reclaimable_bytes FROM (SELECT count(*) AS n, min(size) AS size FROM files WHERE size >= 200 GROUP BY digest HAVING count(*) > 1)")
+@query("dup_reclaimable", f"WITH {_TARGETS}, {_EXACT} SELECT count(*) AS groups, coalesce(sum((n - 1) * size), 0)::BIGINT AS reclaimable_bytes FROM exact")
 def dup_reclaimable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact(spark, sf_dir, 200).agg(F.count("*").alias("groups"), F.coalesce(F.sum((F.col("n") - 1) * F.col("size")), F.lit(0)).alias("reclaimable_bytes"))
+    found = held(spark, sf_dir)
+    nothing = spark.createDataFrame([], "path string, is_script boolean")
+    return rules.summary(found, repo.copies(found), nothing).select(F.col("duplicate_groups").alias("groups"), "reclaimable_bytes")
+
+
+_NORMAL = r"""lines AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+kept AS (SELECT doc_id, i, lower(regexp_replace(trim(line, ' ' || chr(9)), '\s+', ' ', 'g')) AS line FROM lines WHERE trim(line, ' ' || chr(9)) <> '' AND NOT regexp_matches(trim(line, ' ' || chr(9)), '^(//|#|\*|/\*|import |export \{|from )')),
+norm AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS norm FROM kept GROUP BY doc_id)"""
 
 
 @query(
     "near_dup_groups",
-    f"""WITH {_FILES}, norm AS (SELECT doc_id, digest, substring(regexp_replace(lower(text), '[^a-z ]', '', 'g'), 1, 200) AS norm FROM files WHERE size >= 800),
-dups AS (SELECT digest FROM files WHERE size >= 200 GROUP BY digest HAVING count(*) > 1)
-SELECT sha1(norm) AS norm, count(*) AS n, min(doc_id) AS first FROM norm LEFT JOIN dups d ON norm.digest = d.digest WHERE norm <> '' GROUP BY norm HAVING count(*) > 1 AND NOT bool_and(d.digest IS NOT NULL)""",
+    f"""WITH {_TARGETS}, {_EXACT}, {_NORMAL} SELECT '.py' AS suffix, sha1(norm) AS norm, count(*) AS n, min(t.path) AS first FROM norm JOIN targets t USING (doc_id) LEFT JOIN exact d ON t.digest = d.digest
+WHERE t.size >= 800 GROUP BY norm.norm HAVING count(*) > 1 AND NOT bool_and(d.digest IS NOT NULL)""",
 )
 def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = F.substring(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), 1, 200)
-    own = files(spark, sf_dir).where("size >= 800").select("doc_id", "digest", norm.alias("norm")).where("norm <> ''")
-    marked = own.join(exact(spark, sf_dir, 200).select("digest", F.lit(True).alias("is_exact")), "digest", "left")
-    groups = marked.groupBy(F.sha1(F.encode("norm", "utf-8")).alias("norm")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.bool_and(F.coalesce("is_exact", F.lit(False))).alias("all_exact"))
-    return groups.where("n > 1 and not all_exact").drop("all_exact")
+    """Whole texts, by their whole normal form."""
+    found = held(spark, sf_dir)
+    return repo.near_copies(found, repo.copies(found))
 
 
-@query(
-    "normal_source_groups",
-    r"""WITH lines AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
-kept AS (SELECT doc_id, i, lower(regexp_replace(trim(line, ' ' || chr(9)), '\s+', ' ', 'g')) AS line FROM lines WHERE trim(line, ' ' || chr(9)) <> '' AND NOT regexp_matches(trim(line, ' ' || chr(9)), '^(//|#|\*|/\*|import |export \{|from )')),
-norm AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS norm FROM kept GROUP BY doc_id)
-SELECT sha1(norm) AS norm, count(*) AS n, min(doc_id) AS first FROM norm GROUP BY norm HAVING count(*) > 1""",
-)
+@query("normal_source_groups", f"WITH {_NORMAL} SELECT sha1(norm) AS norm, count(*) AS n, min(doc_id) AS first FROM norm GROUP BY norm HAVING count(*) > 1")
 def normal_source_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = files(spark, sf_dir).select("doc_id", T.normal_source(F.col("text")).alias("norm")).where("norm <> ''")
     return own.groupBy(F.sha1(F.encode("norm", "utf-8")).alias("norm")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
@@ -103,14 +111,14 @@ def generated_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).groupBy("source").agg(F.count_if(marked).alias("marked"), F.count("*").alias("files"))
 
 
-@query("size_by_area", f"WITH {_FILES} SELECT source AS area, sum(size)::BIGINT AS bytes FROM files GROUP BY source ORDER BY bytes DESC, area LIMIT 12")
+@query("size_by_area", f"WITH {_FILES} SELECT split_part(path, '/', 1) AS area, sum(size)::BIGINT AS bytes FROM files GROUP BY ALL ORDER BY bytes DESC, area LIMIT 12")
 def size_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).groupBy(F.col("source").alias("area")).agg(F.sum("size").alias("bytes")).orderBy(F.col("bytes").desc(), "area").limit(12)
+    return repo.size_by_area(repo.classified(sources(spark, sf_dir)), 12)
 
 
-@query("largest_file", f"WITH {_FILES} SELECT doc_id, size FROM files ORDER BY size DESC, doc_id LIMIT 1")
+@query("largest_file", f"WITH {_FILES} SELECT path, size FROM files ORDER BY size DESC, path LIMIT 1")
 def largest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("doc_id", "size").orderBy(F.col("size").desc(), "doc_id").limit(1)
+    return repo.largest(repo.classified(sources(spark, sf_dir)))
 
 
 @query("ambiguous_names", "SELECT p_name AS stem, count(DISTINCT p_brand) AS folders FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) >= 4")

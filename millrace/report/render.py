@@ -10,7 +10,7 @@ from pathlib import Path
 from typing import Any
 
 from millrace.report.budget import Budget
-from millrace.report.tokens import projection_lines
+from millrace.report.formats import human_tokens, money, percent
 
 WIDTH = 78
 SHARD_CHARS = 8000
@@ -18,12 +18,27 @@ _COLORS = {"high": "31", "medium": "33", "low": "36", "info": "90", "good": "32"
 _GLYPHS = "▁▂▃▄▅▆▇█"
 
 
+def projection_lines(p: dict[str, Any] | None) -> list[str]:
+    """What ``operators.sessions.savings`` says, in words."""
+    if not p:
+        return []
+    span = lambda name, shown: " to ".join(shown(p[f"{name}_{end}"]) for end in ("low", "high"))
+    out = ["A map of the tree has little to save here: no session reads files again."]
+    if p["map_tokens_high"] > 0:
+        out = [
+            f"With a map of the tree: some {span('map_tokens', human_tokens)} tokens less ({span('map_usd', money)}), {span('pct', percent)} of all.",
+            f"From {p['map_eligible_sessions']} of {p['total_sessions']} sessions that read files again, {human_tokens(p['eligible_context_tokens'])} tokens, at {span('rate', percent)}.",
+        ]
+    lost = p["cache_reclaimable_usd"]
+    return [*out, *([f"Cache misses: some {money(lost)} more."] if lost > 0 else [])]
+
+
 class Style:
-    """Colors or none. NO_COLOR is stronger than SA_FORCE_COLOR, a choice of the caller is stronger than both."""
+    """Colors or none. NO_COLOR is stronger than MILLRACE_COLOR, a choice of the caller is stronger than both."""
 
     def __init__(self, force: bool | None = None):
         env = os.environ
-        self.on = force if force is not None else not env.get("NO_COLOR") and (bool(env.get("SA_FORCE_COLOR")) or sys.stdout.isatty())
+        self.on = force if force is not None else not env.get("NO_COLOR") and (bool(env.get("MILLRACE_COLOR")) or sys.stdout.isatty())
 
     def __call__(self, text: str, role: str | None = None, bold: bool = False) -> str:
         codes = ([_COLORS[role]] if role in _COLORS else []) + ["1"] * bold

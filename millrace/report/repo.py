@@ -7,11 +7,9 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.operators import repo as R
-from millrace.report.formats import many
-from millrace.report.tokens import by_rank, finding
+from millrace.operators import rules
 from millrace.sources import files
 
 
@@ -23,76 +21,39 @@ class Scan:
     copies: DataFrame
     near: DataFrame
     orphans: DataFrame
-    notable: DataFrame
-    scattered: DataFrame
 
+    def findings(self) -> DataFrame:
+        return rules.repo_findings(self.files, self.copies, self.near, self.orphans)
 
-def scan(tree: DataFrame, ignore: list[str] | None = None, references: list[str] | None = None) -> Scan:
-    """The content is read once: what comes of it is held, in memory or on disk, for all that follows."""
-    found = R.features(tree, ignore).persist()
+    def summary(self) -> DataFrame:
+        return rules.summary(self.files, self.copies, self.orphans)
+
+
+def scanned(found: DataFrame, references: list[str] | None = None) -> Scan:
+    """found: ``repo.features`` of a tree, held by the caller, as each part reads it."""
     refs, bare = R.references(found, references)
     exact = R.copies(found)
-    return Scan(found, exact, R.near_copies(found, exact), R.unreferenced(found, refs, bare), R.notable(found), R.scattered(found))
+    return Scan(found, exact, R.near_copies(found, exact), R.unreferenced(found, refs, bare))
 
 
-def _paths(df: DataFrame) -> list[str]:
-    return [r.path for r in df.select("path").orderBy("path").collect()]
+def scan(tree: DataFrame, ignore: list[str] | None = None, references: list[str] | None = None) -> Scan:
+    """The content is read once: what comes of it is held, in memory or on disk, for all that follows."""
+    return scanned(R.features(tree, ignore).persist(), references)
 
 
 def report(spark: SparkSession, repo: str, top: int = 12) -> dict[str, Any]:
-    """The report of a local tree. What comes to the driver are counts and what is found, not files."""
+    """The report of a local tree. What comes to the driver are counts, findings and the first few paths that they name."""
     found = scan(files.tree(spark, repo), files.ignore_list(repo), files.package_references(repo))
+    exact, orphans = found.copies.persist(), found.orphans.persist()
+    found = Scan(found.files, exact, R.near_copies(found.files, exact), orphans)
     try:
-        return _report(found, repo, top)
+        counts = found.summary().first().asDict()
+        largest = R.largest(found.files).first()
+        return {
+            "repo": os.path.abspath(repo), "health_score": counts.pop("health_score"), "summary": counts | {"largest_file": largest.path if largest else "-", "largest_bytes": largest["size"] if largest else 0},
+            "size_by_area": [{"label": r.area, "bytes": r.bytes} for r in R.size_by_area(found.files, top).collect()],
+            "findings": [{k: v for k, v in r.asDict().items() if k != "pos"} for r in found.findings().orderBy(*rules.by_locations()).collect()],
+        }
     finally:
-        found.files.unpersist()
-
-
-def _report(found: Scan, repo: str, top: int) -> dict[str, Any]:
-    counts = R.inventory(found.files).first().asDict()
-    largest = R.largest(found.files).first()
-    areas = [{"label": r.area, "bytes": r.bytes} for r in R.size_by_area(found.files, top).collect()]
-    junk = _paths(found.files.where(F.col("class") == R.JUNK))
-    groups = sorted((r.asDict() for r in found.copies.collect()), key=lambda g: g["paths"][0])
-    code, docs = [g for g in groups if not g["is_doc"]], [g for g in groups if g["is_doc"]]
-    near = sorted(r.paths for r in found.near.collect())
-    orphans = sorted((r.path, r.is_script) for r in found.orphans.collect())
-    measured = found.notable.orderBy("path").collect()
-    stems = sorted(r.stem for r in found.scattered.collect())
-    library, scripts = [p for p, s in orphans if not s], [p for p, s in orphans if s]
-    reclaimable = counts["junk_bytes"] + sum((g["n"] - 1) * g["size"] for g in groups)
-    summary = {
-        "files": counts["files"], "bytes": counts["bytes"], "scanned_source": counts["scanned_source"], "excluded_generated": counts["excluded_generated"],
-        "junk_count": len(junk) + len(groups), "reclaimable_bytes": reclaimable, "largest_file": largest.path if largest else "-", "largest_bytes": largest["size"] if largest else 0,
-        "orphan_candidates": len(library), "duplicate_groups": len(groups),
-    }
-    big = sorted(((r.path, r.lines) for r in measured if r.lines >= R.MANY_LINES), key=lambda x: -x[1])
-    dead = [r.path for r in measured if r.dead_run >= R.MANY_COMMENTS]
-    return {
-        "repo": os.path.abspath(repo), "summary": summary, "size_by_area": areas,
-        "health_score": R.health_score(summary["junk_count"], len(library), len(groups), reclaimable, counts["bytes"]),
-        "findings": findings_of(junk, code, docs, near, library, scripts, big, dead, stems),
-    }
-
-
-def _names(paths: list[str], sign: str) -> str:
-    return f" {sign} ".join(p.rsplit("/", 1)[-1] for p in paths[:3])
-
-
-def findings_of(junk, code, docs, near, library, scripts, big, dead, stems) -> list[dict[str, Any]]:  # noqa: ANN001
-    out = []
-
-    def add(found, id_, title, severity, evidence, advice, locations, **more) -> None:  # noqa: ANN001, ANN003
-        if found:
-            out.append(finding(id_, title, severity, evidence, advice, "repo", None, locations=locations, **more))
-
-    add(junk, "junk-artifacts", "Junk is kept in the tree", "high" if len(junk) > 5 else "medium", f"{many(len(junk), 'junk file')} among the files (logs, editor and system leftovers).", "Delete them and have them ignored.", junk[:10], effort="trivial", autofixable=True, tags=["hygiene"])
-    add(code, "duplicate-code", "Source files with the same bytes", "medium", f"{many(len(code), 'group')} of equal source files, such as " + "; ".join(_names(g["paths"], "=") for g in code[:4]), "Keep one and import it.", [g["paths"][0] for g in code[:8]], tags=["dedupe", "slop"])
-    add(docs, "duplicate-docs", "Documents with the same bytes", "low", f"{many(len(docs), 'group')} of equal documents.", "Keep one and link to it.", [g["paths"][0] for g in docs[:8]], effort="trivial", tags=["docs"])
-    add(near, "near-duplicate-code", "Source files that differ in form only", "low", f"{many(len(near), 'group')} of files equal but for layout, comments and imports, such as " + "; ".join(_names(p, "~") for p in near[:4]), "Draw what they share into one module with parameters.", [p[0] for p in near[:8]], effort="medium", tags=["slop", "dedupe"])
-    add(library, "orphan-modules", "Modules that nothing refers to", "medium" if len(library) > 3 else "low", f"{many(len(library), 'module')} without a reference; look for dynamic imports first.", "Check them, then delete what is dead.", library[:12], effort="medium", tags=["dead-code"])
-    add(scripts, "unreferenced-scripts", "Scripts that nothing refers to", "info", f"{many(len(scripts), 'script')} without a reference, which is as it should be for entry points.", "Keep those in use and archive the rest.", scripts[:12], tags=["dead-code", "scripts"])
-    add(big, "oversized-files", "Very long source files", "low", f"{many(len(big), 'file')} of {R.MANY_LINES} lines or more; the longest has {big[0][1] if big else 0:,}.", "Split them by what they are for.", [f"{p} ({n:,} lines)" for p, n in big[:8]], effort="medium", tags=["structure"])
-    add(dead, "commented-out-code", "Long runs of commented-out code", "low", f"{many(len(dead), 'file')} with {R.MANY_COMMENTS} such lines in a row or more.", "Delete them; history keeps them.", dead[:8], effort="trivial", autofixable=True, tags=["slop"])
-    add(stems, "ambiguous-basenames", "One file name in many folders", "info", f"{many(len(stems), 'name')} in {R.MANY_FOLDERS} folders or more, such as " + ", ".join(stems[:5]) + ".", "Give them names of their own, or put them together.", [], tags=["naming"])
-    return by_rank(out, "locations")
+        for held in (exact, orphans, found.files):
+            held.unpersist()

@@ -1,129 +1,72 @@
-"""The token report: metrics of sessions, totals, findings, projection."""
+"""The token report: totals, the worst sessions, findings and what could be saved, of session metrics.
+
+All of it is made in Spark; what comes to the driver are one-row tables, findings and lists of a stated length.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import usage
-from millrace.operators import sessions
-from millrace.report.formats import many, money, percent
+from millrace.operators import findings, rules, sessions
 from millrace.sources import transcripts
 
-_RANK = {"high": 3, "medium": 2, "low": 1}
-MATERIAL_USD, SEVERE_USD = 0.50, 1.00
-REREAD_SESSIONS, REREAD_FILES, REREAD_CHARS = 5, 2, 4000
+#: Sessions of the cost trend.
+TREND = 40
+_MAPS = ("reread_files", "repeated_cmds", "tool_histogram")
 
 
-def finding(id_: str, title: str, severity: str, evidence: str, recommendation: str, category: str = "tokens", impact: float = 0.0, **more: Any) -> dict[str, Any]:
-    base = {"id": id_, "title": title, "severity": severity if severity in ("high", "medium", "low") else "info", "category": category, "evidence": evidence, "recommendation": recommendation, "impact_usd": impact}
-    return base | {"locations": [], "effort": "small", "autofixable": False, "tags": []} | more
+def load(spark: SparkSession, root: str, project: str | None = None, limit: int | None = None, since_days: float | None = None, price: usage.Price = usage.Price()) -> DataFrame:
+    """Session metrics with size_bytes and mtime, of the logs that the filters keep; a row per log."""
+    files, found = transcripts.load(spark, root, project, limit, since_days)
+    metrics = sessions.session_metrics(transcripts.turns(found), transcripts.session_attributes(found), price)
+    return metrics.join(files.select("path", F.col("size").alias("size_bytes"), "mtime"), "path")
 
 
-def by_rank(found: list[dict[str, Any]], second: str = "impact_usd") -> list[dict[str, Any]]:
-    value = lambda f: len(f.get(second) or ()) if second == "locations" else f.get(second) or 0
-    return sorted(found, key=lambda f: (-_RANK.get(f.get("severity"), 0), -value(f)))
+def load_order(metrics: DataFrame) -> list[Column]:
+    """Newest first, then by path, where the metrics are of logs."""
+    return [F.col("mtime").desc(), F.col("path")] if "mtime" in metrics.columns else [F.col("session_id")]
 
 
-def load(spark: SparkSession, root: str, project: str | None = None, limit: int | None = None, since_days: float | None = None, price: usage.Price = usage.Price()) -> DataFrame:
-    """Session metrics with size_bytes and mtime, of the logs that the filters keep."""
-    files = transcripts.listing(spark, root, project, limit, since_days)
-    found = transcripts.events(spark, root, files)
-    metrics = sessions.session_metrics(transcripts.turns(found), transcripts.session_attributes(found), price)
-    return metrics.join(files.select("session_id", F.col("size").alias("size_bytes"), "mtime"), "session_id")
-
-
-def _cost_of(chars: int, price: usage.Price) -> float:
-    return round(max(0, round(chars / 4)) / 1e6 * price.input, 2)
-
-
-def findings_of(rows: list[dict[str, Any]], total: dict[str, Any], price: usage.Price = usage.Price()) -> list[dict[str, Any]]:
-    """What the sessions (in load order) show; each kind of waste is one finding."""
-    out = []
-    ratio, waste = total["overall_cache_hit_ratio"], sum(r["cache_waste_usd"] for r in rows)
-    poor = sorted((r for r in rows if r["cache_waste_usd"] > 0), key=lambda r: -r["cache_waste_usd"])
-    if waste > 0 and (ratio < usage.LOW_CACHE_RATIO or waste >= MATERIAL_USD):
-        worst = ", ".join(f"{r['session_id'][:8]} ({percent(r['cache_hit_ratio'])})" for r in poor[:3])
-        facts = f"{percent(ratio)} of context came from the cache (aim: {percent(usage.LOW_CACHE_RATIO)}); {len(poor)} of {len(rows)} sessions are below it. Worst: {worst}."
-        if ratio < usage.LOW_CACHE_RATIO:
-            out.append(finding("cache-hit-ratio", "The prompt cache is underused", "high" if waste >= SEVERE_USD else "medium", facts, "Keep what comes first in a prompt the same from turn to turn, and leave out what changes, such as times and file dumps.", impact=round(waste, 2)))
-        else:
-            out.append(finding("cache-hit-ratio", "A few sessions miss the cache", "low", facts, "The whole is sound. Look at these sessions only if they come again; short ones never warm the cache.", impact=round(waste, 2)))
-    again = [r for r in rows if r["reread_files"]]
-    if again:
-        shown = [(f, n) for r in again[:REREAD_SESSIONS] for f, n in list(r["reread_files"].items())[:REREAD_FILES]]
-        names = ", ".join(f"{f.rsplit('/', 1)[-1]} x{n}" for f, n in shown[:6])
-        out.append(finding("file-reread-churn", "Files are read again and again", "medium", f"{many(len(again), 'session')} read a file {usage.REREAD_COUNT} times or more: {names}.", "Read a file once, widely enough, and keep it in context.", impact=_cost_of(REREAD_CHARS * sum(n - 1 for _, n in shown), price)))
-    big = sum(r["big_outputs"] for r in rows)
-    if big:
-        out.append(finding("oversized-tool-output", "Tool outputs flood the context", "medium", f"{many(big, 'tool result')} had {usage.BIG_OUTPUT_CHARS:,} characters or more.", "Bound noisy commands, read parts of files, and search long logs instead of printing them.", impact=_cost_of(big * usage.BIG_OUTPUT_CHARS, price)))
-    for id_, title, severity, held, what, advice in (
-        ("command-retry-loops", "The same command is run again", "low", [r for r in rows if r["repeated_cmds"]], f"ran a command {usage.REPEATED_COMMANDS} times or more", "Write down the form that works as a script."),
-        ("permission-and-error-friction", "Many tool calls fail", "low", [r for r in rows if r["denial_ratio"] > usage.HIGH_DENIAL_RATIO], f"had over {percent(usage.HIGH_DENIAL_RATIO)} of tool calls fail", "Allow safe commands beforehand and mend those that always fail."),
-        ("context-thrash", "Context is compacted often", "medium", [r for r in rows if r["compactions"] >= usage.COMPACTIONS], f"compacted {usage.COMPACTIONS} times or more", "Shorten what is always loaded and load the rest on demand."),
-    ):
-        if held:
-            out.append(finding(id_, title, severity, f"{many(len(held), 'session')} {what}.", advice))
-    return by_rank(out)
+def _plain(row: Row) -> dict[str, Any]:
+    """A row as JSON takes it; maps in the order of their counts, which a collected map has lost."""
+    held = row.asDict(recursive=True)
+    for name in _MAPS:
+        if name in held:
+            held[name] = dict(sorted((held[name] or {}).items(), key=lambda x: (-x[1], x[0])))
+    return {k: v for k, v in held.items() if k not in ("mtime", "path", "pos")}
+
+
+def _numbers(metrics: DataFrame) -> DataFrame:
+    return metrics.withColumns({c: F.col(c).cast("double") for c in ("est_cost_usd", "cache_waste_usd")})
+
+
+def every_session(metrics: DataFrame) -> Iterator[dict[str, Any]]:
+    """All sessions in load order, a partition of them at a time."""
+    return map(_plain, _numbers(metrics).orderBy(*load_order(metrics)).toLocalIterator())
 
 
 def report(metrics: DataFrame, top: int = 12, price: usage.Price = usage.Price()) -> dict[str, Any]:
-    """The token report of session metrics. The sessions, one row each, come to the driver once."""
-    order = F.col("mtime").desc() if "mtime" in metrics.columns else F.col("session_id")
-    collected = metrics.withColumns({c: F.col(c).cast("double") for c in ("est_cost_usd", "cache_waste_usd")}).orderBy(order, "session_id")
-    rows = [r.asDict() for r in collected.drop("mtime").collect()]
-    for r in rows:  # a map comes back without an order
-        for c in ("reread_files", "repeated_cmds", "tool_histogram"):
-            r[c] = dict(sorted((r[c] or {}).items(), key=lambda x: (-x[1], x[0])))
-    total = _totals(rows)
-    return {
-        "totals": total, "repos": sorted({r["repo"] for r in rows if r["repo"]}), "findings": findings_of(rows, total, price),
-        "worst_sessions": sorted(rows, key=lambda r: -r["waste_score"])[:top], "per_session": rows, "projection": projection(rows, total),
-    }
+    """The token report of session metrics, which are held for the few passes that it takes."""
+    held = metrics.persist()
+    try:
+        order = load_order(held)
+        found = rules.token_findings(held, order, price).orderBy(*rules.by_impact())
+        total = sessions.totals(held).first().asDict()
+        projection = sessions.savings(held).first().asDict() | {"rate_low": sessions.SAVED_LOW, "rate_high": sessions.SAVED_HIGH, "cache_reclaimable_usd": total["reclaimable_cache_usd"]}
+        trend = findings.latest(held.select("session_id", "started", F.col("est_cost_usd").cast("double").alias("cost")), "started", "session_id", TREND)
+        return {
+            "totals": total, "repos": [r.repo for r in held.where("repo <> ''").select("repo").distinct().orderBy("repo").collect()], "findings": [_plain(r) for r in found.collect()],
+            "worst_sessions": [_plain(r) for r in sessions.worst(_numbers(held), top, order).collect()], "trend": [r.cost for r in trend.orderBy("started", "session_id").collect()], "projection": projection,
+        }
+    finally:
+        held.unpersist()
 
 
 def empty_report() -> dict[str, Any]:
     """The report of no sessions."""
-    total = _totals([])
-    return {"totals": total, "repos": [], "findings": [], "worst_sessions": [], "per_session": [], "projection": projection([], total)}
-
-
-def _totals(rows: list[dict[str, Any]]) -> dict[str, Any]:
-    names = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
-    out: dict[str, Any] = {"sessions": len(rows)} | {n: sum(r[n] for r in rows) for n in names}
-    context = out["input_tokens"] + out["cache_read_tokens"] + out["cache_creation_tokens"]
-    return out | {"overall_cache_hit_ratio": round(out["cache_read_tokens"] / context, 4) if context else 0.0, "est_total_cost_usd": round(sum(r["est_cost_usd"] for r in rows), 2), "reclaimable_cache_usd": round(sum(r["cache_waste_usd"] for r in rows), 2)}
-
-
-def _context(r: dict[str, Any]) -> int:
-    return r["input_tokens"] + r["cache_read_tokens"] + r["cache_creation_tokens"]
-
-
-def projection(rows: list[dict[str, Any]], total: dict[str, Any], low: float = 0.41, high: float = 0.47) -> dict[str, Any]:
-    """As ``operators.sessions.savings``, of collected rows."""
-    again = [r for r in rows if r["reread_files"]]
-    context, own, cost = _context(total), sum(map(_context, again)), sum(r["est_cost_usd"] for r in again)
-    out = {"total_sessions": len(rows), "map_eligible_sessions": len(again), "total_context_tokens": context, "eligible_context_tokens": own, "rate_low": low, "rate_high": high}
-    for name, rate in (("low", low), ("high", high)):
-        tokens = round(own * rate)
-        out |= {f"map_tokens_{name}": tokens, f"map_usd_{name}": round(cost * rate, 2), f"pct_{name}": round(tokens / context, 4) if context else 0.0}
-    return out | {"cache_reclaimable_usd": round(total["reclaimable_cache_usd"], 2)}
-
-
-def projection_lines(p: dict[str, Any] | None) -> list[str]:
-    from millrace.report.formats import human_tokens
-
-    if not p:
-        return []
-    if p["map_eligible_sessions"] and p["map_tokens_high"] > 0:
-        out = [
-            f"With a map of the tree: some {human_tokens(p['map_tokens_low'])} to {human_tokens(p['map_tokens_high'])} tokens less ({money(p['map_usd_low'])} to {money(p['map_usd_high'])}), {percent(p['pct_low'])} to {percent(p['pct_high'])} of all.",
-            f"From {p['map_eligible_sessions']} of {p['total_sessions']} sessions that read files again, {human_tokens(p['eligible_context_tokens'])} tokens, at {percent(p['rate_low'])} to {percent(p['rate_high'])}.",
-        ]
-    else:
-        out = ["A map of the tree has little to save here: no session reads files again."]
-    if p["cache_reclaimable_usd"] > 0:
-        out.append(f"Cache misses: some {money(p['cache_reclaimable_usd'])} more.")
-    return out
+    return {"totals": {"sessions": 0}, "repos": [], "findings": [], "worst_sessions": [], "trend": [], "projection": None}

@@ -14,6 +14,7 @@ SCHEMAS = {
 
 
 def runs(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The runs of a file or folder, with ``pos``, their order in it; blank lines are skipped."""
+    """The runs of a file or folder, with ``pos``, their order: by file, where a split starts in it, and line; blank lines are skipped."""
     rows = spark.read.schema(SCHEMAS[kind]).json(path)
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return rows.select(*rows.columns, at.alias("pos"))

@@ -1,4 +1,8 @@
-"""Source trees: a row per file with its text where it is to be read, from a tracked listing or a walk."""
+"""Source trees: a row per file with its text where it is to be read, from a tracked listing or a walk.
+
+The listing and git are the driver's, and the files are read by path, so a tree is one that all machines see under the
+same path (one machine, or a mounted store). ``operators.repo`` takes any table of files.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,8 @@ from millrace.functions import text as T
 
 #: Files of this many bytes or more are sized but not read.
 MOST_BYTES = 400_000
+#: The tree's own list of files that findings leave out.
+IGNORE_FILE = ".millraceignore"
 SCHEMA = "path string, size bigint, content string, digest string, is_changed boolean"
 #: Folders that one read lists.
 _AT_ONCE = 20_000
@@ -52,7 +58,7 @@ def changed(repo: str) -> set[str]:
 def ignore_list(repo: str) -> list[str]:
     """Shell patterns of the tree's own ignore file, one a line, # for comments."""
     try:
-        with open(os.path.join(repo, ".saignore"), encoding="utf-8", errors="replace") as f:
+        with open(os.path.join(repo, IGNORE_FILE), encoding="utf-8", errors="replace") as f:
             lines = [x.strip() for x in f]
     except OSError:
         return []
@@ -81,8 +87,8 @@ def tree(spark: SparkSession, repo: str, most: int = MOST_BYTES) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], SCHEMA)
     root = os.path.abspath(repo)
-    uncommitted = sorted(changed(repo))
-    known = spark.createDataFrame([(p, os.path.getsize(os.path.join(root, p))) for p in paths], "path string, size bigint")
+    uncommitted = changed(repo)
+    known = spark.createDataFrame([(p, os.path.getsize(os.path.join(root, p)), p in uncommitted) for p in paths], "path string, size bigint, is_changed boolean")
     suffixes = tuple(T.SOURCE_SUFFIXES + T.DOC_SUFFIXES + T.DATA_SUFFIXES)
     # folders are listed, not files one by one; what is in them but isn't tracked falls out of the join
     folders = sorted({os.path.dirname(os.path.join(root, p)) for p in paths if p.lower().endswith(suffixes)})
@@ -92,8 +98,8 @@ def tree(spark: SparkSession, repo: str, most: int = MOST_BYTES) -> DataFrame:
         part = spark.read.format("binaryFile").load(escaped)
         part = part.where((F.col("length") < most) & (F.col("length") > 0) & F.lower("path").rlike(f"({T.any_of(list(suffixes))})$"))
         decoded = F.make_valid_utf8(F.col("content").cast("string"))
-        part = part.select(F.regexp_replace("path", f"^file:/*{re.escape(root)}/", "").alias("path"), decoded.alias("content"), F.sha1("content").alias("digest"))
+        part = part.select(F.regexp_replace("path", f"^file:/*{re.escape(root)}/", "").alias("path"), decoded.alias("content"), T.digest_of(F.col("content")).alias("digest"))
         read = part if read is None else read.unionAll(part)
     if read is None:
         read = spark.createDataFrame([], "path string, content string, digest string")
-    return known.join(read, "path", "left").withColumn("is_changed", F.col("path").isin(uncommitted) if uncommitted else F.lit(False))
+    return known.join(read, "path", "left").select("path", "size", "content", "digest", "is_changed")

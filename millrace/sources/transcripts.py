@@ -8,6 +8,7 @@ line with NaN is malformed. Repeated keys take the last value where the session
 from __future__ import annotations
 
 import os
+import re
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,30 +33,83 @@ def project_folder(cwd: str) -> str:
     return cwd.replace("/", "-")
 
 
-def _listed(spark: SparkSession, root: str) -> DataFrame:
+def decoded_path() -> Column:
+    """The path of the file that a row is of, as it is named in the store; the file metadata have it encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.jsonl$", "")
+
+
+def literal_path(path: str) -> str:
+    """A path that a reader takes as it stands, without patterns."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def _listed(spark: SparkSession, root: str, since: float | None = None) -> DataFrame:
     """path, session_id, project, size and mtime of each log; only the listing is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(f"{root.rstrip('/')}/*")
-    meta = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    parts = F.split("path", "/")
-    return meta.withColumns({"session_id": F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", ""), "project": F.element_at(parts, -2)})
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl")
+    if since is not None:
+        reader = _modified_after(reader, since)
+    meta = reader.load(f"{root.rstrip('/')}/*").select(decoded_path().alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return meta.withColumns({"session_id": stem(F.col("path")), "project": F.element_at(F.split("path", "/"), -2)})
+
+
+def _modified_after(reader, since: float):  # noqa: ANN001, ANN202
+    """The reader without files older than a time, in seconds since 1970. It compares whole seconds, so one is left over."""
+    return reader.option("modifiedAfter", time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(since - 1))).option("timeZone", "UTC")
 
 
 def listing(spark: SparkSession, root: str, project: str | None = None, limit: int | None = None, since_days: float | None = None) -> DataFrame:
-    """Logs with their load_rank, newest first, then by path. ``project`` is a path: its folder name, or its last part, must be in the log's.
+    """Logs, of which ``limit`` takes the newest, then by path. ``project`` is a path: its folder name, or its last part, must be in the log's.
 
     A limit of 0 or None takes all.
     """
-    out = _listed(spark, root)
+    since = None if since_days is None else time.time() - since_days * 86400
+    out = _listed(spark, root, since)
     if project:
         full = os.path.abspath(project)
         out = out.where(F.contains("project", F.lit(project_folder(full))) | F.contains("project", F.lit(os.path.basename(full))))
-    if since_days is not None:
-        out = out.where(F.unix_timestamp("mtime") >= F.lit(time.time() - since_days * 86400))
+    if since is not None:
+        out = out.where(F.unix_timestamp("mtime") >= F.lit(since))
     if limit:
         out = out.orderBy(F.col("mtime").desc(), "path").limit(limit)
     return out
 
 
+def load(spark: SparkSession, root: str, project: str | None = None, limit: int | None = None, since_days: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The listing, and the events of its logs alone.
+
+    A limit bounds the paths that come to the driver, and a project the folders; those are all that is read. Old logs are
+    left out by the reader.
+    """
+    chosen = listing(spark, root, project, limit, since_days)
+    since = None if since_days is None else time.time() - since_days * 86400
+    paths = None
+    if limit:
+        paths = sorted(r.path for r in chosen.select("path").collect())
+        chosen = listing_of(spark, paths)
+    elif project:
+        folders = chosen.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct()
+        paths = sorted(r.path for r in folders.collect())
+    return chosen, events(spark, root, paths, since)
+
+
+def listing_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The listing of logs that are known by their paths."""
+    if not paths:
+        return spark.createDataFrame([], "path string, size bigint, mtime timestamp, session_id string, project string")
+    files = spark.read.format("binaryFile").load([literal_path(p) for p in paths])
+    meta = files.select(decoded_path().alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return meta.withColumns({"session_id": stem(F.col("path")), "project": F.element_at(F.split("path", "/"), -2)})
+
+
+def by_project(logs: DataFrame, n: int = 20) -> DataFrame:
+    """project and transcripts, their number, of the first ``n`` projects by name."""
+    return logs.groupBy("project").agg(F.count("*").alias("transcripts")).orderBy("project").limit(n)
+
+
 def has_logs(root: str) -> bool:
     """Whether a local root has a project with a log; other stores are taken to have."""
     if "://" in root:
@@ -63,20 +117,29 @@ def has_logs(root: str) -> bool:
     return os.path.isdir(root) and any(f.name.endswith(".jsonl") for d in os.scandir(root) if d.is_dir() for f in os.scandir(d.path))
 
 
-def events(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
-    """session_id, seq (file order) and event (VARIANT) of every line that is an object."""
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(f"{root.rstrip('/')}/*").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+def events(spark: SparkSession, root: str, paths: list[str] | None = None, since: float | None = None) -> DataFrame:
+    """path, session_id, seq (file order) and event (VARIANT) of every line that is an object.
+
+    ``paths``: the logs, or folders of logs, that are read instead of all under ``root``; ``since``: seconds since 1970
+    before which a log's last change leaves it out.
+    """
+    reader = spark.read.option("pathGlobFilter", "*.jsonl")
+    if since is not None:
+        reader = _modified_after(reader, since)
+    if paths is not None and not paths:
+        lines = spark.createDataFrame([], "value string, path string, block bigint")
+    else:
+        read = reader.text([literal_path(p) for p in paths] if paths else f"{root.rstrip('/')}/*")
+        lines = read.select("value", decoded_path().alias("path"), F.col("_metadata.file_block_start").alias("block"))
     # within a file, splits are ordered by where they start and lines within a split by their id
-    lines = lines.withColumn("line", F.monotonically_increasing_id())
-    if files is not None:
-        lines = lines.join(files.select("path"), "path", "left_semi")
+    return parsed(lines.withColumn("line", F.monotonically_increasing_id()))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """lines: value, path, block, line. The events of those lines that are JSON objects."""
     text = F.trim(F.make_valid_utf8("value"))
-    parsed = lines.where(text != "").select(
-        F.regexp_extract("path", r"([^/]*)\.jsonl$", 1).alias("session_id"),
-        F.struct("block", "line").alias("seq"),
-        F.try_parse_json(text).alias("event"),
-    )
-    return parsed.where(F.schema_of_variant("event").startswith("OBJECT"))
+    out = lines.where(text != "").select("path", stem(F.col("path")).alias("session_id"), F.struct("block", "line").alias("seq"), F.try_parse_json(text).alias("event"))
+    return out.where(F.schema_of_variant("event").startswith("OBJECT"))
 
 
 def _text(event: Column, path: str) -> Column:
@@ -105,17 +168,24 @@ def _length(block: Column, path: str) -> Column:
     return F.coalesce(F.length(_text(block, path)), F.lit(0)).cast("bigint")
 
 
+def keys_of(df: DataFrame) -> list[str]:
+    """What tells sessions apart: a log's path, since names repeat between projects, or the id where there is no path."""
+    return ["path"] if "path" in df.columns else ["session_id"]
+
+
 def session_attributes(found: DataFrame) -> DataFrame:
     """What is folded over all events of a session: first directory and version, last branch, first and last time in file order."""
     e = F.col("event")
-    rows = found.select("session_id", "seq", _text(e, "$.cwd").alias("cwd"), _text(e, "$.gitBranch").alias("branch"), _text(e, "$.version").alias("version"), _text(e, "$.timestamp").alias("ts"))
+    keys = keys_of(found)
+    name = [F.any_value("session_id").alias("session_id")] if keys != ["session_id"] else []
+    rows = found.select(*dict.fromkeys([*keys, "session_id"]), "seq", _text(e, "$.cwd").alias("cwd"), _text(e, "$.gitBranch").alias("branch"), _text(e, "$.version").alias("version"), _text(e, "$.timestamp").alias("ts"))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
-    return rows.groupBy("session_id").agg(first("cwd").alias("repo"), last("branch").alias("branch"), first("version").alias("version"), first("ts").alias("started"), last("ts").alias("ended"))
+    return rows.groupBy(*keys).agg(*name, first("cwd").alias("repo"), last("branch").alias("branch"), first("version").alias("version"), first("ts").alias("started"), last("ts").alias("ended"))
 
 
 def turns(found: DataFrame) -> DataFrame:
-    """A row per user or assistant event with a message, in the shape of ``TURN_SCHEMA`` (seq orders a session's turns)."""
+    """A row per user or assistant event with a message, in the shape of ``TURN_SCHEMA`` after the path, if there is one (seq orders a session's turns)."""
     e = F.col("event")
     role = F.try_variant_get(e, "$.type", "string")
     message = F.try_variant_get(e, "$.message", "variant")
@@ -134,7 +204,7 @@ def turns(found: DataFrame) -> DataFrame:
     call = lambda b: F.struct(F.coalesce(_text(b, "$.name"), F.lit("unknown")).alias("name"), _text(b, "$.input.file_path").alias("file_path"), _text(b, "$.input.command").alias("command"))
     total = lambda kind, path: F.aggregate(of_kind(kind), F.lit(0).cast("bigint"), lambda a, b: a + _length(b, path))
     shaped = own.select(
-        "session_id", "seq", role.alias("role"), _text(e, "$.timestamp").alias("ts"), _text(e, "$.gitBranch").alias("git_branch"), _text(e, "$.cwd").alias("cwd"), _text(e, "$.permissionMode").alias("permission_mode"),
+        *dict.fromkeys([*keys_of(found), "session_id"]), "seq", role.alias("role"), _text(e, "$.timestamp").alias("ts"), _text(e, "$.gitBranch").alias("git_branch"), _text(e, "$.cwd").alias("cwd"), _text(e, "$.permissionMode").alias("permission_mode"),
         used("input_tokens").alias("input_tokens"), used("output_tokens").alias("output_tokens"), used("cache_read_input_tokens").alias("cache_read_tokens"), used("cache_creation_input_tokens").alias("cache_creation_tokens"),
         F.coalesce((_text(e, "$.subtype") == "compact_boundary") | _truthy(e, "$.isCompactSummary"), _truthy(e, "$.isCompactSummary")).alias("is_compaction"), _truthy(e, "$.isSidechain").alias("is_sidechain"),
         F.when(_kind(content) == "STRING", F.length(F.try_variant_get(e, "$.message.content", "string"))).otherwise(0).cast("bigint").alias("bare_chars"), blocks.alias("blocks"),

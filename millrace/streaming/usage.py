@@ -13,15 +13,14 @@ from millrace.sources import transcripts
 
 
 def events(spark: SparkSession, root: str, files_per_trigger: int = 1000) -> DataFrame:
-    """session_id and event of every new line under ``root``; a file is read once, when it comes."""
+    """path, session_id and event of every new line under ``root``; a file is read once, when it comes."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.jsonl").text(f"{root.rstrip('/')}/*")
-    parsed = lines.where(F.trim("value") != "").select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)\.jsonl$", 1).alias("session_id"), F.lit(0).alias("seq"), F.try_parse_json("value").alias("event"))
-    return parsed.where(F.schema_of_variant("event").startswith("OBJECT"))
+    return transcripts.parsed(lines.select("value", transcripts.decoded_path().alias("path"), F.lit(0).alias("block"), F.lit(0).alias("line")))
 
 
 def session_usage(found: DataFrame) -> DataFrame:
     """Token sums of each session so far, for update mode."""
-    return sessions.token_sums(transcripts.turns(found), ["session_id"])
+    return sessions.token_sums(transcripts.turns(found), [*transcripts.keys_of(found)])
 
 
 def windowed_usage(found: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -1,72 +1,96 @@
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.functions.usage import Price
-from millrace.operators import sessions
+from millrace.operators import rules, sessions
 from millrace.report import bundle as B
 from millrace.report import tokens
 from millrace.sources import transcripts
 from tests import fixtures
 
-#: (turns, assistant turns, ratio, cost, waste, calls, errors, denial, big, compactions, score)
-WANT = {
-    "cache_waster": (16, 8, 0.0175, 0.8172, 0.6048, 8, 0, 0.0, 0, 0, 32.9),
-    "reread_churn": (20, 10, 0.8824, 0.3, 0.0, 10, 0, 0.0, 0, 0, 20.0),
-    "big_output": (8, 4, 0.9302, 0.108, 0.0, 4, 0, 0.0, 4, 0, 30.0),
-    "retry_loop": (10, 5, 0.8955, 0.135, 0.0, 5, 5, 1.0, 0, 0, 24.0),
-    "compaction": (9, 3, 0.6452, 0.1642, 0.0, 3, 0, 0.0, 0, 3, 6.0),
-    "healthy": (12, 6, 0.9756, 0.171, 0.0, 6, 0, 0.0, 0, 0, 0.0),
-}
+PLAIN = {k: fixtures.plain(v) for k, v in fixtures.every().items()}
 
 
 @pytest.fixture(scope="module")
-def report(spark, tmp_path_factory):
-    root = fixtures.write(tmp_path_factory.mktemp("logs") / "projects")
-    return tokens.report(tokens.load(spark, str(root)))
-
-
-def test_sessions(report):
-    assert len(report["per_session"]) == 8
-    for r in report["per_session"]:
-        kind = r["session_id"].split("-", 2)[2]
-        got = tuple(r[c] for c in ("turns", "assistant_turns", "cache_hit_ratio", "est_cost_usd", "cache_waste_usd", "tool_calls", "tool_errors", "denial_ratio", "big_outputs", "compactions", "waste_score"))
-        want = WANT[kind]
-        assert got[3] == pytest.approx(want[3], abs=1.01e-4)  # a tie at the fifth place: decimals round it to even, binary fractions up
-        assert got[:3] + got[4:] == want[:3] + want[4:], kind
-        maps = (r["reread_files"], r["repeated_cmds"])
-        assert maps == {"reread_churn": ({"/home/user/acme/app/lib/api/client.ts": 10}, {}), "retry_loop": ({}, {"npm run build": 5}), "big_output": ({}, {"cat huge.log": 4})}.get(kind, ({}, {}))
-        assert r["repo"] == "/home/user/acme/app" and r["branch"] == "main" and r["started"] == r["ended"] == fixtures.TS
-
-
-def test_totals_findings_and_grade(report):
-    t = report["totals"]
-    assert (t["input_tokens"], t["output_tokens"], t["cache_read_tokens"], t["cache_creation_tokens"]) == (549_900, 40_100, 1_254_000, 15_000)
-    assert (t["overall_cache_hit_ratio"], t["est_total_cost_usd"], t["reclaimable_cache_usd"]) == (0.6894, 2.68, 1.21)
-    assert [(f["id"], f["severity"], f["impact_usd"]) for f in report["findings"]] == [
-        ("oversized-tool-output", "medium", 0.18), ("file-reread-churn", "medium", 0.03), ("context-thrash", "medium", 0.0),
-        ("cache-hit-ratio", "low", 1.21), ("command-retry-loops", "low", 0.0), ("permission-and-error-friction", "low", 0.0),
-    ]
-    bundle = B.token_bundle(report)
-    assert bundle["verdict"]["grade"] == "C" and round(B.efficiency(t), 1) == 63.3
-    assert [r["waste_score"] for r in report["worst_sessions"]] == [32.9, 32.9, 30.0, 24.0, 20.0, 6.0, 0.0, 0.0]
-    p = report["projection"]
-    assert (p["map_eligible_sessions"], p["eligible_context_tokens"], p["map_tokens_low"], p["map_tokens_high"]) == (1, 340_000, 139_400, 159_800)
-    assert (p["pct_low"], p["pct_high"]) == (0.0766, 0.0879) and len(bundle["trend"]["values"]) == 8
-
-
-def test_projection_of_two_sessions():
-    row = lambda again: {"input_tokens": 100_000, "cache_read_tokens": 0, "cache_creation_tokens": 0, "est_cost_usd": 1.0, "reread_files": {"a": 3} if again else {}}
-    p = tokens.projection([row(True), row(False)], {"input_tokens": 200_000, "cache_read_tokens": 0, "cache_creation_tokens": 0, "reclaimable_cache_usd": 0.0})
-    assert (p["map_tokens_low"], p["map_tokens_high"], p["map_usd_low"], p["pct_low"]) == (41_000, 47_000, 0.41, 0.205)
+def root(tmp_path_factory):
+    return str(fixtures.write(tmp_path_factory.mktemp("logs") / "projects"))
 
 
-def test_totals_and_savings_operators_agree_with_the_report(spark, report, tmp_path):
-    metrics = tokens.load(spark, str(fixtures.write(tmp_path / "p")))
+@pytest.fixture(scope="module")
+def metrics(spark, root):
+    return tokens.load(spark, root).cache()
+
+
+def test_sessions_of_equal_names_stay_apart(metrics):
+    got = {(r.path.split("/")[-2], r.session_id): r for r in metrics.collect()}
+    assert set(got) == set(PLAIN) and len(PLAIN) == 12
+    for key, want in PLAIN.items():
+        r = got[key].asDict()
+        same = ("turns", "assistant_turns", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "tool_calls", "tool_errors", "denial_ratio", "big_outputs", "compactions", "reread_files", "repeated_cmds", "tool_histogram", "waste_score", "branch", "repo", "version", "started", "ended")
+        assert {k: r[k] for k in same} == {k: want[k] for k in same}, key
+        assert r["cache_hit_ratio"] == round(want["ratio"], 4)
+        assert float(r["est_cost_usd"]) == pytest.approx(want["cost"], abs=1e-4) and float(r["cache_waste_usd"]) == pytest.approx(want["waste"], abs=1e-4)
+
+
+def test_report(spark, metrics):
+    got = tokens.report(metrics)
+    total = got["totals"]
+    i, o, r, w = (sum(p[f"{x}_tokens"] for p in PLAIN.values()) for x in ("input", "output", "cache_read", "cache_creation"))
+    assert (total["sessions"], total["input_tokens"], total["output_tokens"], total["cache_read_tokens"], total["cache_creation_tokens"]) == (12, i, o, r, w)
+    assert total["overall_cache_hit_ratio"] == round(r / (i + r + w), 4)
+    assert total["est_total_cost_usd"] == pytest.approx(sum(p["cost"] for p in PLAIN.values()), abs=0.02)
+    assert [s["waste_score"] for s in got["worst_sessions"]] == sorted((p["waste_score"] for p in PLAIN.values()), reverse=True)
+    assert len(got["trend"]) == 12 and got["repos"] == ["/srv/0", "/srv/1", "/srv/2"]
+    again = [p for p in PLAIN.values() if p["reread_files"]]
+    own = sum(p["input_tokens"] + p["cache_read_tokens"] + p["cache_creation_tokens"] for p in again)
+    p = got["projection"]
+    assert (p["map_eligible_sessions"], p["eligible_context_tokens"], p["map_tokens_low"], p["map_tokens_high"]) == (len(again), own, round(own * 0.41), round(own * 0.47))
+    page = B.token_bundle(got)
+    share = min(1, total["reclaimable_cache_usd"] / total["est_total_cost_usd"])
+    assert page["verdict"]["grade"] == B.grade(100 * (0.6 * total["overall_cache_hit_ratio"] + 0.4 * (1 - share)))
+    assert len(page["charts"][0]["rows"]) == 8 and page["trend"]["values"] == got["trend"]
+    assert [s["session_id"] for s in tokens.every_session(metrics)] and len(list(tokens.every_session(metrics))) == 12
+
+
+def test_findings_follow_the_rules(spark, metrics):
+    got = {r.id: r for r in rules.token_findings(metrics, [F.col("path")]).collect()}
+    held = [PLAIN[k] for k in sorted(PLAIN, key=lambda k: f"{k[0]}/{k[1]}")]
+    waste, ratio = sum(round(p["waste"], 4) for p in held), sum(p["cache_read_tokens"] for p in held) / sum(p["input_tokens"] + p["cache_read_tokens"] + p["cache_creation_tokens"] for p in held)
+    assert got["cache-hit-ratio"].severity == ("low" if ratio >= 0.55 else "high" if waste >= 1 else "medium") and got["cache-hit-ratio"].impact_usd == pytest.approx(waste, abs=0.011)
+    again = [p for p in held if p["reread_files"]]
+    extra = sum(n - 1 for p in again[:5] for n in sorted(p["reread_files"].values(), reverse=True)[:2])
+    assert got["file-reread-churn"].evidence.startswith(f"{len(again)} session") and got["file-reread-churn"].impact_usd == round(1000 * extra * 3 / 1e6, 2)
+    for id_, n in (("oversized-tool-output", sum(p["big_outputs"] for p in held)), ("command-retry-loops", sum(bool(p["repeated_cmds"]) for p in held)), ("permission-and-error-friction", sum(p["denial_ratio"] > 0.04 for p in held)), ("context-thrash", sum(p["compactions"] >= 2 for p in held))):
+        assert (id_ in got) == (n > 0) and (not n or got[id_].evidence.startswith(f"{n} "))
+    assert rules.token_findings(metrics.limit(0)).collect() == []
+
+
+def test_a_limit_or_a_project_reads_no_other_log(spark, root):
+    for n, (project, name) in enumerate(sorted(PLAIN)):
+        os.utime(f"{root}/{project}/{name}.jsonl", (10_000 + n,) * 2)
+    newest = sorted(PLAIN)[-1]
+    files, found = transcripts.load(spark, root, limit=1)
+    assert [(r.project, r.session_id) for r in files.collect()] == [newest]
+    assert [f.rsplit("/", 1)[-1].replace("%20", " ") for f in found.inputFiles()] == [f"{newest[1]}.jsonl"]
+    assert tokens.load(spark, root, limit=3).count() == 3
+    files, found = transcripts.load(spark, root, project="/srv/loom")
+    assert files.count() == 6 and all("loom" in f for f in found.inputFiles()) and len(found.inputFiles()) == 6
+    strange = tokens.load(spark, root, project="/srv/my mill%20#1")
+    assert {(r.path.split("/")[-2], r.session_id) for r in strange.collect()} == {k for k in PLAIN if k[0] == fixtures.PROJECTS[0]}
+    assert tokens.load(spark, root, project="/nowhere").count() == 0 and tokens.load(spark, root, since_days=1).count() == 0
+    os.utime(f"{root}/{newest[0]}/{newest[1]}.jsonl")
+    assert [r.session_id for r in tokens.load(spark, root, since_days=1).collect()] == [newest[1]]
+
+
+def test_totals_and_savings_operators_agree_with_the_report(spark, metrics):
+    report = tokens.report(metrics)
     t = sessions.totals(metrics).first().asDict()
     assert t == {k: report["totals"][k] for k in t}
     s = sessions.savings(metrics).first().asDict()
-    assert {k: s[k] for k in ("map_tokens_low", "map_tokens_high", "pct_low", "pct_high", "map_usd_low")} == {k: report["projection"][k] for k in ("map_tokens_low", "map_tokens_high", "pct_low", "pct_high", "map_usd_low")}
+    assert {k: s[k] for k in s} == {k: report["projection"][k] for k in s}
 
 
 def test_parser_edges(spark, tmp_path):
@@ -98,8 +122,6 @@ def test_parser_edges(spark, tmp_path):
 
 
 def test_listing_filters(spark, tmp_path):
-    import os
-
     root = tmp_path / "p"
     for n, (project, age) in enumerate((("-w-app", 0), ("-w-app2", 86400 * 3), ("-w-other", 86400 * 9))):
         (root / project / "deep").mkdir(parents=True)
@@ -112,15 +134,14 @@ def test_listing_filters(spark, tmp_path):
     assert names(limit=2) == ["s0", "s1"] and names(since_days=5) == ["s0", "s1"] and names(project="/w/app") == ["s0", "s1"] and names(project="/w/other") == ["s2"]
 
 
-def test_stream_sums_equal_batch(spark, tmp_path):
+def test_stream_sums_equal_batch(spark, root, tmp_path):
     from millrace.streaming import usage as stream
 
-    root = fixtures.write(tmp_path / "p")
-    query = stream.session_usage(stream.events(spark, str(root))).writeStream.outputMode("complete").format("memory").queryName("usage_now").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = stream.session_usage(stream.events(spark, root)).writeStream.outputMode("complete").format("memory").queryName("usage_now").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     got = {tuple(r) for r in spark.table("usage_now").collect()}
-    want = {tuple(r) for r in sessions.token_sums(transcripts.turns(transcripts.events(spark, str(root))), ["session_id"]).collect()}
-    assert got == want and len(got) == 8
-    hours = stream.windowed_usage(stream.events(spark, str(root))).writeStream.outputMode("append").format("memory").queryName("hours").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    want = {tuple(r) for r in sessions.token_sums(transcripts.turns(transcripts.events(spark, root)), ["path"]).collect()}
+    assert got == want and len(got) == 12
+    hours = stream.windowed_usage(stream.events(spark, root)).writeStream.outputMode("append").format("memory").queryName("hours").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     hours.awaitTermination()
-    assert spark.table("hours").count() == 0  # the watermark hasn't passed the only hour
+    assert spark.table("hours").count() == 0  # the watermark hasn't passed any hour
