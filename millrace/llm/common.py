@@ -6,11 +6,10 @@ time, so that memory follows the block and the longest single text, never the pa
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -54,40 +53,58 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one is set for a session on one machine alone."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
         held = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not held:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         held = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", held)
     return held.rstrip("/")
 
 
+#: While an intermediate table is made: its shuffle files go as soon as it is written, and batches for Python are small.
+_MAKING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Where the shared folder is a mounted one: Hadoop's local file system with checksums writes a second file for each, and
+#: without its native library starts a process for each change of a mode, four a file. The raw one writes one file and
+#: starts one. Parquet pages have checksums of their own.
+_MOUNTED = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session's settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``saved`` made, once what was made from it is saved itself."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+    with settings(spark, _MAKING):
+        df.write.option("compression", "zstd").options(**_MOUNTED).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` made, once what was made from them is saved itself."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(df.saved_at)
         folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps now, not when the driver next collects garbage."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)  # files go in the background
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (splitmix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -139,14 +156,37 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
                 yield batch.slice(a, b - a)
 
 
+def span_hashes(seen: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans are in order and apart, a block of bytes is taken at a time."""
+    global _TABLES
+    if _TABLES is None:
+        _TABLES = _powers()
+    up, down, per_byte = _TABLES
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        origin = start[at]
+        to = int(np.searchsorted(end, origin + BLOCK, "right"))
+        if to == at:  # one span that is longer than a block
+            h, n = np.zeros(1, np.uint64), int(end[at] - origin)
+            for k in range(0, n, BLOCK):
+                part = per_byte[seen[origin + k : min(origin + n, origin + k + BLOCK)]]
+                h = mixed(h) + (part * up[: len(part)]).sum(dtype=np.uint64)
+            out[at] = h[0] ^ np.uint64(n)
+            at += 1
+            continue
+        block = seen[origin : end[to - 1]]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(per_byte[block] * up[: len(block)], dtype=np.uint64)])
+        s, e = start[at:to] - origin, end[at:to] - origin
+        out[at:to] = (total[e] - total[s]) * down[s]
+        at = to
+    return mixed(out)
+
+
 class Words:
     """The words of some texts: byte spans, a 64-bit hash of each, and ``first``: each text's first word, one more at the end."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray = PLAIN):
-        global _TABLES
-        if _TABLES is None:
-            _TABLES = _powers()
-        up, down, per_byte = _TABLES
         seen = table[data]
         inside = (seen != 32) & ((seen < 9) | (seen > 13))
         edge = np.zeros(len(data) + 1, bool)
@@ -162,25 +202,7 @@ class Words:
             after[:-1] = inside[1:]
         self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, offsets)
-        out = np.empty(len(self.start), np.uint64)
-        at = 0
-        while at < len(self.start):
-            origin = self.start[at]
-            to = int(np.searchsorted(self.end, origin + BLOCK, "right"))
-            if to == at:  # one word that is longer than a block
-                h, n = np.uint64(0), int(self.end[at] - origin)
-                for k in range(0, n, BLOCK):
-                    part = per_byte[seen[origin + k : min(origin + n, origin + k + BLOCK)]]
-                    h = mixed(np.array([h], np.uint64))[0] + (part * up[: len(part)]).sum(dtype=np.uint64)
-                out[at] = h ^ np.uint64(n)
-                at += 1
-                continue
-            block = seen[origin : self.end[to - 1]]
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(per_byte[block] * up[: len(block)], dtype=np.uint64)])
-            s, e = self.start[at:to] - origin, self.end[at:to] - origin
-            out[at:to] = (total[e] - total[s]) * down[s]
-            at = to
-        self.hash = mixed(out)
+        self.hash = span_hashes(seen, self.start, self.end)
 
     @property
     def count(self) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, discard, documents, mixed, narrow, release, saved, steps, words_of
+from millrace.llm.common import LOWER, discard, documents, mixed, narrow, saved, steps, words_of
 from millrace.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -48,10 +48,10 @@ def gram_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
         if b - a >= size:
             out.append(np.unique(grams[a:b][whole[a:b]]))
         elif b > a:
-            h = np.uint64(b - a)
+            h = np.array([b - a], np.uint64)
             for w in words.hash[a:b]:
-                h = mixed(np.array([h * np.uint64(0xD6E8FEB86659FD93) + w], np.uint64))[0]
-            out.append(np.array([h], np.uint64))
+                h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + w)
+            out.append(h)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -86,6 +86,7 @@ def common_cells(rows: DataFrame, size: int) -> np.ndarray:
     flags = np.zeros(cells, bool)
     most = mean + SURE * mean**0.5 + LEAST_COMMON
     flags[[r.cell for r in counted.where(F.col("n") > most).select("cell").collect()]] = True
+    discard(counted)
     return flags
 
 
@@ -298,7 +299,6 @@ def _links(places: DataFrame, rows: DataFrame, size: int, percent: int) -> DataF
     with_sets = rows.join(gathered.hint("merge"), "id").select("id", "text", "places").mapInArrow(sets, "id long, places array<struct<grp:long,fam:long,block:int,known:long>>, grams binary")
     spread = with_sets.select("id", F.inline("places"), "grams").repartition("grp", "fam", "block").sortWithinPartitions("grp", "fam", "block")
     out = saved(spread.mapInArrow(run, "a long, b long").where("a <> b").distinct(), "found")
-    release(rows.sparkSession)
     return out
 
 
@@ -338,21 +338,18 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     first = full.join(classes.withColumnRenamed("rep", "id"), ["a", "b", "n", "id"])
     maps = saved(first.select("id", "n", "map").dropDuplicates(["id", "n", "map"]), "maps")
     heads = saved(first.select("id", F.explode("head").alias("gram")), "heads")
-    discard(shaped)
-    release(spark)
+    discard(shaped, classes)
     shared = saved(heads.groupBy("gram").agg(F.min("id").alias("grp"), F.max("id").alias("top")).where("grp <> top").select("gram", "grp"), "shared")
-    release(spark)
     members = saved(heads.join(shared, "gram").select("grp", "id").distinct(), "members")
-    discard(heads)
-    release(spark)
+    discard(heads, shared)
     mapped = members.join(maps, "id")
     weight = mapped.groupBy("grp").agg(F.sum(F.length("map")).alias("bytes"))
     large = saved(weight.where(F.col("bytes") > SIFT_BYTES).select("grp"), "large")
     kept = _sifted(mapped.join(large, "grp", "left_anti"), percent).unionAll(members.join(large, "grp").select("grp", F.col("grp").alias("fam"), "id"))
     kept = saved(kept.join(maps.groupBy("id").agg(F.max("n").alias("n")), "id").select("grp", "fam", "id", "n"), "families")
     # the texts that go on are taken out once; merged at any size, so that what a small table needs tells what a large one will
+    discard(large, members, maps)
     candidates = saved(rows.join(kept.select("id").distinct().hint("merge"), "id"), "candidates")
-    release(spark)
 
     home = F.pmod(F.xxhash64("grp", "fam", "id"), F.col("blocks")).cast("int")
     own = ["grp", "fam"]
@@ -363,19 +360,23 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     placed = at_first.join(blocks, own).withColumn("block", F.explode(F.when(F.col("id") == F.col("fam"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))))
     links = _links(placed.select(*own, "block", "id", F.col("id").alias("known")), candidates, size, percent)
     # round 2: families that hold several components; those apart from the family's first one, in parts, meet each block
-    state = kept.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("known", F.coalesce("component", "id"))
+    first_links, joined = links, components(links)
+    state = kept.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("known", F.coalesce("component", "id"))
     whole = state.groupBy(own).agg(F.min("known").alias("low"), F.max("known").alias("high"), F.sum("n").alias("total")).where("low <> high")
     whole = saved(whole.select(*own, "low", _spread("blocks", "total")), "apart")
-    state = saved(state.join(whole, own).select(*own, "id", "n", "known", "blocks", (F.col("known") == F.col("low")).alias("old")), "again")
-    parts = state.where("not old").groupBy(own).agg(F.sum("n").alias("total")).select(*own, _spread("parts", "total"))
-    state = state.join(parts, own).withColumns({"home": home, "part": F.pmod(F.xxhash64("id", "fam"), F.col("parts")).cast("int")})
+    apart = saved(state.join(whole, own).select(*own, "id", "n", "known", "blocks", (F.col("known") == F.col("low")).alias("old")), "again")
+    parts = apart.where("not old").groupBy(own).agg(F.sum("n").alias("total")).select(*own, _spread("parts", "total"))
+    state = apart.join(parts, own).withColumns({"home": home, "part": F.pmod(F.xxhash64("id", "fam"), F.col("parts")).cast("int")})
     at_home = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p * F.col("blocks") + F.col("home"))
     as_part = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.col("part") * F.col("blocks") + b)
     again = state.withColumn("block", F.explode(F.when(F.col("old"), at_home).otherwise(F.array_union(at_home, as_part))))
-    links = links.unionAll(_links(again.select(*own, "block", "id", "known"), candidates, size, percent))
+    more_links = _links(again.select(*own, "block", "id", "known"), candidates, size, percent)
+    discard(candidates, kept, joined, whole, apart)
+    links = first_links.unionAll(more_links)
     # rows that repeat a key with other texts tie their classes together
     tied = of.join(of.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("id"), "id", "left_semi").where("rep is not null").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     roots = components(links.unionAll(tied))
+    discard(first_links, more_links)
     out = of.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Words, discard, documents, kept_as, kinds_of, mixed, narrow, release, saved, steps, text_bytes, words_of
+from millrace.llm.common import Words, discard, documents, kept_as, kinds_of, mixed, narrow, saved, steps, text_bytes, words_of
 from millrace.llm.fm_index import Index
 
 WINDOW, ANCHOR = 13, 5
@@ -230,21 +230,16 @@ def repeated(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     there = rows.where("id is not null and text is not null")
     seen = _anchored(there.select("id", "text"), window, anchor, False)
     shared = saved(seen.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low <> high").select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
-    release(spark)
     places = _anchored(there, window, anchor, True).join(shared.hint("shuffle_hash"), "anchor")
     places = saved(places.groupBy("id", "row").agg(F.collect_list(F.struct("at", "hot")).alias("p")).select("id", "row", F.col("p.at").alias("ats"), F.col("p.hot").alias("hots")), "places")
     discard(shared)
-    release(spark)
     segments = saved(_segments(there.join(places.hint("merge"), ["id", "row"]), window, anchor), "segments")
     discard(places)
-    release(spark)
     least = saved(_searched(segments.where("words is not null").select("shard", "seg", "id", "words"), window), "least")
-    release(spark)
     found = segments.select("shard", "seg", "id", "row", "start").join(least.hint("merge"), ["shard", "seg"])
     spans = saved(_spans(found.select("id", "row", "start", "least"), window), "spans")
     discard(segments)
     discard(least)
-    release(spark)
     return spans.groupBy("id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
