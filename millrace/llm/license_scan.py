@@ -5,7 +5,7 @@ quarter of that number, so that some window holds any stretch of the template's
 (a bit more for rounding). A template that a window contains by ``CONTAINED`` has a Jaccard similarity of at least 0.55 to
 it; one of ``BANDS`` bands of one MinHash value then collides with probability 1 - (1 - 0.55)**16, over 0.999997. What
 collides is verified by the exact share of the template's shingles in the window, and the best window of each overlapping
-stretch is reported.
+stretch is reported. Texts without a shingle of any template have no window that could be verified and aren't cut.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ class Templates:
             by.setdefault((g, b - a - g + 1), []).append(len(self.names))
             self.names.append(name)
             self.sets.append(own)
+        #: by shingle size: the shingles of all templates
+        self.every = {g: np.unique(np.concatenate([self.sets[m] for (h, _), own in by.items() if h == g for m in own])) for g, _ in by}
         #: (shingle size, shingles, shingles of a block, blocks of a window, templates, their MinHash values by band, flags of these by 16 bits)
         self.classes = []
         for (g, n), members in sorted(by.items()):
@@ -51,8 +53,27 @@ class Templates:
             self.classes.append((g, n, block, -(-(n + block - 1) // block), members, least, flags))
 
 
+def touched(texts: pa.Array, templates: Templates) -> np.ndarray:
+    """The texts that hold a shingle of some template; the others contain none of any, whatever their windows' values."""
+    words = words_of(texts, LETTERS)
+    of, out = words.text_of(), np.zeros(len(texts), bool)
+    for g, every in templates.every.items():
+        grams = words.grams(g)
+        at = np.searchsorted(every, grams).clip(0, len(every) - 1)
+        out[of[(every[at] == grams) & words.runs(g)]] = True
+    return np.flatnonzero(out)
+
+
 def scan(texts: pa.Array, templates: Templates, contained: float = CONTAINED) -> list[list[dict]]:
     """For each text the verified stretches (words, start to stop) of templates, best first for each stretch, in order of place."""
+    some = touched(texts, templates)
+    out: list[list[dict]] = [[] for _ in range(len(texts))]
+    for i, found in zip(some.tolist(), _scan(texts.take(pa.array(some)), templates, contained)):
+        out[i] = found
+    return out
+
+
+def _scan(texts: pa.Array, templates: Templates, contained: float) -> list[list[dict]]:
     words = words_of(texts, LETTERS)
     out: list[list[dict]] = [[] for _ in range(len(texts))]
     for g in sorted({c[0] for c in templates.classes}):

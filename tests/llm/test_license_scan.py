@@ -78,3 +78,21 @@ def test_all_notices_in_the_documents_are_found(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: set(r.licenses) for r in op.query(spark, "/root/testdata/sf0.01").collect()}
     assert all(brute(r.text) <= got[r.doc_id] for r in rows) and any(got.values())
+
+
+def test_versions_and_identifiers_are_told_apart():
+    known = op.Templates(TEMPLATES)
+    named = lambda t: sorted({f["license"] for f in op.scan(pa.array([t]), known)[0]})
+    for v in "23":
+        assert named(f"This work is licensed under the GNU General Public License, version {v}.") == [f"GPL-{v}.0"]
+        assert named(f"# SPDX-License-Identifier: GPL-{v}.0-or-later") == [f"GPL-{v}.0"]
+    assert named("// SPDX-License-Identifier: MIT") == ["MIT"] and named("SPDX-License-Identifier: EPL-2.0") == ["EPL"]
+
+
+def test_every_template_is_found_in_its_own_text_alone():
+    """Two-sided: of each template's text just the licenses come that plain containment gives, its own among them."""
+    known = op.Templates(TEMPLATES)
+    for name, text in TEMPLATES:
+        found = {f["license"] for f in op.scan(pa.array(["before it " + text + " after it"]), known)[0]}
+        assert name in found and found == brute("before it " + text + " after it"), text
+    assert op.scan(pa.array(["nothing of the kind", None, ""]), known) == [[], [], []]
