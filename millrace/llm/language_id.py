@@ -5,8 +5,8 @@ separate the languages, and the language with the largest summed pairwise probab
 All machines read the same vector: hashed byte 2-, 3- and 4-grams of the lower-cased whole text, in which everything in
 ASCII but letters counts as space, by square root and unit length.
 
-Learning takes a sample bounded by ``PER_LANGUAGE`` rows a language (about; by a hash of the key), whose vectors, not
-texts, come to the driver. Everything else is one narrow pass over all rows.
+Learning takes a sample bounded by ``PER_LANGUAGE`` rows a language and ``SAMPLE`` rows in all (about; by a hash of key and
+text), whose vectors, not texts, come to the driver. Everything else is one narrow pass over all rows.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from millrace.llm.common import documents, kept_as, kind_of, kinds_of, narrow, s
 UNKNOWN = "und"
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
-#: Rows of each language that are learned from, about; and the most languages that can be told apart.
-PER_LANGUAGE, LANGUAGES = 1200, 60
+#: Rows of each language, and of all, that are learned from, about; with many languages each has an equal share.
+PER_LANGUAGE, SAMPLE = 1200, 16_000
+#: Languages up to which their counts are broadcast; more are joined by a shuffle.
+BROADCAST = 10_000
 #: Rows that are turned into vectors at once.
 ROWS = 256
 
@@ -153,23 +155,23 @@ def _vectors_of(df: DataFrame, kept: str, kind: str) -> DataFrame:
     return df.mapInArrow(run, f"{kept} {kind}, pick long, x binary")
 
 
-def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model | None:
+def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
     """Learn from the rows of ``df`` with a language and a text; None if there are none.
 
-    About ``per_language`` rows of each language are taken by a hash of the key and the text, all if there are fewer.
-    More than ``LANGUAGES`` languages are an error.
+    About ``per_language`` rows of each language, or an equal share of ``sample`` if that is less, are taken by a hash of
+    the key and the text, all if there are fewer. Of rows that repeat language, key and text one counts.
     """
     rows = narrow(df, lang=lang, text=text, key=key).where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return None
     scale = 1 << 30
-    pick = F.xxhash64(F.col("key").cast("string"), F.col("text"))
-    most = F.create_map(*[F.lit(v) for lang_, n in counts.items() for v in (lang_, min(scale, int(scale * per_language / n)))])
-    sample = rows.withColumn("pick", pick).where(F.pmod("pick", F.lit(scale)) < most[F.col("lang")])
-    got = sorted((r.lang, r.pick, bytes(r.x)) for r in _vectors_of(sample, "lang", "string").collect())
+    small = F.broadcast if languages <= BROADCAST else (lambda table: table)
+    share = F.least(F.lit(scale), F.lit(scale * min(per_language, sample / languages)) / F.col("n")).cast("long")
+    picked = rows.withColumn("pick", F.xxhash64(F.col("key").cast("string"), F.col("text"))).join(small(counts.select("lang", share.alias("most"))), "lang")
+    picked = picked.where(F.pmod("pick", F.lit(scale)) < F.col("most")).select("lang", "pick", "text").dropDuplicates(["lang", "pick"])
+    got = sorted((r.lang, r.pick, bytes(r.x)) for r in _vectors_of(picked, "lang", "string").collect())
     if not got:
         return None
     x = np.ones((len(got), DIM + 1), np.float32)

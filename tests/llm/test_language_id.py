@@ -51,3 +51,20 @@ def test_edges(spark):
     assert op.predicted(df.limit(0), None).collect() == [] and op.learned(df.limit(0)) is None
     one = spark.createDataFrame(docs[:20], SCHEMA)
     assert {r.lang_pred for r in op.predicted(one, op.learned(one)).collect()} == {"de"}
+
+
+def test_many_languages_and_repeated_rows(spark):
+    """No number of languages is too many, and a row that is repeated counts once; the sample is as bounded as it says."""
+    docs = [(i, f"{chr(0x4E00 + i)}{chr(0x5000 + i)} " * 6, f"x{i}", "s", "x") for i in range(80)] * 3
+    model = op.learned(spark.createDataFrame(docs, SCHEMA))
+    taught = {f"x{i}" for i in range(80) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {x for own in model.families.values() for x in own} == taught and len(taught) > 50
+    rows = spark.createDataFrame([(i, f"{'ab' if i % 2 else 'cd'} {i}", "de" if i % 2 else "fr", "s", "x") for i in range(2000)], SCHEMA)
+    sizes = []
+    op_model, op.Model = op.Model, lambda x, langs: sizes.append(len(langs))
+    try:
+        op.fit(rows, sample=400)
+        op.fit(rows, per_language=100)
+    finally:
+        op.Model = op_model
+    assert all(100 < n < 500 for n in sizes) and sizes[0] > sizes[1]
