@@ -1,10 +1,15 @@
-"""A page's leaf blocks: the runs of text between block-level tags, with the path of tags they stand in."""
+"""A page's leaf blocks: the runs of text between block-level tags, with the path of tags they stand in.
+
+A page is read in time that grows with its length, however deep its elements nest and whatever they leave open. What the
+classifier reads of a block's place is defined by ``DEPTH`` and ``NAMES``; the block's text is always whole.
+"""
 
 from __future__ import annotations
 
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,6 +33,8 @@ _ENDED = HIDDEN - {"head", "script", "style"}
 _ENDED_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_ENDED))})(?![^\s/>])", re.I)
 _SCOPES = frozenset("ul ol dl table tr article section main aside nav div body".split())
 
+#: The innermost tags of a path, and the first words of a tag's names, that are features.
+DEPTH, NAMES = 12, 8
 PATH_DIM, WORD_DIM, FACTS = 48, 24, 8
 INPUT = PATH_DIM + WORD_DIM + FACTS
 
@@ -37,23 +44,20 @@ class Unended(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.starts: list[tuple[str, int]] = []
+        self.starts: dict[str, list[int]] = {tag: [] for tag in _ENDED}
         self.n = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _ENDED:
-            self.starts.append((tag, self.n))
+            self.starts[tag].append(self.n)
             self.n += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         pass
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _ENDED:
-            for at in range(len(self.starts) - 1, -1, -1):
-                if self.starts[at][0] == tag:
-                    del self.starts[at]
-                    return
+        if self.starts.get(tag):
+            self.starts[tag].pop()
 
 
 def unended(html: str) -> frozenset[int]:
@@ -64,7 +68,7 @@ def unended(html: str) -> frozenset[int]:
     page = Unended()
     page.feed(html)
     page.close()
-    return frozenset(n for _, n in page.starts)
+    return frozenset(n for own in page.starts.values() for n in own)
 
 
 class Blocks(HTMLParser):
@@ -76,7 +80,8 @@ class Blocks(HTMLParser):
     def __init__(self, unended: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.unended, self.n = unended, 0
-        self.loose: list[bool] = []  # of the open hidden elements, whether they have no end tag
+        self.loose: list[tuple[int, bool]] = []  # where the open hidden elements are, and whether they have no end tag
+        self.at: dict[str, list[int]] = {}  # by tag, where its open elements are
         self.found: list[tuple[tuple[str, ...], str, int]] = []
         self.open: list[tuple[str, str]] = []
         self.parts: list[str] = []
@@ -85,13 +90,14 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.found.append((tuple(label for _, label in self.open[-12:]), text, self.linked))
+            self.found.append((tuple(label for _, label in self.open[-DEPTH:]), text, self.linked))
         self.parts, self.linked = [], 0
 
     def _pop(self, at: int) -> None:
         if any(t in BLOCKS for t, _ in self.open[at:]):
             self.flush()
         for tag, _ in self.open[at:]:
+            self.at[tag].pop()
             self.links -= tag == "a"
             if tag in HIDDEN:
                 self.hidden -= 1
@@ -101,22 +107,23 @@ class Blocks(HTMLParser):
     def _end_head(self, tag: str) -> None:
         """A head ends at a body, and at anything in it that a head can't hold."""
         if tag == "body":
-            at = next((i for i, (t, _) in enumerate(self.open) if t == "head"), None)
-            if at is not None:
-                self._pop(at)
+            if self.at.get("head"):
+                self._pop(self.at["head"][0])
         elif tag not in _HEAD and self.open and self.open[-1][0] == "head":
             self._pop(len(self.open) - 1)
 
     def _end_loose(self) -> None:
-        while self.loose and self.loose[-1]:
-            self._pop(next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in HIDDEN))
+        while self.loose and self.loose[-1][1]:
+            self._pop(self.loose[-1][0])
+
+    def _last(self, tags: Iterable[str]) -> int:
+        """Where the innermost open element of these is, -1 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
 
     def _close(self, tags: tuple[str, ...]) -> None:
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] in tags:
-                return self._pop(at)
-            if self.open[at][0] in _SCOPES:
-                return None
+        at = self._last(tags)
+        if at >= 0 and at >= self._last(_SCOPES):
+            self._pop(at)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.hidden:
@@ -132,12 +139,13 @@ class Blocks(HTMLParser):
             self._close((*_CLOSES.get(tag, ()), "p"))
             self.flush()
         held = dict(attrs)
-        label = " ".join([tag, *f"{held.get('class') or ''} {held.get('id') or ''} {held.get('role') or ''}".lower().replace("-", " ").replace("_", " ").split()[:8]])
+        label = " ".join([tag, *f"{held.get('class') or ''} {held.get('id') or ''} {held.get('role') or ''}".lower().replace("-", " ").replace("_", " ").split()[:NAMES]])
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, label))
         self.links += tag == "a"
         if tag in HIDDEN:
             self.hidden += 1
-            self.loose.append(tag in _ENDED and self.n in self.unended)
+            self.loose.append((len(self.open) - 1, tag in _ENDED and self.n in self.unended))
             self.n += tag in _ENDED
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -145,10 +153,8 @@ class Blocks(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                return self._pop(at)
-        return None
+        if self.at.get(tag):
+            self._pop(self.at[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if self.hidden and self.open[-1][0] == "head" and data.strip():
@@ -203,6 +209,6 @@ def features(found: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
         size = len(text)
         out[i, PATH_DIM + WORD_DIM :] = (
             np.log1p(count[i]) / 4, min(1.0, linked / size), (text.count(".") + text.count(",")) / (1 + count[i]), text[-1] in ".!?\"”»…",
-            i / n, 1.0 if i == 0 else 0.0, len(path) / 12, sum(map(text.count, "0123456789")) / size,
+            i / n, 1.0 if i == 0 else 0.0, len(path) / DEPTH, sum(map(text.count, "0123456789")) / size,
         )
     return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 Weights = dict[str, np.ndarray]
+#: Rows of a sequence whose inputs are weighed at once.
+ROWS = 1024
 
 
 def fresh(inputs: int, hidden: int, seed: int) -> Weights:
@@ -28,12 +30,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _pass(w: Weights, side: str, x: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
     """States of one direction. x: time, batch, inputs; where mask is 0 the state stays as it is."""
     hidden = w[f"h{side}"].shape[0]
-    pre = x @ w[f"x{side}"] + w[f"c{side}"]
     h = np.zeros((x.shape[1], hidden), np.float32)
     c = np.zeros_like(h)
     out = np.empty((*x.shape[:2], hidden), np.float32)
+    pre, low, high = None, 0, 0  # the inputs' part of the rows low to high
     for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
-        z = pre[t] + h @ w[f"h{side}"]
+        if not low <= t < high:
+            low = t // ROWS * ROWS
+            high = low + ROWS
+            pre = x[low:high] @ w[f"x{side}"] + w[f"c{side}"]
+        z = pre[t - low] + h @ w[f"h{side}"]
         i, f, o = (_sigmoid(z[:, k * hidden : (k + 1) * hidden]) for k in range(3))
         g = np.tanh(z[:, 3 * hidden :])
         m = mask[t][:, None]

@@ -70,3 +70,26 @@ def test_open_hidden_elements_end():
         assert texts(f"<{tag}>no<p>no<div>no</div></{tag}><p>one") == ["one"], tag
     assert texts("<object>no<svg><p>no</p></svg><p>one</p>") == ["one"]
     assert texts("<select><option>no<option>no<p>one</p>") == ["one"]
+
+
+def test_deep_and_unclosed_markup_takes_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<article><p>one</p>" + "<div><span>x</b></i>" * n + "</article><p>two"
+        began = time.process_time()
+        found = blocks_of(page)
+        assert len(found) == n + 2
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 12 * max(0.2, seconds(5_000))
+
+
+def test_rows_at_once_change_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    w = lstm.fresh(6, 4, 0)
+    pages = [rng.standard_normal((n, 6)).astype(np.float32) for n in (1, 7, 23)]
+    want = lstm.scores(w, pages)
+    monkeypatch.setattr(lstm, "ROWS", 5)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(want, lstm.scores(w, pages)))
