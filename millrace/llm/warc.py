@@ -4,8 +4,9 @@ Headers (page id, address, length, SHA-1 digest) are shuffled by payload digest,
 shuffle, and joined back to find each digest's original; the bodies never take part in that. Records are then written
 through Spark's own text writer, so archives land on whatever store the shared folder is on and a lost task is run again
 under the commit protocol; every record ends with the blank lines that WARC asks for, which is the writer's line end.
-An archive is compressed as a whole, one gzip member a file; a file holds few records and is read by one task.
-Reading goes by Content-Length, so a payload may hold anything, record starts and blank lines included.
+An archive is compressed as a whole, one gzip member a file. Pages are written in bands of like length, so that the
+records of a file are bounded by ``FILE_BYTES`` as well as by their number and one task can read it (a longer page is a
+file of its own). Reading goes by Content-Length, so a payload may hold anything, record starts and blank lines included.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +25,10 @@ from millrace.llm.common import narrow, saved, shared_dir
 
 #: Payloads under this many bytes are never stored as a revisit.
 LEAST_BYTES = 1000
-#: Records of an archive file: with whole pages a file stays small enough to be read by one task.
-RECORDS_PER_FILE = 1000
-#: The date of every header; an archive of the same pages is then the same archive.
-WHEN = "2024-01-01T00:00:00Z"
+#: Records of an archive file, and bytes of their payloads, at most.
+RECORDS_PER_FILE, FILE_BYTES = 1000, 256 << 20
+#: Bytes of a record beside its payload that a file is planned with.
+_HEAD_BYTES = 1024
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -57,17 +59,19 @@ def _record_id(page_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def records(rows: DataFrame) -> DataFrame:
+def records(rows: DataFrame, when: datetime | None = None) -> DataFrame:
     """A text ``value`` per row of ``resolved``: a whole WARC/1.1 record without its closing blank lines.
 
-    Headers are fresh: record ids, lengths and digests come from what is stored now. Line ends in an address are percent-encoded.
+    Headers are fresh: record ids, lengths and digests come from what is stored, the date is that of writing (``when``, or
+    now). Line ends in an address are percent-encoded.
     """
+    date = (when or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     page, digest = F.col("page_id"), F.col("digest")
     address = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit = F.col("kind") == "revisit"
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.col("kind"), F.lit("\r\n"),
-        _line("WARC-Record-ID", _record_id(page, digest)), F.lit(f"WARC-Date: {WHEN}\r\n"),
+        _line("WARC-Record-ID", _record_id(page, digest)), F.lit(f"WARC-Date: {date}\r\n"),
         _line("WARC-Target-URI", address), _line("X-Page-ID", page.cast("string")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), _line("X-Payload-Length", F.col("bytes").cast("string")),
         F.when(revisit, F.concat(F.lit(f"WARC-Profile: {_PROFILE}\r\n"), _line("WARC-Refers-To", _record_id(F.col("refers_to"), digest)), _line("X-Refers-To-Page-ID", F.col("refers_to").cast("string")))).otherwise(""),
@@ -76,13 +80,28 @@ def records(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(head, F.when(revisit, "").otherwise(F.col("html"))).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write a record per row of ``pages`` (page_id, url, html) as deduplicated archives under ``path``.
+def _bands(rows: DataFrame, per_file: int, file_bytes: int) -> list[tuple[int, int, int]]:
+    """Lengths of payloads, from and up to, and the records of a file of such: bands that have rows, the shortest pages' first."""
+    short = max(1, file_bytes // per_file - _HEAD_BYTES)  # of these a file holds as many as it may
+    grade = F.when(F.col("bytes") < short, 0).otherwise(F.floor(F.log2(F.col("bytes") / F.lit(short))) + 1).cast("int")
+    grades = sorted(r.g for r in rows.select(grade.alias("g")).distinct().collect())
+    bounds = [(short << (g - 1) if g else 0, short << g) for g in grades]
+    return [(low, high, max(1, min(per_file, file_bytes // (high + _HEAD_BYTES)))) for low, high in bounds]
+
+
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES, when: datetime | None = None) -> None:
+    """Write a record per row of ``pages`` (page_id, url, html) as deduplicated archives in folders under ``path``, one for each band of lengths.
 
     A null html is an empty payload, a null address or page id leaves its header out, repeated rows are repeated records,
     an empty table gives archives without records. Other columns aren't read.
     """
-    records(resolved(pages, least)).write.option("lineSep", _END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    when = when or datetime.now(UTC)
+    lengths = narrow(pages, html="html").select(F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("bytes"))
+    rows = resolved(pages, least)
+    bands = _bands(lengths, per_file, file_bytes) or [(0, 1, per_file)]
+    for low, high, most in bands:
+        own = rows if len(bands) == 1 else rows.where((F.col("bytes") >= low) & (F.col("bytes") < high))
+        records(own, when).write.option("lineSep", _END).option("maxRecordsPerFile", most).option("compression", "gzip").text(f"{path}/to{high}")
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -107,8 +126,8 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, record_id string, refers_to_id string, refers_to long, payload binary"
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record under ``path``; a stored payload is checked against its digest and length."""
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """A row per record under ``path``; a stored payload is checked against its digest and length, and sent on if ``payloads``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,19 +138,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     if head["warc-type"] == "response" and (hashlib.sha1(body).hexdigest() != digest or len(body) != int(head["x-payload-length"])):
                         raise ValueError(f"payload of {head['warc-record-id']} is damaged")
                     number = lambda k: int(head[k]) if k in head else None  # noqa: B023, E731
-                    for k, v in zip(rows, (number("x-page-id"), head.get("warc-target-uri"), int(head["x-payload-length"]), digest, head["warc-type"], head["warc-record-id"], head.get("warc-refers-to"), number("x-refers-to-page-id"), body)):
+                    for k, v in zip(rows, (number("x-page-id"), head.get("warc-target-uri"), int(head["x-payload-length"]), digest, head["warc-type"], head["warc-record-id"], head.get("warc-refers-to"), number("x-refers-to-page-id"), body if payloads else None)):
                         rows[k].append(v)
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, _READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/millrace/warc-{uuid.uuid4().hex}"
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+from datetime import UTC, datetime
 
 import duckdb
 import pandas as pd
@@ -46,3 +48,15 @@ def test_query_equals_sql(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{tmp_path}/sf/pages.parquet'")
     assert got == set(con.sql(warc.SQL).fetchall())
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "u", chr(97 + i % 26) * n) for i, n in enumerate([10] * 30 + [3000] * 20 + [20_000] * 5 + [90_000] * 2)]
+    when = datetime(2031, 5, 4, 3, 2, 1, tzinfo=UTC)
+    warc.write_archives(frame(spark, rows).coalesce(1), str(tmp_path / "w"), per_file=12, file_bytes=40_000, when=when)
+    held = [list(warc.parsed(gzip.decompress(f.read_bytes()))) for f in (tmp_path / "w").rglob("*.txt.gz")]
+    assert sum(map(len, held)) == len(rows) and max(map(len, held)) <= 12
+    assert all(len(own) == 1 or sum(len(body) for _, body in own) <= 40_000 for own in held)
+    assert {head["warc-date"] for own in held for head, _ in own} == {"2031-05-04T03:02:01Z"}
+    got = warc.read_archives(spark, str(tmp_path / "w"), payloads=False).collect()
+    assert len(got) == len(rows) and {r.payload for r in got} == {None}
