@@ -45,7 +45,12 @@ def facts(texts: pa.Array) -> np.ndarray:
     count = words.count
     of = words.text_of()
     distinct = np.bincount(of[np.unique(of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ words.hash, return_index=True)[1]], minlength=len(size)) if len(of) else np.zeros(len(size))
-    tally = lambda mask: (np.concatenate([[0], np.cumsum(mask)])[offsets[1:]] - np.concatenate([[0], np.cumsum(mask)])[offsets[:-1]]) / size
+    running = np.zeros(len(data) + 1, np.int32)
+
+    def tally(mask: np.ndarray) -> np.ndarray:
+        np.cumsum(mask, dtype=np.int32, out=running[1:])
+        return np.diff(running[offsets]) / size
+
     return np.stack([np.log1p(count) / 8, distinct / np.maximum(1, count), tally((data >= 65) & (data <= 90)), tally((data >= 48) & (data <= 57)), tally((data > 32) & (data < 48)), tally(data == 10)], 1)
 
 
@@ -120,7 +125,8 @@ def fit(df: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id
     """Learn from the rows of ``df`` that ``labels`` (key, label) names; None if there are none.
 
     About ``sample`` rows are taken, as many of each label as there are up to an equal share, by a hash of the key. Null
-    keys, labels and texts and labels that aren't of ``domains`` teach nothing; a row with several labels teaches each.
+    keys, labels and texts and labels that aren't of ``domains`` teach nothing; a row with several labels teaches each. Of
+    rows that repeat a key one teaches, that with the least hash of its text.
     """
     named = narrow(labels, key=key, label=label).where(F.col("label").isin(domains) & F.col("key").isNotNull())
     counts = {r.label: r.n for r in named.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -130,7 +136,8 @@ def fit(df: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id
     most = F.create_map(*[F.lit(v) for d, n in counts.items() for v in (d, min(scale, int(scale * sample / len(domains) / n)))])
     chosen = named.where(F.pmod(F.xxhash64("key"), F.lit(scale)) < most[F.col("label")])
     # about ``sample`` keys at most, whatever the tables hold: small enough to send
-    rows = narrow(df, key=key, text=text).join(F.broadcast(chosen), "key").where("text is not null").select("label", "text")
+    rows = narrow(df, key=key, text=text).join(F.broadcast(chosen), "key").where("text is not null")
+    rows = rows.groupBy("label", "key").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
