@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import sentencepiece
 
@@ -32,6 +35,43 @@ def test_memo_limits_change_nothing(spark, monkeypatch):
     assert len(again.known) <= 40
 
 
+def test_rare_pre_tokens_are_joined(spark):
+    """With no table, a small one or the whole one in the tasks the counts are the library's."""
+    rng = random.Random(5)
+    texts = EDGES + [" ".join(rng.choice(["the", "of", f"w{rng.randrange(400)}", "é\n"]) for _ in range(rng.randrange(80))) for _ in range(120)]
+    df = spark.createDataFrame([(i, t, "x", "clash") for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    for most in (0, 30, 10_000):
+        got = {r.doc_id: r.n_tokens for r in op.token_counts(df, most=most).collect()}
+        assert got == dict(enumerate(library(texts)))
+
+
+def test_pre_tokens_that_share_a_hash_are_told_apart(tmp_path):
+    # in a session of its own, whose workers have the weak hash
+    code = """
+from millrace.llm import token_counts as op
+from pyspark import cloudpickle
+import numpy as np
+weak = lambda seen, start, end: (np.add.reduceat(np.append(seen, 0).astype(np.uint64), start) if len(start) else np.zeros(0, np.uint64)) % np.uint64(5)
+op.span_hashes = weak
+texts = ["b a", "a b", "ab cd ba dc", "the of", "", "dc dc  x"]
+import pyarrow as pa
+h = op.PreTokens(pa.array(texts)).hash
+assert len(set(h.tolist())) <= 5
+from pyspark.sql import SparkSession
+cloudpickle.register_pickle_by_value(op)
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+import sentencepiece
+model = sentencepiece.SentencePieceProcessor(model_file=op.model_path())
+got = {r.doc_id: r.n_tokens for r in op.token_counts(df, most=2).collect()}
+assert got == {i: len(model.encode(t)) for i, t in enumerate(texts)}, got
+print("fine")
+"""
+    path = op.__file__.rsplit("/millrace/", 1)[0]
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=tmp_path, env=os.environ | {"PYTHONPATH": path})
+    assert done.stdout.strip().endswith("fine"), done.stderr[-2000:]
+
+
 def test_empty_table(spark):
     assert op.token_counts(spark.createDataFrame([], SCHEMA)).collect() == []
 
