@@ -1,14 +1,16 @@
 """Operator 8, document fingerprints by invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text is a set of paragraph digests: of its lines, or, where it has few of them, its sentences, or else its pairs of
-neighbouring words. A version's sketch has cells (count, xor of digests, xor of their checks), and every digest is in three
-of them, one in each third. Two versions are compared by subtracting cells, which leaves the digests that only one has.
-Peeling goes by thirds: each cell of the third that holds a single digest gives it up and takes it out of its two other
-cells, so a digest is found once. Where cells are left after ``PASSES``, both sketches are made again with more cells.
-The likeness is the Jaccard similarity that the recovered difference gives.
-
-Cells are rows, grouped by document and cell; documents are dealt once and all groupings stay within that dealing, so
-peeling shuffles nothing. The fingerprint that is reported is the sketch folded to ``FOLDED`` cells, with a digest of the text.
+A text is a set of paragraph digests, of its lines cut at the ends of sentences. Its fingerprint is a sketch of ``CELLS``
+cells (count, xor of digests, xor of their checks), in which every digest is in three, one in each third; the number of
+digests and a digest of the text stand before them. Two versions are compared by subtracting the cells of their
+fingerprints, which leaves the digests that only one of them has. Peeling goes by thirds: each cell of the third that
+holds a single digest gives it up, and it goes from its two other cells. Where cells are left after ``PASSES``, or the
+cells show that the difference is too large for them, both sketches are made again, sized by the difference that the
+cells let expect, and twice as large each time that they fail again. The likeness is the Jaccard similarity that the
+recovered difference gives.
+
+Fingerprints are made, subtracted and peeled within their rows. In larger sketches cells are rows, grouped by document and
+cell; documents are dealt once and all groupings stay within that dealing, so peeling shuffles nothing.
 """
 
 from __future__ import annotations
@@ -16,58 +18,116 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, narrow, release, saved
+from millrace.llm.common import documents, narrow, saved
 
-#: Cells of a third at least, how many times as many at each retry, the retries; passes of peeling; cells of the reported sketch.
-THIRD, GROWTH, RETRIES, PASSES, FOLDED = 32, 8, 4, 12, 8
-#: With fewer lines than this a text is read by its sentences, with fewer sentences by pairs of words.
-FEW = 8
-#: Rows of a bucket, about; quantiles at which ids are cut, and even parts between them at most.
-ROWS, CUTS, FINE = 2000, 64, 1024
+#: Cells of a fingerprint's third (a digest's three places are bits of a long, so 21 at most), and passes of peeling.
+THIRD, PASSES = 16, 12
+#: Of a larger sketch: cells of a third for each digest that is expected to differ, and how many times as many at each retry.
+LOAD, GROWTH = 0.7, 2
+#: Digests for each cell of a fingerprint beyond which peeling isn't tried.
+MOST_LOAD = 0.8
+#: Rows of a bucket, about; quantiles at which ids are cut, and the most even parts between them.
+ROWS, CUTS, FINE = 2000, 64, 1 << 14
 
 _SENTENCE = r"\n+|(?<=[.!?])[ \t]+"
-_SPACE = r"[ \t-\r]+"
 _CHECK = 0x5BD1E995
 _KEYS = ["bucket", "place"]
+_CELL = "struct<n:int,d:bigint,c:bigint>"
 
 
-def _digests(parts: Column, kind: str) -> Column:
-    return F.array_distinct(F.transform(F.filter(parts, lambda p: F.trim(p) != ""), lambda p: F.xxhash64(F.lit(kind), p)))
+def digests(text: Column) -> Column:
+    """The distinct digests of a text's paragraphs; what is all spaces is none."""
+    parts = F.filter(F.split(text, _SENTENCE), lambda p: F.trim(p) != "")
+    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
-def _lines(text: Column) -> Column:
-    return _digests(F.split(text, r"\n+"), "l")
+def _check(digest: Column) -> Column:
+    """32 bits that tell a digest from a xor of several."""
+    return F.xxhash64(digest, F.lit(_CHECK)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _sentences(text: Column) -> Column:
-    return _digests(F.split(text, _SENTENCE), "s")
+def _place(digest: Column, third: Column, k: int) -> Column:
+    """A digest's cell in the ``k``-th third."""
+    return F.pmod(F.xxhash64(digest, F.lit(k)), third) + third * F.lit(k)
 
 
-def _pairs(text: Column) -> Column:
-    """One digest per word, of it and the next one; the last word has none after it."""
-    words = F.filter(F.split(text, _SPACE), lambda w: w != "")
-    return F.array_distinct(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(F.lit("w"), a, F.coalesce(b, F.lit("")))))
+def bound(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _level(lines: Column, sentences: Column) -> Column:
-    """0: lines, 1: sentences, 2: pairs of words."""
-    return F.when(F.size(lines) >= FEW, 0).when(F.size(sentences) >= FEW, 1).otherwise(2)
+def _mask(digest: Column) -> Column:
+    """A digest's three places in a fingerprint, as bits."""
+    one, third = F.lit(1).cast("long"), F.lit(THIRD).cast("long")
+    bits = [F.call_function("shiftleft", one, _place(digest, third, k).cast("int")) for k in range(3)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
 
-def _at(level: str, text: str) -> Column:
-    return F.when(F.col(level) == 0, _lines(F.col(text))).when(F.col(level) == 1, _sentences(F.col(text))).otherwise(_pairs(F.col(text)))
+def _is_at(mask: Column, place: Column) -> Column:
+    return F.call_function("shiftright", mask, place.cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def _check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit(_CHECK))
+def _xor(rows: Column, field: str) -> Column:
+    return F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x[field]))
 
 
-def _place(digest: Column, third: Column, k: int) -> Column:
-    """A digest's cell in the ``k``-th third."""
-    return F.pmod(F.xxhash64(digest, F.lit(k)), third) + third * F.lit(k)
+def _cell(n: Column, d: Column, c: Column) -> Column:
+    return F.struct(n.cast("int").alias("n"), d.alias("d"), c.alias("c"))
+
+
+def cells(of: Column) -> Column:
+    """The cells of a fingerprint, of an array of distinct digests."""
+    placed = F.transform(of, lambda d: F.struct(d.alias("d"), _check(d).alias("c"), _mask(d).alias("m")))
+    places = F.sequence(F.lit(0), F.lit(3 * THIRD - 1))
+    at = lambda rows, i: bound(F.filter(rows, lambda p: _is_at(p["m"], i)), lambda own: _cell(F.size(own), _xor(own, "d"), _xor(own, "c")))
+    return bound(placed, lambda rows: F.transform(places, lambda i: at(rows, i)))
+
+
+def written(text: Column, of: Column, made: Column) -> Column:
+    """The fingerprint as it is reported: a digest of the text, the number of digests, then each cell, in hex."""
+    hexed = lambda x, width: F.lower(F.lpad(F.hex(x), width, "0"))
+    shown = F.transform(made, lambda x: F.concat(hexed(x["n"].cast("long"), 4), hexed(x["d"], 16), hexed(x["c"], 8)))
+    return F.concat_ws(":", hexed(F.xxhash64(text), 16), F.lower(F.hex(F.size(of))), F.array_join(shown, ""))
+
+
+def less(x: Column, y: Column) -> Column:
+    """Cells of one fingerprint less those of another."""
+    return F.zip_with(x, y, lambda a, b: _cell(a["n"] - b["n"], a["d"].bitwiseXOR(b["d"]), a["c"].bitwiseXOR(b["c"])))
+
 
+def expected(apart: Column, x: Column, y: Column) -> Column:
+    """How many digests only one of two texts has, about, from subtracted cells and both numbers of digests.
 
-def _cell(cell: Column, n: Column, digest: Column, check: Column) -> Column:
+    A third's counts have the variance of as many random throws of one, beside what the difference in numbers gives.
+    """
+    squares = F.aggregate(apart, F.lit(0.0), lambda a, z: a + z["n"] * z["n"]) / 3
+    return F.greatest(F.abs(x - y).cast("double"), (squares - (x - y) * (x - y) / F.lit(float(THIRD))) / (1 - 1 / max(2, THIRD)))
+
+
+def peeled_cells(apart: Column, passes: int) -> Column:
+    """found (the digests that only one of two texts has) and whole (whether no cell is left) of subtracted cells."""
+
+    def step(state: Column, k: Column) -> Column:
+        third = F.slice(F.transform(state["cells"], lambda x: F.struct(x["n"].alias("n"), x["d"].alias("d"), x["c"].alias("c"), _mask(x["d"]).alias("m"))), k * THIRD + 1, F.lit(THIRD))
+        single = F.filter(third, lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["d"])))
+
+        def taken(own: Column) -> Column:
+            def left(x: Column, i: Column) -> Column:
+                here = F.filter(own, lambda s: _is_at(s["m"], i))
+                return bound(here, lambda h: _cell(x["n"] - F.aggregate(h, F.lit(0), lambda a, s: a + s["n"]), x["d"].bitwiseXOR(_xor(h, "d")), x["c"].bitwiseXOR(_xor(h, "c"))))
+
+            held = F.when(F.size(own) == 0, state["cells"]).otherwise(F.transform(state["cells"], left)).cast(f"array<{_CELL}>")
+            return F.struct(held.alias("cells"), (state["found"] + F.size(own)).cast("int").alias("found"))
+
+        return bound(single, taken)
+
+    start = F.struct(apart.cast(f"array<{_CELL}>").alias("cells"), F.lit(0).alias("found"))
+    turns = F.array(*[F.lit(i % 3) for i in range(passes)])
+    whole = lambda x: ~F.exists(x["cells"], lambda z: (z["n"] != 0) | (z["d"] != 0) | (z["c"] != 0))
+    return F.aggregate(turns, start, step, lambda x: F.struct(x["found"].alias("found"), whole(x).alias("whole")))
+
+
+def _row(cell: Column, n: Column, digest: Column, check: Column) -> Column:
     return F.struct(cell.cast("long").alias("cell"), n.cast("long").alias("n"), digest.alias("d"), check.alias("c"))
 
 
@@ -80,38 +140,33 @@ def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
 def subtracted(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows: keys, third, n (1: the first version's, -1: the second's), d (digest). The cells of the first sketch less the second."""
     d, third = F.col("d"), F.col("third")
-    cells = F.array(*[_cell(_place(d, third, k), F.col("n"), d, _check(d)) for k in range(3)])
-    return _summed(rows.select(*keys, "third", F.inline(cells)), keys)
+    places = F.array(*[_row(_place(d, third, k), F.col("n"), d, _check(d)) for k in range(3)])
+    return _summed(rows.select(*keys, "third", F.inline(places)), keys)
 
 
-def peeled(cells: DataFrame, keys: list[str], passes: int = PASSES) -> DataFrame:
+def peeled(made: DataFrame, keys: list[str], passes: int = PASSES) -> DataFrame:
     """keys, found (the digests that only one version has) and left (cells that couldn't be told) of subtracted cells."""
     for step in range(passes):
         k = step % 3
         third, n, d, c = F.col("third"), F.col("n"), F.col("d"), F.col("c")
         single = (F.col("cell") >= third * k) & (F.col("cell") < third * (k + 1)) & (F.abs(n) == 1) & (c == _check(d))
         nothing = F.lit(0).cast("long")
-        out = F.array(_cell(F.lit(-1), F.lit(1), nothing, nothing), *[_cell(_place(d, third, j), -n, d, c) for j in range(3) if j != k])
-        cells = _summed(cells.select(*keys, "third", F.inline(F.when(single, out).otherwise(F.array(_cell(F.col("cell"), n, d, c))))), keys)
-    return cells.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("cell") < 0, F.col("n"))), F.lit(0)).alias("found"), F.count(F.when(F.col("cell") >= 0, 1)).alias("left"))
+        out = F.array(_row(F.lit(-1), F.lit(1), nothing, nothing), *[_row(_place(d, third, j), -n, d, c) for j in range(3) if j != k])
+        made = _summed(made.select(*keys, "third", F.inline(F.when(single, out).otherwise(F.array(_row(F.col("cell"), n, d, c))))), keys)
+    return made.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("cell") < 0, F.col("n"))), F.lit(0)).alias("found"), F.count(F.when(F.col("cell") >= 0, 1)).alias("left"))
 
 
 def differing(pairs: DataFrame, keys: list[str], growth: int = 1, passes: int = PASSES) -> DataFrame:
-    """pairs: keys, x and y (arrays of distinct digests), dealt by some of the keys. keys, found and left of each pair that differs."""
+    """pairs: keys, x and y (arrays of distinct digests), dealt by some of the keys, and ``third``, if sketches aren't to be sized by both numbers.
+
+    keys, found and left of each pair that differs.
+    """
     sign = lambda n: lambda d: F.struct(F.lit(n).alias("n"), d.alias("d"))
-    third = F.greatest(F.lit(THIRD), F.size("x") + F.size("y")).cast("long") * growth
-    rows = pairs.select(*keys, third.alias("third"), F.inline(F.concat(F.transform("x", sign(1)), F.transform("y", sign(-1)))))
+    third = F.col("third") if "third" in pairs.columns else F.greatest(F.lit(THIRD), F.size("x") + F.size("y"))
+    rows = pairs.select(*keys, (third.cast("long") * growth).alias("third"), F.inline(F.concat(F.transform("x", sign(1)), F.transform("y", sign(-1)))))
     return peeled(subtracted(rows, keys), keys, passes)
 
 
-def _folded(text: Column, digests: Column) -> Column:
-    """The reported fingerprint: a digest of the text, then the count and the xor of each cell, in hex."""
-    inside = lambda i: F.filter(digests, lambda d: F.pmod(d, F.lit(FOLDED)) == i)
-    xor = lambda ds: F.aggregate(ds, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda i: F.concat(F.lower(F.hex(F.size(inside(i)))), F.lit("-"), F.lower(F.hex(xor(inside(i))))))
-    return F.concat_ws(":", F.lower(F.hex(F.xxhash64(text))), F.array_join(cells, ":"))
-
-
 def _buckets(rows: DataFrame) -> Column:
     """A number that grows with (id, row) and is the same for some ``ROWS`` rows; null ids are below all others.
 
@@ -158,44 +213,59 @@ def edited(text: Column, after: Column) -> Column:
 def compared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
-    A null text is empty. Two empty texts are alike (1), an empty and another one aren't (0). Versions are compared by what
-    the text itself is read by. Rows are in order of descending key, null keys last, equal keys by a hash of their texts,
-    so that of repeated rows one follows the other. An empty table gives an empty one; only the two named columns are read.
+    The likenesses are those of a row's fingerprint to the edited text's and to the next row's. A null text is empty. Two
+    texts without a paragraph are alike (1), one with and one without aren't (0). Rows are in order of descending key, null
+    keys last, equal keys by a hash of their texts, so that of repeated rows one follows the other. An empty table gives an
+    empty one; only the two named columns are read.
     """
-    spark = df.sparkSession
     rows = narrow(df, id=key, text=text).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    both = followed(rows).select(*_KEYS, "id", "text", "after")
-    both = both.withColumn("edited", edited(F.col("text"), F.col("after")))
-    both = both.withColumns({"level": _level(_lines(F.col("text")), _sentences(F.col("text"))), "own": _level(_lines(F.col("edited")), _sentences(F.col("edited")))})
-    both = both.withColumns({"a": _at("level", "text"), "b": _at("level", "edited"), "c": _at("level", "after")}).withColumn("e", F.when(F.col("level") == F.col("own"), F.col("b")).otherwise(_at("own", "edited")))
-    made = saved(both.select(*_KEYS, "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), _folded(F.col("text"), F.col("a")).alias("fingerprint"), _folded(F.col("edited"), F.col("e")).alias("edited_fingerprint"), "a", "b", "c"), "digests")
-    release(spark)
+    both = followed(rows).select(*_KEYS, "id", "text", "after").withColumn("edited", edited(F.col("text"), F.col("after")))
+    both = both.withColumns({"a": digests(F.col("text")), "b": digests(F.col("edited")), "c": digests(F.col("after"))})
+    both = both.withColumns({f"{x}_cells": cells(F.col(x)) for x in "abc"})
+
+    def tried(y: str) -> Column:
+        """What the fingerprints themselves give: how many digests differ, whether all were found, or else how many are expected."""
+        much = lambda z: expected(z, F.size("a"), F.size(y))
+        nothing = F.struct(F.lit(0).alias("found"), F.lit(False).alias("whole"))
+        got = lambda z: F.when(much(z) <= MOST_LOAD * 3 * THIRD, peeled_cells(z, PASSES)).otherwise(nothing)
+        return bound(less(F.col("a_cells"), F.col(f"{y}_cells")), lambda z: F.struct(got(z).alias("got"), much(z).alias("much")))
+
+    both = both.withColumns({"by_b": tried("b"), "by_c": tried("c")})
+    again = {y: ~F.col(f"by_{y}.got.whole") for y in "bc"}
+    made = saved(
+        both.select(
+            *_KEYS, "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), written(F.col("text"), F.col("a"), F.col("a_cells")).alias("fingerprint"),
+            written(F.col("edited"), F.col("b"), F.col("b_cells")).alias("edited_fingerprint"), *[F.size(x).alias(f"n_{x}") for x in "abc"], *[F.when(again[y], F.lit(None)).otherwise(F.col(f"by_{y}.got.found")).alias(f"found_{y}") for y in "bc"],
+            *[F.col(f"by_{y}.much").alias(f"much_{y}") for y in "bc"], F.when(again["b"] | again["c"], F.col("a")).alias("a"), *[F.when(again[y], F.col(y)).alias(y) for y in "bc"],
+        ),
+        "fingerprints",
+    )
     keys = [*_KEYS, "pair"]
-    pair = lambda i, y: F.struct(F.lit(i).alias("pair"), F.col("a").alias("x"), F.col(y).alias("y"))
-    sides = made.select(*_KEYS, "a", "b", "c")
-    found, todo = None, None
-    for retry in range(RETRIES):
-        # dealt by the whole key; the groupings by key and cell that follow find their rows together
+    third = lambda y: F.greatest(F.lit(THIRD), F.ceil(F.col(f"much_{y}") * LOAD)).cast("long").alias("third")
+    pair = lambda i, y: F.when(F.col(y).isNotNull(), F.struct(F.lit(i).alias("pair"), F.col("a").alias("x"), F.col(y).alias("y"), third(y)))
+    # dealt by the whole key; the groupings by key and cell that follow find their rows together
+    sides = made.where("a is not null").select(*_KEYS, "a", "b", "c", "much_b", "much_c")
+    found, todo, growth = None, None, 1
+    while True:
         part = sides if todo is None else sides.join(todo.select(*_KEYS).distinct().hint("merge"), _KEYS)
-        pairs = part.repartition(*_KEYS).select(*_KEYS, F.inline(F.array(pair(0, "b"), pair(1, "c"))))
+        pairs = part.repartition(*_KEYS).select(*_KEYS, F.inline(F.filter(F.array(pair(0, "b"), pair(1, "c")), lambda x: x.isNotNull())))
         if todo is not None:
             pairs = pairs.join(todo.select(*keys), keys, "left_semi")
-        got = saved(differing(pairs, keys, GROWTH**retry), "peeled")
+        got = saved(differing(pairs, keys, growth), "peeled")
         whole = got.where("left = 0").select(*keys, "found")
         found = whole if found is None else found.unionAll(whole)
         todo = got.where("left > 0")
         if not todo.limit(1).count():
             break
-    else:
-        raise RuntimeError(f"sketches of {GROWTH ** (RETRIES - 1)} times the cells that are needed couldn't be peeled")
-    counts = found.groupBy(*_KEYS).agg(F.sum(F.when(F.col("pair") == 0, F.col("found"))).alias("de"), F.sum(F.when(F.col("pair") == 1, F.col("found"))).alias("dn"))
+        growth *= GROWTH
+    counts = found.groupBy(*_KEYS).agg(*[F.sum(F.when(F.col("pair") == i, F.col("found"))).alias(f"more_{y}") for i, y in enumerate("bc")])
 
-    def likeness(y: str, d: str) -> Column:
-        total, apart = F.size("a") + F.size(y), F.coalesce(F.col(d), F.lit(0))  # a pair without a row has no difference
+    def likeness(y: str) -> Column:
+        total, apart = F.col("n_a") + F.col(f"n_{y}"), F.coalesce(f"found_{y}", f"more_{y}", F.lit(0))
         return F.when(total == 0, F.lit(1.0)).otherwise((total - apart) / (total + apart))
 
     out = made.join(counts, _KEYS, "left")
-    return out.select(F.col("id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("b", "de").alias("near_edited"), likeness("c", "dn").alias("near_next"))
+    return out.select(F.col("id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("b").alias("near_edited"), likeness("c").alias("near_next"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

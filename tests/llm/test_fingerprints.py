@@ -9,13 +9,8 @@ from millrace.llm import fingerprints as op
 SCHEMA = "doc_id long, text string, Text string, n_chars string"
 
 
-def units(t, level=None):
-    lines = {p for p in re.split(r"\n+", t) if p.strip(" ")}
-    sentences = {p for p in re.split(r"\n+|(?<=[.!?])[ \t]+", t) if p.strip(" ")}
-    if level is None:
-        level = 0 if len(lines) >= op.FEW else 1 if len(sentences) >= op.FEW else 2
-    w = [x for x in re.split(r"[ \t-\r]+", t) if x]
-    return (lines, sentences, set(zip(w, [*w[1:], ""])))[level], level
+def units(t):
+    return {p for p in re.split(r"\n+|(?<=[.!?])[ \t]+", t) if p.strip(" ")}
 
 
 def likeness(a, b):
@@ -30,8 +25,7 @@ def brute(rows):
         after = rows[(i + 1) % len(rows)][1]
         half = len(t) // 2
         e = t[: len(t) - half] + after[:half]
-        a, level = units(t)
-        out.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), round(likeness(a, units(e, level)[0]), 9), round(likeness(a, units(after, level)[0]), 9)))
+        out.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), round(likeness(units(t), units(e)), 9), round(likeness(units(t), units(after)), 9)))
     return out
 
 
@@ -95,6 +89,51 @@ def test_retries_change_nothing(spark, monkeypatch):
     assert result(frame(spark, rows))[0] == sorted(brute(sorted(rows, key=lambda r: -r[0])), key=str)
 
 
+def read(fingerprint):
+    """The number of digests and the cells of a reported fingerprint."""
+    _, n, held = fingerprint.split(":")
+    return int(n, 16), [(int(held[i : i + 4], 16), int(held[i + 4 : i + 20], 16), int(held[i + 20 : i + 28], 16)) for i in range(0, len(held), 28)]
+
+
+def recomputed(spark, a, b):
+    """The likeness of two reported fingerprints, by subtracting and peeling their cells in plain Python; None where they don't peel."""
+    (na, x), (nb, y) = read(a), read(b)
+    cells = [[p[0] - q[0], p[1] ^ q[1], p[2] ^ q[2]] for p, q in zip(x, y)]
+    signed = lambda d: d - (1 << 64) if d >> 63 else d
+    found = 0
+    while True:
+        held = sorted({signed(c[1]) for c in cells if abs(c[0]) == 1})
+        known = spark.createDataFrame([(d,) for d in held], "d long").select("d", op._check(F.col("d")).alias("c"), op._mask(F.col("d")).alias("m")).collect()
+        by = {r.d: r for r in known}
+        single = next(((c[0], by[signed(c[1])]) for c in cells if abs(c[0]) == 1 and c[2] == by[signed(c[1])].c), None)
+        if single is None:
+            return None if any(any(c) for c in cells) else (na + nb - found) / (na + nb + found) if na + nb else 1.0
+        n, r = single
+        for i in range(len(cells)):
+            if r.m >> i & 1:
+                cells[i] = [cells[i][0] - n, cells[i][1] ^ (r.d % (1 << 64)), cells[i][2] ^ r.c]
+        found += 1
+
+
+def test_likenesses_are_those_of_the_reported_fingerprints(spark):
+    lines = [f"line {i} of it." for i in range(40)]
+    texts = [" ".join(lines[a:b]) for a, b in ((0, 6), (2, 9), (0, 6), (20, 32), (21, 30))] + ["", None]
+    rows = {r.doc_id: r for r in op.compared(frame(spark, list(enumerate(texts)))).collect()}
+    for i, r in rows.items():
+        assert recomputed(spark, r.fingerprint, r.edited_fingerprint) == r.near_edited, i
+        assert recomputed(spark, r.fingerprint, rows[(i - 1) % len(texts)].fingerprint) == r.near_next, i
+
+
+def test_what_a_fingerprint_cannot_hold_is_sized_by_what_it_lets_expect(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.getrandbits(62) for _ in range(n)], [rng.getrandbits(62) for _ in range(m)]) for i, (n, m) in enumerate(((5, 5), (100, 80), (1000, 10), (400, 1200)))]
+    df = spark.createDataFrame(rows, "k long, x array<long>, y array<long>")
+    both = df.select("k", op.less(op.cells(F.col("x")), op.cells(F.col("y"))).alias("z"), F.size("x").alias("n"), F.size("y").alias("m"))
+    got = {r.k: r for r in both.select("k", op.expected(F.col("z"), F.col("n"), F.col("m")).alias("much"), op.peeled_cells(F.col("z"), op.PASSES).alias("p")).collect()}
+    assert got[0].p.whole and got[0].p.found == 10 and not any(got[k].p.whole for k in (1, 2, 3))
+    assert all(0.4 < got[k].much / (len(rows[k][1]) + len(rows[k][2])) < 2 for k in (1, 2, 3))
+
+
 def test_no_python_in_the_plan(spark):
     plan = op.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "MapIn"))
