@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import usage
 from millrace.operators import repo as R
 from millrace.operators import sessions
+from millrace.operators.findings import top_per_group
 
 #: Waste in USD from which it matters, and from which it is severe.
 MATERIAL_USD, SEVERE_USD = 0.50, 1.00
@@ -98,32 +99,45 @@ def _fired(one: DataFrame, rules: list[tuple[Column, list[Column]]]) -> DataFram
     return one.select(F.inline(F.filter(made, lambda x: x.isNotNull())))
 
 
-def _listed(rows: DataFrame, name: str, n: int, order: list[Column] | None = None, shown: Column | None = None) -> DataFrame:
-    """One row: the number of rows as ``name``, and the first ``n`` of them as ``name_at``."""
-    first = _first(rows, order or [F.col("path")], n, f"{name}_at", F.col("path") if shown is None else shown)
-    return _beside(rows.agg(F.count("*").alias(name)), first)
+#: Of each rule about a tree, the places that it names at most.
+PLACES = {"junk": 10, "code": 8, "docs": 8, "near": 8, "library": 12, "scripts": 12, "big": 8, "dead": 8, "stems": 5}
 
 
-def _groups(found: DataFrame, groups: DataFrame, keys: list[str], name: str, sign: str, at: int = 8) -> DataFrame:
-    """As ``_listed`` of groups by their first path, and ``name_like``: the names of the first few groups' files."""
-    few = groups.orderBy("first").limit(SHOWN)
-    top = R.members(found, few, keys)
-    names = F.array_join(F.transform("paths", lambda p: F.substring_index(p, "/", -1)), f" {sign} ")
-    like = _first(top, [F.col("first")], SHOWN, f"{name}_like", names)
-    return _beside(_listed(groups, name, at, [F.col("first")], F.col("first")), like)
+def _places(found: DataFrame, exact: DataFrame, near: DataFrame, orphans: DataFrame) -> DataFrame:
+    """rule, least (what comes first), name and shown of everything that a rule may name."""
+    place = lambda rule, fires, least, shown: F.when(fires, F.struct(F.lit(rule).alias("rule"), least.cast("bigint").alias("least"), F.col("path").alias("name"), shown.alias("shown")))
+    measured = F.concat("path", F.lit(" ("), F.format_number("lines", 0), F.lit(" lines)"))
+    own = F.array(
+        place("junk", F.col("class") == R.JUNK, F.lit(0), F.col("path")), place("big", F.col("lines") >= R.MANY_LINES, -F.col("lines"), measured),
+        place("dead", F.col("dead_run") >= R.MANY_COMMENTS, F.lit(0), F.col("path")),
+    )
+    of = lambda rows, rule, name: rows.select(rule.alias("rule"), F.lit(0).cast("bigint").alias("least"), F.col(name).alias("name"), F.col(name).alias("shown"))
+    parts = [
+        found.select(F.inline(F.filter(own, lambda x: x.isNotNull()))), of(R.scattered(found), F.lit("stems"), "stem"), of(near, F.lit("near"), "first"),
+        of(exact, F.when(F.col("is_doc"), "docs").otherwise("code"), "first"), of(orphans, F.when(F.col("is_script"), "scripts").otherwise("library"), "path"),
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _like(found: DataFrame, groups: DataFrame, keys: list[str], name: str, sign: str) -> DataFrame:
+    """One row with ``name``: the names of the first few groups' files."""
+    top = R.members(found, groups.orderBy("first").limit(SHOWN), keys)
+    return _first(top, [F.col("first")], SHOWN, name, F.array_join(F.transform("paths", lambda p: F.substring_index(p, "/", -1)), f" {sign} "))
 
 
 def repo_findings(found: DataFrame, exact: DataFrame, near: DataFrame, orphans: DataFrame) -> DataFrame:
-    """What a scanned tree shows. found: ``repo.features``; the others as ``repo`` gives them."""
-    notable = R.notable(found)
-    long = notable.where(F.col("lines") >= R.MANY_LINES)
-    measured = F.concat("path", F.lit(" ("), F.format_number("lines", 0), F.lit(" lines)"))
-    one = _beside(
-        _listed(found.where(F.col("class") == R.JUNK), "junk", 10), _groups(found, exact.where("not is_doc"), ["digest"], "code", "="), _groups(found, exact.where("is_doc"), ["digest"], "docs", "="),
-        _groups(found, near, ["suffix", "norm"], "near", "~"), _listed(orphans.where("not is_script"), "library", 12), _listed(orphans.where("is_script"), "scripts", 12),
-        _beside(_listed(long, "big", 8, [F.col("lines").desc(), F.col("path")], measured), long.agg(F.max("lines").alias("longest"))),
-        _listed(notable.where(F.col("dead_run") >= R.MANY_COMMENTS), "dead", 8), _listed(R.scattered(found), "stems", 5, [F.col("stem")], F.col("stem")),
-    )
+    """What a scanned tree shows. found: ``repo.features``; the others as ``repo`` gives them.
+
+    All that rules may name goes through one count and one top-n by rule, cut before its shuffle.
+    """
+    places = _places(found, exact, near, orphans)
+    counts = places.groupBy("rule").agg(F.count("*").alias("n"))
+    first = top_per_group(places, ["rule"], [F.col("least"), F.col("name")], max(PLACES.values()))
+    first = first.groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("least", "name", "shown"))).alias("at"))
+    both = counts.join(F.broadcast(first), "rule")
+    of = lambda rule, c: F.max(F.when(F.col("rule") == rule, F.col(c)))
+    facts = both.agg(*[F.coalesce(of(rule, "n"), F.lit(0).cast("bigint")).alias(rule) for rule in PLACES], *[F.transform(F.slice(of(rule, "at"), 1, most), lambda x: x.shown).alias(f"{rule}_at") for rule, most in PLACES.items()], (-F.get(of("big", "at"), F.lit(0)).least).alias("longest"))
+    one = _beside(facts, _like(found, exact.where("not is_doc"), ["digest"], "code_like", "="), _like(found, near, ["suffix", "norm"], "near_like", "~"))
     n = F.col
     such = lambda name: F.concat(F.lit(", such as "), F.array_join(f"{name}_like", "; "))
     said = lambda count, rest: F.concat(count, rest if isinstance(rest, Column) else F.lit(rest))
