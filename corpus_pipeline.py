@@ -1,22 +1,42 @@
-"""A training corpus from raw documents: five stages, each written and read again before the next."""
+"""A training corpus from raw documents: five stages, each written and read again before the next.
+
+Of every stage: a null in any column, an empty or a very long text, an empty table and further columns of any name are
+fine; further columns are passed on but by the last stage. A document without an id is judged by its text and never makes
+or loses a copy or a passage. Rows that repeat an id are one document: they go together as near copies of another, and
+each is judged by its own text otherwise.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language_id, mixing, ngram_join, substring_dedup
 from millrace.llm.common import shared_dir
 
 
+def _told(out: DataFrame, made: list[str], docs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """``out`` (doc_id, what an operator made, then the other columns of ``docs``) under names that can't clash, and those columns by their own."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    named = out.toDF("id", *made, *[f"kept{i}" for i in range(len(rest))])
+    return named, {"doc_id": F.col("id")} | {c: F.col(f"kept{i}") for i, c in enumerate(rest)}
+
+
+def _rest(docs: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in docs.columns if c != "doc_id")
+
+
+def _again(rows: DataFrame, back: dict[str, Column], docs: DataFrame) -> DataFrame:
+    return rows.select(*[back[c].alias(c) for c in docs.columns])
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language; one without a letter, or without a text, goes. A missing lang is filled in."""
-    columns = docs.columns
-    told = language_id.predicted(docs, language_id.learned(docs), keep=tuple(c for c in columns if c != "doc_id"))
-    kept = told.where(F.col("lang_pred") != language_id.UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    told, back = _told(language_id.predicted(docs, language_id.learned(docs), keep=_rest(docs)), ["language", "score"], docs)
+    back["lang"] = F.coalesce(back["lang"], F.col("language"))
+    return _again(told.where(F.col("language") != language_id.UNKNOWN), back, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,19 +47,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that one with a smaller id has; one of which nothing is left goes."""
-    columns = docs.columns
-    cut = substring_dedup.deduplicated(docs, keep=tuple(c for c in columns if c != "doc_id"))
-    changed = F.col("n_removed") > 0
-    left = cut.where(~changed | (F.col("n_removed") < F.col("n_words")))
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
-    return left.withColumns(new).select(*columns)
+    cut, back = _told(substring_dedup.deduplicated(docs, keep=_rest(docs)), ["left", "words", "removed", "spans"], docs)
+    changed = F.col("removed") > 0
+    back["text"] = F.when(changed, F.col("left")).otherwise(back["text"])
+    back["n_chars"] = F.when(changed, F.length("left").cast("long")).otherwise(back["n_chars"])
+    return _again(cut.where(~changed | (F.col("removed") < F.col("words"))), back, docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    columns = docs.columns
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(c for c in columns if c != "doc_id"))
-    return found.where(F.size("matches") == 0).select(*columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found, back = _told(decontaminate.contamination(docs, items, keep=_rest(docs)), ["leaks"], docs)
+    return _again(found.where(F.size("leaks") == 0), back, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,8 +33,9 @@ _ENDED = HIDDEN - {"head", "script", "style"}
 _ENDED_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_ENDED))})(?![^\s/>])", re.I)
 _SCOPES = frozenset("ul ol dl table tr article section main aside nav div body".split())
 
-#: The innermost tags of a path, and the first words of a tag's names, that are features.
-DEPTH, NAMES = 12, 8
+#: Of a block's place the innermost ``DEPTH`` different tags with their names are features, each once, however often it is
+#: nested in itself; they are looked for among the innermost ``SCAN`` open elements. Of a tag's names the first few count.
+DEPTH, SCAN, NAMES = 12, 64, 8
 PATH_DIM, WORD_DIM, FACTS = 48, 24, 8
 INPUT = PATH_DIM + WORD_DIM + FACTS
 
@@ -90,7 +91,8 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.found.append((tuple(label for _, label in self.open[-DEPTH:]), text, self.linked))
+            labels = list(dict.fromkeys(label for _, label in reversed(self.open[-SCAN:])))[:DEPTH]
+            self.found.append((tuple(reversed(labels)), text, self.linked))
         self.parts, self.linked = [], 0
 
     def _pop(self, at: int) -> None:

@@ -39,7 +39,7 @@ NAMES = {
     "form": "form:|form:search|form:login|div:search|form:contact|fieldset:|form:newsletter-form|form:comment-form",
 }
 CONTENT = "article:|article:post|main:|main:content|div:content|div:post|div:entry-content|div:article-body|section:story|div:post-content|div:text|div:story-body|div:main|article:entry|div:article|section:article|div:body|div:page-content"
-WRAP = "div:|div:container|div:wrapper|div:row|section:|div:page|div:layout|div:col"
+WRAP = "div:|div:|div:container|div:wrapper|div:row|section:|div:page|div:layout|div:col|div:grid|div:inner|div:outer|div:site|section:wrap|div:app|div:root|span:"
 
 
 class Maker:
@@ -144,6 +144,16 @@ class Maker:
             inner += self.boiler(rng.choice(("comment", "side", "foot")))
         return self.tag(spec, inner)
 
+    def nested(self, inner: str) -> str:
+        """Inside wrappers, few or very many, some of which are never closed."""
+        rng = self.rng
+        specs = rng.choices(WRAP.split("|"), k=rng.randint(1, 4))
+        for _ in range(rng.choice((0, 0, 0, 1, 1, 2, 4, 8, 14))):
+            inner = self.tag(rng.choice(specs), inner)
+            if rng.random() < 0.03:
+                inner = inner[: inner.rindex("</")]
+        return inner
+
     def page(self) -> str:
         rng = self.rng
         before = [k for k, p in (("notice", 0.3), ("head", 0.4), ("menu", 0.75), ("advert", 0.45), ("form", 0.2), ("side", 0.25)) if rng.random() < p]
@@ -152,9 +162,10 @@ class Maker:
             rng.shuffle(before)
             rng.shuffle(after)
         main = self.article() if rng.random() < 0.97 else ""
-        if rng.random() < 0.4:
-            main = self.tag(rng.choice(WRAP.split("|")), main + (self.boiler("side") if rng.random() < 0.3 else ""))
-        return f"<html><head><title>{self.words(2, 9)}</title></head><body>" + "".join(map(self.boiler, before)) + main + "".join(map(self.boiler, after)) + "</body></html>"
+        main = self.nested(main + (self.boiler("side") if rng.random() < 0.12 else ""))
+        around = lambda kinds: "".join(self.nested(self.boiler(k)) if rng.random() < 0.4 else self.boiler(k) for k in kinds)
+        whole = around(before) + main + around(after)
+        return f"<html><head><title>{self.words(2, 9)}</title></head><body>" + (self.nested(whole) if rng.random() < 0.3 else whole) + "</body></html>"
 
 
 def labelled(seed: int) -> tuple[str, np.ndarray, np.ndarray]:

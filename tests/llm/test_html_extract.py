@@ -93,3 +93,12 @@ def test_rows_at_once_change_nothing(monkeypatch):
     want = lstm.scores(w, pages)
     monkeypatch.setattr(lstm, "ROWS", 5)
     assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(want, lstm.scores(w, pages)))
+
+
+def test_articles_in_many_wrappers_are_whole():
+    words = [f"Paragraph {i} has some words that stand in the article, and more of them. It goes on." for i in range(12)]
+    article = "<article><h1>Title of it</h1>" + "".join(f"<p>{p}</p>" for p in words) + "</article>"
+    for n in (0, 3, 10, 40):
+        for wrap, end in (("<div>", "</div>"), ("<div class=container><section class=row>", "</section></div>"), ("<div><span>", "")):
+            page = "<html><body><nav class=menu><ul><li>Home<li>News</ul></nav>" + wrap * n + article + end * n + "<footer>All rights reserved.</footer>"
+            assert op.texts_of([page], op.weights()) == ["\n".join(["Title of it", *words])], (n, wrap)

@@ -76,3 +76,23 @@ def test_empty_documents(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Null ids, repeated rows, nulls everywhere, a very long text, and columns named as what the operators make."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, kept string, spans string, matches string, row long, rate double, id long"
+    more = ("x", 0.5, "y", "z", "m", 7, 0.25, 9)
+    base = "der die und nicht das ist ein auch mit sich "
+    rows = [(i, f"{base}{i} " * (1 + i % 3), "de", "s", 9, *more) for i in range(12)] + [(i, f"le la les des une que pour {i}", "fr", "s", 9, *more) for i in range(20, 30)]
+    rows += [(None, base * 2, None, None, None, *[None] * 8), (None, base * 2, None, None, None, *[None] * 8), (3, "repeated le la les", "fr", "s", 9, *more), (40, None, None, None, None, *[None] * 8), (41, "und " * 50_000, "de", "s", 9, *more)]
+    spark.createDataFrame([(0, "der die und x y z")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(0, 1, 0), (1, 0, 0), (21, 1, 0), (None, 1, 1), (22, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, kinds)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert sum(r.doc_id is None for r in docs.collect()) == 2 and {r.lang_pred for r in docs.collect()} == {"x", None}, name
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r.doc_id is None for r in out) == 2 and all(r.rate > 0 for r in out)
