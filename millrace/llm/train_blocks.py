@@ -150,7 +150,7 @@ class Maker:
         specs = rng.choices(WRAP.split("|"), k=rng.randint(1, 4))
         for _ in range(rng.choice((0, 0, 0, 1, 1, 2, 4, 8, 14))):
             inner = self.tag(rng.choice(specs), inner)
-            if rng.random() < 0.03:
+            if rng.random() < 0.06:
                 inner = inner[: inner.rindex("</")]
         return inner
 
