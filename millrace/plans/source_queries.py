@@ -195,6 +195,37 @@ def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).withColumn("session_id", transcripts.stem(F.col("path")))
 
 
+def log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The lines as files, one a project, in a folder a project; all of a project's conversations are one session there."""
+    root = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    lines = log_lines(spark, sf_dir).select("value", F.element_at(F.split("path", "/"), -2).alias("project"))
+    lines.repartition("project").write.partitionBy("project").text(root)
+    return root
+
+
+_WRITTEN = f"""{_TURNS}, w AS (SELECT 'project=-home-my app%25' || conv_id % 2 AS project, * FROM t), calls AS (SELECT project, seq // 6 AS item, seq % 3 <> 2 AS is_read, count(*) AS n FROM w GROUP BY ALL),
+extra AS (SELECT project, coalesce(sum(n - 1) FILTER (is_read AND n >= 3), 0)::BIGINT AS reread_extra, coalesce(sum(n - 1) FILTER (NOT is_read AND n >= 2), 0)::BIGINT AS repeat_extra FROM calls GROUP BY 1),
+s AS (SELECT project, count(*) AS turns, count_if(role = 'assistant')::BIGINT AS assistant_turns, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, count_if(failed)::BIGINT AS tool_errors, count_if(result_chars >= 60000)::BIGINT AS big_outputs, count_if(compact)::BIGINT AS compactions FROM w GROUP BY 1)
+SELECT * FROM s JOIN extra USING (project)"""
+
+
+def _written(metrics_: DataFrame) -> DataFrame:
+    project = F.element_at(F.split("path", "/"), -2).alias("project")
+    return metrics_.select(project, "turns", "assistant_turns", "input_tokens", "output_tokens", "tool_errors", "big_outputs", "compactions", F.col("reread_files_extra").alias("reread_extra"), F.col("repeated_cmds_extra").alias("repeat_extra"))
+
+
+@query("logs_read", f"WITH {_WRITTEN}")
+def logs_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of logs that are found, filtered and read as files."""
+    return _written(tokens.load(spark, log_folder(spark, sf_dir), since_days=1, logs="*.txt"))
+
+
+@query("logs_of_a_project", f"WITH {_WRITTEN} WHERE project LIKE '%25_' AND right(project, 1) = '1'")
+def logs_of_a_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of one project; the other one's aren't read."""
+    return _written(tokens.load(spark, log_folder(spark, sf_dir), project="/home/my app%251", limit=5, logs="*.txt"))
+
+
 _SUFFIXES = (".py", ".ts", ".md", ".lock", ".log", ".min.js", ".json", ".test.ts")
 
 

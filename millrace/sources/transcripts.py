@@ -14,6 +14,8 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed value: the names of logs.
+LOGS = "*.jsonl"
 TURN_SCHEMA = (
     "session_id string, seq bigint, role string, ts string, git_branch string, cwd string, permission_mode string, "
     "input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_creation_tokens bigint, "
@@ -39,7 +41,7 @@ def decoded_path() -> Column:
 
 
 def stem(path: Column) -> Column:
-    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.jsonl$", "")
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", "")
 
 
 def literal_path(path: str) -> str:
@@ -47,9 +49,9 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
-def _listed(spark: SparkSession, root: str, since: float | None = None) -> DataFrame:
+def _listed(spark: SparkSession, root: str, since: float | None = None, logs: str = LOGS) -> DataFrame:
     """path, session_id, project, size and mtime of each log; only the listing is read."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", logs)
     if since is not None:
         reader = _modified_after(reader, since)
     meta = reader.load(f"{root.rstrip('/')}/*").select(decoded_path().alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
@@ -61,13 +63,13 @@ def _modified_after(reader, since: float):  # noqa: ANN001, ANN202
     return reader.option("modifiedAfter", time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(since - 1))).option("timeZone", "UTC")
 
 
-def listing(spark: SparkSession, root: str, project: str | None = None, limit: int | None = None, since_days: float | None = None) -> DataFrame:
+def listing(spark: SparkSession, root: str, project: str | None = None, limit: int | None = None, since_days: float | None = None, logs: str = LOGS) -> DataFrame:
     """Logs, of which ``limit`` takes the newest, then by path. ``project`` is a path: its folder name, or its last part, must be in the log's.
 
     A limit of 0 or None takes all.
     """
     since = None if since_days is None else time.time() - since_days * 86400
-    out = _listed(spark, root, since)
+    out = _listed(spark, root, since, logs)
     if project:
         full = os.path.abspath(project)
         out = out.where(F.contains("project", F.lit(project_folder(full))) | F.contains("project", F.lit(os.path.basename(full))))
@@ -78,13 +80,13 @@ def listing(spark: SparkSession, root: str, project: str | None = None, limit: i
     return out
 
 
-def load(spark: SparkSession, root: str, project: str | None = None, limit: int | None = None, since_days: float | None = None) -> tuple[DataFrame, DataFrame]:
+def load(spark: SparkSession, root: str, project: str | None = None, limit: int | None = None, since_days: float | None = None, logs: str = LOGS) -> tuple[DataFrame, DataFrame]:
     """The listing, and the events of its logs alone.
 
     A limit bounds the paths that come to the driver, and a project the folders; those are all that is read. Old logs are
     left out by the reader.
     """
-    chosen = listing(spark, root, project, limit, since_days)
+    chosen = listing(spark, root, project, limit, since_days, logs)
     since = None if since_days is None else time.time() - since_days * 86400
     paths = None
     if limit:
@@ -93,7 +95,7 @@ def load(spark: SparkSession, root: str, project: str | None = None, limit: int
     elif project:
         folders = chosen.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct()
         paths = sorted(r.path for r in folders.collect())
-    return chosen, events(spark, root, paths, since)
+    return chosen, events(spark, root, paths, since, logs)
 
 
 def listing_of(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -117,13 +119,13 @@ def has_logs(root: str) -> bool:
     return os.path.isdir(root) and any(f.name.endswith(".jsonl") for d in os.scandir(root) if d.is_dir() for f in os.scandir(d.path))
 
 
-def events(spark: SparkSession, root: str, paths: list[str] | None = None, since: float | None = None) -> DataFrame:
+def events(spark: SparkSession, root: str, paths: list[str] | None = None, since: float | None = None, logs: str = LOGS) -> DataFrame:
     """path, session_id, seq (file order) and event (VARIANT) of every line that is an object.
 
     ``paths``: the logs, or folders of logs, that are read instead of all under ``root``; ``since``: seconds since 1970
     before which a log's last change leaves it out.
     """
-    reader = spark.read.option("pathGlobFilter", "*.jsonl")
+    reader = spark.read.option("pathGlobFilter", logs)
     if since is not None:
         reader = _modified_after(reader, since)
     if paths is not None and not paths:

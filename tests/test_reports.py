@@ -96,6 +96,23 @@ def test_experiments(spark, tmp_path):
     assert {r.arm: r.delta_pct for r in experiments.against_baseline(arms).collect()} == {"baseline": 0.0, "gate": 50.0}
 
 
+def test_runs_are_in_file_order(spark, tmp_path):
+    """Of runs that repeat a task the last by file, then line, counts, however the files are split."""
+    line = lambda n, ok: json.dumps({"tier": "T1", "task": "x", "arm": "A", "rep": 0, "ok": ok, "tokens": n, "turns": 1})
+    for name, oks in (("a", [True] * 300), ("b", [True] * 299 + [False])):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(line(i, ok) for i, ok in enumerate(oks)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = runs.runs(spark, str(tmp_path), "ladder")
+        assert rows.rdd.getNumPartitions() > 4
+        got = rows.orderBy("pos").select("tokens").collect()
+        assert [r.tokens for r in got] == [*range(300)] * 2
+        assert rows.agg(F.max_by("ok", "pos").alias("ok")).first().ok is False
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     root = str(fixtures.write(tmp_path / "projects"))
     out = tmp_path / "run"
