@@ -262,8 +262,10 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: C
 
     parts = saved(rows.mapInArrow(run, f"row long, key {kind_of(rows, 'key')}, n_bytes long, sums long, h array<long>, times array<int>"), "texts")
     rest = parts.where(F.size("h") > 0).select("row", F.inline(F.arrays_zip("h", "times"))).join(table.select("h", "pieces"), "h")
-    more = saved(rest.groupBy("row").agg(F.sum(F.col("pieces") * F.col("times")).alias("more")), "rest")
+    # saved before it is summed, so that what the join shuffled is gone by then
+    rest = saved(rest.select("row", (F.col("pieces") * F.col("times")).alias("more")), "rest")
     discard(table)
+    more = rest.groupBy("row").agg(F.sum("more").alias("more"))
     out = parts.select("row", "key", "n_bytes", "sums").join(more, "row", "left")
     return out.select(F.col("key").alias(key), "n_bytes", (F.col("sums") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
 
