@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, narrow, saved
+from millrace.llm.common import discard, documents, narrow, saved
 
 #: Cells of a fingerprint's third (a digest's three places are bits of a long, so 21 at most), and passes of peeling.
 THIRD, PASSES = 16, 12
@@ -26,6 +26,8 @@ THIRD, PASSES = 16, 12
 LOAD, GROWTH = 0.7, 2
 #: Digests for each cell of a fingerprint beyond which peeling isn't tried.
 MOST_LOAD = 0.8
+#: Pairs that are to be tried again, up to which their keys are broadcast.
+BROADCAST = 100_000
 #: Rows of a bucket, about; quantiles at which ids are cut, and the most even parts between them.
 ROWS, CUTS, FINE = 2000, 64, 1 << 14
 
@@ -83,11 +85,19 @@ def cells(of: Column) -> Column:
     return bound(placed, lambda rows: F.transform(places, lambda i: at(rows, i)))
 
 
-def written(text: Column, of: Column, made: Column) -> Column:
-    """The fingerprint as it is reported: a digest of the text, the number of digests, then each cell, in hex."""
-    hexed = lambda x, width: F.lower(F.lpad(F.hex(x), width, "0"))
-    shown = F.transform(made, lambda x: F.concat(hexed(x["n"].cast("long"), 4), hexed(x["d"], 16), hexed(x["c"], 8)))
-    return F.concat_ws(":", hexed(F.xxhash64(text), 16), F.lower(F.hex(F.size(of))), F.array_join(shown, ""))
+def _hexed(x: Column, width: int) -> Column:
+    return F.lower(F.lpad(F.hex(x), width, "0"))
+
+
+def packed(text: Column, of: Column, made: Column) -> Column:
+    """The fingerprint's two parts: a digest of the text with the number of digests, and the cells as bytes."""
+    shown = F.transform(made, lambda x: F.concat(_hexed(x["n"].cast("long"), 4), _hexed(x["d"], 16), _hexed(x["c"], 8)))
+    return F.struct(F.concat_ws(":", _hexed(F.xxhash64(text), 16), F.lower(F.hex(F.size(of)))).alias("head"), F.unhex(F.array_join(shown, "")).alias("cells"))
+
+
+def written(parts: Column) -> Column:
+    """The fingerprint as it is reported, with the cells in hex: count (4 digits), xor (16) and check (8) of each."""
+    return F.concat_ws(":", parts["head"], F.lower(F.hex(parts["cells"])))
 
 
 def less(x: Column, y: Column) -> Column:
@@ -234,8 +244,8 @@ def compared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     again = {y: ~F.col(f"by_{y}.got.whole") for y in "bc"}
     made = saved(
         both.select(
-            *_KEYS, "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), written(F.col("text"), F.col("a"), F.col("a_cells")).alias("fingerprint"),
-            written(F.col("edited"), F.col("b"), F.col("b_cells")).alias("edited_fingerprint"), *[F.size(x).alias(f"n_{x}") for x in "abc"], *[F.when(again[y], F.lit(None)).otherwise(F.col(f"by_{y}.got.found")).alias(f"found_{y}") for y in "bc"],
+            *_KEYS, "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), packed(F.col("text"), F.col("a"), F.col("a_cells")).alias("own"),
+            packed(F.col("edited"), F.col("b"), F.col("b_cells")).alias("other"), *[F.size(x).alias(f"n_{x}") for x in "abc"], *[F.when(again[y], F.lit(None)).otherwise(F.col(f"by_{y}.got.found")).alias(f"found_{y}") for y in "bc"],
             *[F.col(f"by_{y}.much").alias(f"much_{y}") for y in "bc"], F.when(again["b"] | again["c"], F.col("a")).alias("a"), *[F.when(again[y], F.col(y)).alias(y) for y in "bc"],
         ),
         "fingerprints",
@@ -243,29 +253,34 @@ def compared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     keys = [*_KEYS, "pair"]
     third = lambda y: F.greatest(F.lit(THIRD), F.ceil(F.col(f"much_{y}") * LOAD)).cast("long").alias("third")
     pair = lambda i, y: F.when(F.col(y).isNotNull(), F.struct(F.lit(i).alias("pair"), F.col("a").alias("x"), F.col(y).alias("y"), third(y)))
-    # dealt by the whole key; the groupings by key and cell that follow find their rows together
-    sides = made.where("a is not null").select(*_KEYS, "a", "b", "c", "much_b", "much_c")
-    found, todo, growth = None, None, 1
+    pairs = made.where("a is not null").select(*_KEYS, F.inline(F.filter(F.array(pair(0, "b"), pair(1, "c")), lambda x: x.isNotNull())))
+    found, growth, kept = None, 1, None
     while True:
-        part = sides if todo is None else sides.join(todo.select(*_KEYS).distinct().hint("merge"), _KEYS)
-        pairs = part.repartition(*_KEYS).select(*_KEYS, F.inline(F.filter(F.array(pair(0, "b"), pair(1, "c")), lambda x: x.isNotNull())))
-        if todo is not None:
-            pairs = pairs.join(todo.select(*keys), keys, "left_semi")
-        got = saved(differing(pairs, keys, growth), "peeled")
+        # dealt by the whole key; the groupings by key and cell that follow find their rows together
+        got = saved(differing(pairs.repartition(*_KEYS), keys, growth), "peeled")
         whole = got.where("left = 0").select(*keys, "found")
         found = whole if found is None else found.unionAll(whole)
-        todo = got.where("left > 0")
-        if not todo.limit(1).count():
+        failed = got.where("left > 0").select(*keys)
+        many = failed.count()
+        if not many:
             break
-        growth *= GROWTH
+        # what failed is taken out: each round is of its own size, not of the first one's
+        left = saved(pairs.join(F.broadcast(failed) if many <= BROADCAST else failed.hint("merge"), keys), "failed")
+        if kept is not None:
+            discard(kept)
+        pairs, kept, growth = left, left, growth * GROWTH
     counts = found.groupBy(*_KEYS).agg(*[F.sum(F.when(F.col("pair") == i, F.col("found"))).alias(f"more_{y}") for i, y in enumerate("bc")])
 
     def likeness(y: str) -> Column:
         total, apart = F.col("n_a") + F.col(f"n_{y}"), F.coalesce(f"found_{y}", f"more_{y}", F.lit(0))
         return F.when(total == 0, F.lit(1.0)).otherwise((total - apart) / (total + apart))
 
-    out = made.join(counts, _KEYS, "left")
-    return out.select(F.col("id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("b").alias("near_edited"), likeness("c").alias("near_next"))
+    kept = made.select(*_KEYS, "id", "n_chars", "edited_sha256", "own", "other", "n_a", "n_b", "n_c", "found_b", "found_c", F.col("a").isNotNull().alias("again"))
+    # only what was tried again meets what that gave, by a merge at any size
+    nothing = F.lit(None).cast("long")
+    out = kept.where("not again").withColumns({"more_b": nothing, "more_c": nothing}).unionByName(kept.where("again").join(counts.hint("merge"), _KEYS, "left"))
+    shown = [written(F.col(x)).alias(name) for x, name in (("own", "fingerprint"), ("other", "edited_fingerprint"))]
+    return out.select(F.col("id").alias(key), "n_chars", "edited_sha256", *shown, likeness("b").alias("near_edited"), likeness("c").alias("near_next"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
