@@ -34,8 +34,8 @@ MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Distinct pre-tokens that a task holds at once, and the longest that it holds.
 MEMO, LONGEST = 200_000, 64
-#: Entries of the table that go with each task, at most; 16 bytes each.
-FREQUENT = 1 << 20
+#: Distinct pre-tokens that a task gathers for the table before it sends them, and entries of the table that go with each task, at most.
+GATHERED, FREQUENT = 1 << 20, 1 << 20
 
 _PRE_TOKEN = re.compile("▁+[^▁\n]*|[^▁\n]+|\n+")
 
@@ -152,9 +152,9 @@ def _distinct(rows: DataFrame) -> DataFrame:
                 continue
             h, first, n = np.unique(found.hash, return_index=True, return_counts=True)
             held.append((h, n, found.texts(first)))
-            if sum(len(x) for x, _, _ in held) > MEMO:
+            if sum(len(x) for x, _, _ in held) > GATHERED:
                 held = [merged()]
-                if len(held[0][0]) > MEMO // 2:
+                if len(held[0][0]) > GATHERED // 2:
                     yield batch_of(*held.pop())
         if held:
             yield batch_of(*merged())

@@ -35,12 +35,13 @@ def test_memo_limits_change_nothing(spark, monkeypatch):
     assert len(again.known) <= 40
 
 
-def test_rare_pre_tokens_are_joined(spark):
+def test_rare_pre_tokens_are_joined(spark, monkeypatch):
     """With no table, a small one or the whole one in the tasks the counts are the library's."""
     rng = random.Random(5)
     texts = EDGES + [" ".join(rng.choice(["the", "of", f"w{rng.randrange(400)}", "é\n"]) for _ in range(rng.randrange(80))) for _ in range(120)]
     df = spark.createDataFrame([(i, t, "x", "clash") for i, t in enumerate(texts)], SCHEMA).repartition(5)
-    for most in (0, 30, 10_000):
+    for most, gathered in ((0, 50), (30, 500), (10_000, 1 << 20)):
+        monkeypatch.setattr(op, "GATHERED", gathered)
         got = {r.doc_id: r.n_tokens for r in op.token_counts(df, most=most).collect()}
         assert got == dict(enumerate(library(texts)))
 
