@@ -175,7 +175,7 @@ def tree_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT path, is_test, summary, symbols, greatest(0, (SELECT count(*) FROM m) - 40) AS truncated FROM m ORDER BY later, is_test, depth, path LIMIT 40""",
 )
 def tree_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = surface.listed(surface.modules(repo.classified(files(spark, sf_dir))))
+    found = surface.listed(surface.modules(repo.classified(files(spark, sf_dir))).persist())
     return found.select("path", "is_test", "summary", F.array_join("symbols", ", ").alias("symbols"), "truncated")
 
 

@@ -31,8 +31,9 @@ def _scripts(repo: str) -> list[str]:
 
 def build(spark: SparkSession, repo: str, most: int = surface.MOST_MODULES, command: str | None = None) -> dict[str, Any]:
     tree = files.tree(spark, repo, most=1 << 40)
-    found = surface.modules(R.classified(tree))
+    found = surface.modules(R.classified(tree)).persist()  # counted and listed
     listed = surface.listed(found, most).collect()
+    found.unpersist()
     if command is None:
         command = surface.verify_command(tree, _scripts(repo), "pytest" in _read(os.path.join(repo, "pyproject.toml"))).first().command
     root = os.path.abspath(repo)
