@@ -24,7 +24,9 @@ COMMANDS = ("analyze", "extract", "render", "doctor", "map", "bench")
 
 
 def session() -> SparkSession:
-    """The running session, or a local one. Repeated keys in a log line take the last value, which is set before it starts."""
+    """The running session as it is, or a local one. Repeated keys in a log line take the last value, which is set before it starts."""
+    if (running := SparkSession.getActiveSession()) is not None:
+        return running
     builder = SparkSession.builder.appName("millrace").config("spark.sql.variant.allowDuplicateKeys", "true").config("spark.ui.showConsoleProgress", "false")
     if "SPARK_MASTER" not in os.environ and not os.environ.get("MASTER"):
         builder = builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8")
