@@ -6,6 +6,7 @@ time, so that memory follows the block and the longest single text, never the pa
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,7 +59,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not held:
         held = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not held:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         held = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", held)
