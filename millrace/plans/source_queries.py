@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,7 @@ QUERIES, SQL = {}, {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines see; one of this machine only where the session runs on it alone."""
     held = spark.conf.get("spark.checkpoint.dir", None)
-    if not held and not spark.sparkContext.master.startswith("local["):
+    if not held and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     return (held or tempfile.mkdtemp(prefix="millrace-")).rstrip("/")
 
