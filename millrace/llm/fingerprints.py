@@ -118,8 +118,9 @@ def peeled_cells(apart: Column, passes: int) -> Column:
     """found (the digests that only one of two texts has) and whole (whether no cell is left) of subtracted cells."""
 
     def step(state: Column, k: Column) -> Column:
-        third = F.slice(F.transform(state["cells"], lambda x: F.struct(x["n"].alias("n"), x["d"].alias("d"), x["c"].alias("c"), _mask(x["d"]).alias("m"))), k * THIRD + 1, F.lit(THIRD))
+        third = F.slice(state["cells"], k * THIRD + 1, F.lit(THIRD))
         single = F.filter(third, lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["d"])))
+        single = F.transform(single, lambda x: F.struct(x["n"].alias("n"), x["d"].alias("d"), x["c"].alias("c"), _mask(x["d"]).alias("m")))
 
         def taken(own: Column) -> Column:
             def left(x: Column, i: Column) -> Column:
