@@ -88,10 +88,12 @@ def tree(spark: SparkSession, repo: str, most: int = MOST_BYTES) -> DataFrame:
         return spark.createDataFrame([], SCHEMA)
     root = os.path.abspath(repo)
     uncommitted = changed(repo)
-    known = spark.createDataFrame([(p, os.path.getsize(os.path.join(root, p)), p in uncommitted) for p in paths], "path string, size bigint, is_changed boolean")
     suffixes = tuple(T.SOURCE_SUFFIXES + T.DOC_SUFFIXES + T.DATA_SUFFIXES)
+    sized = [(p, os.path.getsize(os.path.join(root, p)), p in uncommitted) for p in paths]
+    texts = {p for p, n, _ in sized if 0 < n < most and p.lower().endswith(suffixes)}
+    known = lambda inside: spark.createDataFrame([r for r in sized if (r[0] in texts) == inside], "path string, size bigint, is_changed boolean")
     # folders are listed, not files one by one; what is in them but isn't tracked falls out of the join
-    folders = sorted({os.path.dirname(os.path.join(root, p)) for p in paths if p.lower().endswith(suffixes)})
+    folders = sorted({os.path.dirname(os.path.join(root, p)) for p in texts})
     read = None
     for a in range(0, len(folders), _AT_ONCE):
         escaped = [re.sub(r"([\\{}\[\]*?])", r"\\\1", "file://" + f) for f in folders[a : a + _AT_ONCE]]
@@ -100,6 +102,8 @@ def tree(spark: SparkSession, repo: str, most: int = MOST_BYTES) -> DataFrame:
         decoded = F.make_valid_utf8(F.col("content").cast("string"))
         part = part.select(F.regexp_replace("path", f"^file:/*{re.escape(root)}/", "").alias("path"), decoded.alias("content"), T.digest_of(F.col("content")).alias("digest"))
         read = part if read is None else read.unionAll(part)
+    rest = known(False).select("path", "size", F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("digest"), "is_changed")
     if read is None:
-        read = spark.createDataFrame([], "path string, content string, digest string")
-    return known.join(read, "path", "left").select("path", "size", "content", "digest", "is_changed")
+        return rest
+    # the listing, which the driver holds anyway, goes to the contents, so that they are read and looked at where they are
+    return read.join(F.broadcast(known(True)), "path").select("path", "size", "content", "digest", "is_changed").unionAll(rest)
