@@ -126,7 +126,8 @@ def savings_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("efficiency_grade", f"WITH {SUMS}, e AS (SELECT session_id, 100 * (0.6::DOUBLE * ratio4 + 0.4::DOUBLE * (1 - least(1.0, CASE WHEN cost4 = 0 THEN 0.0 ELSE (waste4 / 10000.0)::DOUBLE / (cost4 / 10000.0) END))) AS s FROM costs) SELECT session_id, round_even(s, 1) AS score, CASE WHEN s >= 90 THEN 'A' WHEN s >= 78 THEN 'B' WHEN s >= 62 THEN 'C' WHEN s >= 45 THEN 'D' ELSE 'F' END AS grade FROM e")
 def efficiency_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = usage.efficiency_score(F.col("cache_hit_ratio"), F.col("cache_waste_usd").cast("double"), F.col("est_cost_usd").cast("double"))
+    context = usage.context_tokens(F.col("input_tokens"), F.col("cache_read_tokens"), F.col("cache_creation_tokens"))
+    score = usage.efficiency_score(F.when(context.isNotNull(), F.col("cache_hit_ratio")), F.col("cache_waste_usd").cast("double"), F.col("est_cost_usd").cast("double"))
     return costs(spark, sf_dir).select("session_id", usage.rounded(score, 1).alias("score"), usage.grade(score).alias("grade"))
 
 

@@ -59,6 +59,15 @@ def test_ties_equal_sql(spark, ties, name):
         assert [got[k][1:] for k in (6350, 7650)] == [(59.0, "D"), (63.0, "C")]  # exactly 59.05 and 62.95
 
 
+def test_grade_of_unknown_counts_equals_sql(spark, duck, tmp_path):
+    made = ", ".join(f"CASE WHEN l_orderkey % {n} = 0 THEN NULL ELSE {c} END AS {c}" for n, c in ((7, "l_extendedprice"), (11, "l_discount"), (13, "l_tax"), (5, "l_quantity")))
+    duck.sql(f"COPY (SELECT * REPLACE ({made}) FROM lineitem) TO '{tmp_path}/lineitem.parquet'")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    got = [tuple(r) for r in queries.QUERIES["efficiency_grade"](spark, str(tmp_path)).select("session_id", "score", "grade").collect()]
+    assert any(r[1] is None for r in got) and sorted(got) == sorted(con.sql(queries.SQL["efficiency_grade"]).fetchall())
+
+
 def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and entry.entry(spark).count() == 12
 
